@@ -1,0 +1,63 @@
+"""Row-by-row comparison of a Spark result with DuckDB SQL."""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+
+import duckdb
+from pyspark.sql import DataFrame
+
+from stratalake.checks.queries import TABLES
+
+# Spark type -> DuckDB type that the driver's value hash treats alike.
+SAME = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, decimal.Decimal):
+        return float(value)
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=None)
+    return value
+
+
+def _rows(rows, order):
+    plain = [tuple(_plain(row[i]) for i in order) for row in rows]
+    return sorted(plain, key=lambda row: tuple((v is not None, str(v)) for v in row))
+
+
+def difference(result: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None if columns, types and rows agree."""
+    rel = con.sql(sql)
+    mine = {f.name: f.dataType.simpleString() for f in result.schema.fields}
+    theirs = dict(zip(rel.columns, map(str, rel.types)))
+    if set(mine) != set(theirs):
+        return f"columns {sorted(mine)} / {sorted(theirs)}"
+    types = {n: (t, theirs[n]) for n, t in mine.items() if SAME.get(t) != theirs[n]}
+    if types:
+        return f"types {types}"
+    names = sorted(mine)
+    a = _rows(result.collect(), [result.columns.index(n) for n in names])
+    b = _rows(rel.fetchall(), [rel.columns.index(n) for n in names])
+    if len(a) != len(b):
+        return f"{len(a)} rows / {len(b)} rows"
+    for x, y in zip(a, b):
+        if x != y:
+            return f"{dict(zip(names, x))} / {dict(zip(names, y))}"
+    return None
