@@ -1,0 +1,389 @@
+"""Landing writes, configuration, database reads and API reads.
+
+No database and no server is started: the SQL sent to databases is run by
+DuckDB, and API calls go to a function.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import json
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from stratalake.contracts import FETCH_SIZE
+from stratalake.params import BuildParams
+from stratalake.sinks import landing
+from stratalake.sources import api, jdbc
+from stratalake.sources.config import load_entries
+from stratalake.sources.ingest import IngestError, ingest_apis, ingest_tables, table_entry
+from stratalake.sources.landing import scan
+
+ORDERS = "/root/testdata/sf0.001/orders.parquet"
+
+
+# landing
+
+
+@pytest.mark.parametrize("name", ["a-b.c_1", "A", "0"])
+def test_good_names(name):
+    assert landing.check_identifier(name, "table") == name
+
+
+@pytest.mark.parametrize("name", ["", None, "a b", "a;b", "a\n", "`a`", "é"])
+def test_bad_names(name):
+    with pytest.raises(ValueError, match="table may hold"):
+        landing.check_identifier(name, "table")
+
+
+def test_paths():
+    assert landing.table_path("s3a://lake/", "erp", "plants") == "s3a://lake/erp/plants/data.parquet"
+    assert landing.table_path("/l", "erp", "plants", "/x/y/") == "/l/x/y/plants/data.parquet"
+
+
+@pytest.mark.parametrize(
+    ("key", "path"),
+    [
+        ("a/b", "a/b.parquet"),
+        ("a/b.json", "a/b.parquet"),
+        ("a/b.parquet", "a/b.parquet"),
+        ("/a/b/", "a/b.parquet"),
+        ("", "data.parquet"),
+        ("/", "data.parquet"),
+    ],
+)
+def test_api_keys(key, path):
+    assert landing.parquet_key(key) == path
+
+
+def test_snapshot_replaces_and_counts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert landing.write_snapshot(spark.range(10), path) == 10
+    assert landing.write_snapshot(spark.range(7), path) == 7
+    assert scan(spark, path).count() == 7
+
+
+def test_empty_snapshot_keeps_its_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    empty = spark.createDataFrame([], "id bigint, name string, at timestamp_ntz")
+    assert landing.write_snapshot(empty, path) == 0
+    assert scan(spark, path).schema == empty.schema
+
+
+def test_promoted_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    landing.write_snapshot(spark.range(3), path, promote=True)
+    assert scan(spark, path).dtypes == [("id", "double")]
+
+
+def test_declared_schema_adds_missing_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    landing.write_snapshot(spark.range(1), path)
+    assert scan(spark, path, "id bigint, later string").first() == (0, None)
+
+
+def test_records_have_iso_dates(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, dt.datetime(2024, 2, 29, 1, 2, 3), dt.date(2024, 1, 1), None)]
+    df = spark.createDataFrame(rows, "id int, at timestamp_ntz, d date, n string")
+    assert landing.write_records(df, path) == 1
+    assert json.loads(spark.read.text(path).first().value) == {
+        "id": 1,
+        "at": "2024-02-29T01:02:03.000",
+        "d": "2024-01-01",
+        "n": None,
+    }
+
+
+def test_documents_are_written_as_they_came(spark, tmp_path):
+    path = str(tmp_path / "t")
+    body = '{\n  "a": [1, 2]\n}'
+    landing.write_documents(spark.createDataFrame([(body,)], "body string"), "body", path)
+    assert spark.read.text(path, wholetext=True).first().value.strip() == body
+
+
+def test_export_in_key_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    shuffled = spark.range(20_000).orderBy(F.rand(1))
+    landing.write_snapshot(landing.in_key_order(shuffled.repartition(8), "id"), path)
+    files = (
+        scan(spark, path)
+        .groupBy(F.input_file_name().alias("f"))
+        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+        .orderBy("f")
+        .collect()
+    )
+    assert sum(f.n for f in files) == 20_000
+    assert all(a.hi < b.lo for a, b in zip(files, files[1:]))
+
+
+# configuration
+
+DEFAULT = [{"schema": "s", "table": "default"}]
+SETTING = "stratalake.test.tables"
+
+
+@pytest.fixture
+def config(spark, tmp_path):
+    def load(text=None, setting=None, required=("schema", "table")):
+        path = tmp_path / "tables.json"
+        if text is not None:
+            path.write_text(text, encoding="utf-8")
+        if setting is not None:
+            spark.conf.set(SETTING, setting)
+        return load_entries(spark, str(path), SETTING, DEFAULT, required)
+
+    yield load
+    spark.conf.unset(SETTING)
+
+
+def entries(name):
+    return [{"schema": "s", "table": name}]
+
+
+def test_config_shapes(config):
+    assert config(json.dumps(entries("a"))) == entries("a")
+    assert config(json.dumps({"tables": entries("b")})) == entries("b")
+    assert config(json.dumps({"endpoints": entries("c")})) == entries("c")
+
+
+def test_config_fallbacks(config):
+    assert config() == DEFAULT
+    assert config(setting=json.dumps({"tables": entries("v")})) == entries("v")
+    assert config(text=json.dumps(entries("f"))) == entries("f")
+
+
+def test_broken_config_is_skipped_with_a_warning(config, caplog):
+    assert config(text="[{", setting=json.dumps(entries("v"))) == entries("v")
+    assert config(setting="nonsense") == DEFAULT
+    assert caplog.text.count("not valid JSON") == 3
+
+
+def test_required_keys_name_the_item(config):
+    with pytest.raises(ValueError, match=r"item 1: missing \['table'\]"):
+        config(json.dumps([*entries("a"), {"schema": "s", "table": ""}]))
+    with pytest.raises(ValueError, match="item 0: not an object"):
+        config("[3]")
+
+
+# databases
+
+SOURCE = dict(host="db", database="main", user="u", password="p")
+
+
+@pytest.mark.parametrize(
+    ("dialect", "url", "table"),
+    [
+        ("mysql", "jdbc:mysql://db:3306/erp", "`plants`"),
+        ("postgres", "jdbc:postgresql://db:5432/main", '"erp"."plants"'),
+        ("sqlserver", "jdbc:sqlserver://db:1433;databaseName=main", "[erp].[plants]"),
+        ("oracle", "jdbc:oracle:thin:@//db:1521/main", '"erp"."plants"'),
+        ("sap_hana", "jdbc:sap://db:30015/?databaseName=main", '"erp"."plants"'),
+    ],
+)
+def test_dialects(dialect, url, table):
+    source = jdbc.Connection(jdbc.DIALECTS[dialect], **SOURCE)
+    assert source.url("erp") == url
+    assert source.dialect.table("erp", "plants") == table
+    assert source.properties()["fetchsize"] == str(FETCH_SIZE) == "50000"
+
+
+def test_connection_settings(spark):
+    spark.conf.set("stratalake.connection.erp.host", "db")
+    spark.conf.set("stratalake.connection.erp.port", "77")
+    try:
+        source = jdbc.connection(spark, "postgres", "erp")
+        assert source.url() == "jdbc:postgresql://db:77/"
+        with pytest.raises(ValueError, match="stratalake.connection.other.host"):
+            jdbc.connection(spark, "postgres", "other")
+    finally:
+        spark.conf.unset("stratalake.connection.erp.host")
+        spark.conf.unset("stratalake.connection.erp.port")
+
+
+@pytest.mark.parametrize(
+    ("dialect", "value", "text"),
+    [
+        ("postgres", 7, "7"),
+        ("oracle", decimal.Decimal("1E+3"), "1000"),
+        ("postgres", "o'x\\", "'o''x\\'"),
+        ("mysql", "o'x\\", "'o''x\\\\'"),
+    ],
+)
+def test_key_literals(dialect, value, text):
+    assert jdbc.DIALECTS[dialect].literal(value) == text
+
+
+def test_other_key_types_have_no_literal():
+    with pytest.raises(TypeError):
+        jdbc.DIALECTS["mysql"].literal(True)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+@pytest.mark.parametrize("key", ["number", "text", "hot"])
+def test_ranges_cover_every_row_once(key, ranges):
+    """The generated SQL on keys with gaps, text keys, one key with a third of
+    all rows, and rows without a key."""
+    postgres = jdbc.DIALECTS["postgres"]
+    con = duckdb.connect()
+    con.execute(
+        f"""CREATE TABLE t AS SELECT nullif(o_orderkey, 5) * o_orderkey AS number,
+        'k''' || o_orderkey AS text,
+        CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE o_orderkey END AS hot FROM '{ORDERS}'"""
+    )
+    total = con.sql(jdbc.count_sql(postgres, "main", "t")).fetchall()[0][0]
+    starts = con.sql(jdbc.range_starts_sql(postgres, "main", "t", key, ranges)).fetchall()
+    predicates = jdbc.range_predicates(postgres, key, sorted(r[0] for r in starts))
+    sizes = [con.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in predicates]
+    assert sum(sizes) == total == con.sql(f"SELECT count(*) FROM '{ORDERS}'").fetchall()[0][0]
+    if key != "hot":
+        assert len(sizes) == ranges and max(sizes) <= total // ranges + 2
+    con.close()
+
+
+def test_entries_of_the_dialects():
+    assert table_entry({"mysql_schema": "s", "mysql_table": "t"}, "mysql") == ("s", "t", "id")
+    unordered = {"mysql_schema": "s", "mysql_table": "t", "primary_key": ""}
+    assert table_entry(unordered, "mysql") == ("s", "t", None)
+    with pytest.raises(ValueError, match="primary_key"):
+        table_entry({"schema": "s", "table": "t", "primary_key": ""}, "oracle")
+    with pytest.raises(ValueError, match="table"):
+        table_entry({"schema": "s", "table": "t; drop"}, "oracle")
+
+
+def test_ingest_job(spark, tmp_path):
+    calls = []
+
+    def read(session, conn_id, schema, table, key):
+        calls.append((conn_id, schema, table, key))
+        return session.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+
+    config = [
+        {"schema": "s", "table": "orders", "primary_key": "o_orderkey", "conn_id": "other"},
+        {"schema": "s", "table": "nation", "primary_key": "n_nationkey"},
+    ]
+    root = str(tmp_path / "landing")
+    done = ingest_tables(
+        spark, "postgres", config, root, "main", params=BuildParams(promote_integers=True), read=read
+    )
+    assert [d.rows for d in done] == [1500, 25]
+    assert sorted(calls) == [
+        ("main", "s", "nation", "n_nationkey"),
+        ("other", "s", "orders", "o_orderkey"),
+    ]
+    assert dict(scan(spark, done[1].path).dtypes)["n_nationkey"] == "double"
+
+
+def test_one_failing_table_does_not_stop_the_others(spark, tmp_path):
+    def read(session, conn_id, schema, table, key):
+        return session.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+
+    config = [{"schema": "s", "table": "missing"}, {"schema": "s", "table": "region"}]
+    with pytest.raises(IngestError, match="item 0"):
+        ingest_tables(spark, "postgres", config, str(tmp_path), "main", read=read)
+    assert scan(spark, f"{tmp_path}/s/region/data.parquet").count() == 5
+
+
+# APIs
+
+
+@pytest.mark.parametrize(
+    ("secret", "header"),
+    [
+        (None, {}),
+        ("  ", {}),
+        ("abc", {"Authorization": "Bearer abc"}),
+        (" Bearer abc ", {"Authorization": "Bearer abc"}),
+        ("APIKEY abc", {"Authorization": "APIKEY abc"}),
+    ],
+)
+def test_auth_header(secret, header):
+    assert api.auth_header(secret) == header
+
+
+BODIES = {
+    "u/table": '[{"b": 1, "a": "x"},\n {"b": 2.5, "c": {"d": true}}]',
+    "u/document": '{"a": 1}',
+    "u/empty": "[]",
+    "u/raw": '[{"a": 1}]',
+}
+
+
+@pytest.fixture
+def fetch():
+    """A function of its own scope, so that it travels to the workers by value."""
+    bodies = dict(BODIES)
+
+    def call(method, url, headers, timeout):
+        import json
+        import urllib.error
+
+        assert timeout == 60
+        if url == "u/echo":
+            return json.dumps({"method": method, **headers})
+        if url == "u/missing":
+            raise urllib.error.HTTPError(url, 404, "not found", None, None)
+        return bodies.get(url, "<html>")
+
+    return call
+
+
+def test_api_job(spark, tmp_path, fetch):
+    spark.conf.set("stratalake.secret.token", "abc")
+    endpoints = [
+        {"url": "u/table", "key": "api/table.json"},
+        {"url": "u/document", "key": "api/document.json"},
+        {"url": "u/empty", "key": "api/empty.json"},
+        {"url": "u/raw", "key": "api/raw.json", "output_format": "json"},
+        {
+            "url": "u/echo",
+            "key": "api/echo.json",
+            "method": "POST",
+            "headers": {"X": "1"},
+            "auth_variable": "token",
+        },
+    ]
+    try:
+        done = ingest_apis(spark, endpoints, str(tmp_path), fetch)
+    finally:
+        spark.conf.unset("stratalake.secret.token")
+    assert [(d.path.removeprefix(str(tmp_path)), d.rows) for d in done] == [
+        ("/api/table.parquet", 2),
+        ("/api/document.json", 1),
+        ("/api/empty.json", 1),
+        ("/api/raw.json", 1),
+        ("/api/echo.json", 1),
+    ]
+    table = scan(spark, done[0].path)
+    assert table.dtypes == [("b", "double"), ("a", "string"), ("c", "struct<d:boolean>")]
+    assert sorted((r.b, r.a, r.c and r.c.d) for r in table.collect()) == [
+        (1.0, "x", None),
+        (2.5, None, True),
+    ]
+    texts = [spark.read.text(d.path, wholetext=True).first().value.strip() for d in done[1:]]
+    assert texts[:3] == [BODIES["u/document"], BODIES["u/empty"], BODIES["u/raw"]]
+    assert json.loads(texts[3]) == {"method": "POST", "X": "1", "Authorization": "Bearer abc"}
+
+
+@pytest.mark.parametrize("url", ["u/missing", "u/html"])
+def test_failed_requests_fail_the_load(spark, tmp_path, fetch, url):
+    with pytest.raises(Exception, match="404|Expecting value"):
+        ingest_apis(spark, [{"url": url, "key": "k"}], str(tmp_path), fetch)
+
+
+def test_no_endpoints(spark, tmp_path, fetch):
+    assert ingest_apis(spark, [], str(tmp_path), fetch) == []
+
+
+def test_secrets_are_not_in_the_plan(spark, fetch):
+    spark.conf.set("stratalake.secret.token", "s3cr3t")
+    try:
+        bodies = api.fetch_bodies(
+            spark, [{"url": "u/echo", "key": "k", "auth_variable": "token"}], fetch
+        )
+        assert "s3cr3t" not in bodies._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("stratalake.secret.token")

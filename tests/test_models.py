@@ -1,0 +1,236 @@
+"""The five models: contracts and the behaviour of whole and incremental builds."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F, types as T
+
+from stratalake import contracts
+from stratalake.params import BuildParams
+from stratalake.plans import bronze, gold, silver
+
+TODAY = dt.date(2024, 6, 30)
+P = BuildParams(as_of=TODAY)
+T0 = dt.datetime(2024, 1, 1)
+DAY = dt.timedelta(days=1)
+
+
+def landed(spark, ddl, rows):
+    """Landing rows given as dicts; other columns are NULL."""
+    names = [f.name for f in T.StructType.fromDDL(ddl).fields]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ddl)
+
+
+def plants(spark, *rows):
+    return landed(spark, contracts.LANDING_PLANTS, rows)
+
+
+def licenses(spark, *rows):
+    return landed(spark, contracts.LANDING_LICENSES, rows)
+
+
+def keys(df, key, ident):
+    return {r[ident]: r[key] for r in df.collect()}
+
+
+STG_PLANTS = """PLANT_KEY bigint, PLANT_ID bigint, ADDRESS_ID bigint, INDUSTRIAL_CITY_ID bigint,
+PLANT_status string, PLANT_NUMBER bigint, plant_status_ar string, land_provider_ar string,
+IS_RENT boolean, CLOSED_AT timestamp_ntz, CREATED_AT timestamp_ntz, LICENSE_ID bigint,
+UPDATED_AT timestamp_ntz, CANCELED_AT timestamp_ntz, LAND_PROVIDER_en string,
+ESTABLISHED_AT timestamp_ntz, HS_12_CONFIRMED_AT timestamp_ntz, NDB_SYNCHED_AT timestamp_ntz,
+NDB_LAST_OPS_AT timestamp_ntz, HAS_APPROVED_MANPOWER boolean, MAIN_ACTIVITY_CODE_L2 int,
+MAIN_ACTIVITY_CODE_L4 int, STARTED_PRODUCTION_AT timestamp_ntz, INSIDE_INDUSTRIAL_CITY boolean,
+GAS_WASTE string, LAND_AREA double, SOLID_WASTE string, STORES_AREA double, LIQUID_WASTE string,
+PRODUCT_AREA double, BUILDING_AREA double, RENTAL_AMOUNT double, MANAGMENT_AREA double,
+CONSTRUCTION_COST double, ANNUAL_WORKING_DAYS int, DAILY_WORKING_HOURS int,
+EXPECTED_LABOR_POWER int, MANUFACTURING_METHOD string, LOAD_DATE date"""
+
+STG_LICENSES = """LICENSE_KEY bigint, LICENSE_ID bigint, USER_ID bigint, LICENSE_NUMBER bigint,
+CREATED_AT timestamp_ntz, created_date date, DELETED_AT timestamp_ntz,
+LICENSE_EXPIRES_AT timestamp_ntz, LICENSE_ISSUE_DATE timestamp_ntz,
+LICENSE_RENEWED_AT timestamp_ntz, UPDATED_AT timestamp_ntz, LICENSE_CANCELED_AT timestamp_ntz,
+LICENSE_CYCLE string, license_status string, INVESTOR_ID bigint, CANCELLED_BY bigint,
+SUSPENDED_AT timestamp_ntz, INVESTMENT_SIZE string, INVESTMENT_TYPE string, ENTITY_ID bigint,
+AREA string, CITY string, ENERGY_SOURCE string, CURRENT_ASSETS double, HAS_OTHER_SOURCES boolean,
+NON_CURRENT_ASSETS double, EXPECTED_LOAN_AMOUNT double, ELECTRIC_SERVICE_NUMBER double,
+HAS_ELECTRICAL_INFORMATION boolean, EXPECTED_FINANCING_FROM_FUNDS_BANKS double,
+EXPECTED_FINANCING_FROM_OTHER_SOURCES double, EXPECTED_FINANCING_FROM_INDUSTRIAL_FUND double,
+ANNUAL_EXPECTED_ELECTRICAL_ENERGY_VOLUME string, LOAD_DATE date"""
+
+PROFILE = """PLANT_KEY PLANT_ID LICENSE_ID ADDRESS_ID INDUSTRIAL_CITY_ID PLANT_status PLANT_NUMBER
+plant_status_ar land_provider_ar LAND_PROVIDER_en IS_RENT CLOSED_AT PLANT_CREATED_AT
+PLANT_UPDATED_AT PLANT_CANCELED_AT ESTABLISHED_AT HS_12_CONFIRMED_AT HAS_APPROVED_MANPOWER
+MAIN_ACTIVITY_CODE_L2 MAIN_ACTIVITY_CODE_L4 STARTED_PRODUCTION_AT INSIDE_INDUSTRIAL_CITY GAS_WASTE
+LAND_AREA SOLID_WASTE STORES_AREA LIQUID_WASTE PRODUCT_AREA BUILDING_AREA RENTAL_AMOUNT
+MANAGMENT_AREA CONSTRUCTION_COST ANNUAL_WORKING_DAYS DAILY_WORKING_HOURS EXPECTED_LABOR_POWER
+MANUFACTURING_METHOD LICENSE_KEY USER_ID LICENSE_NUMBER LICENSE_EXPIRES_AT LICENSE_ISSUE_DATE
+LICENSE_RENEWED_AT LICENSE_CYCLE LICENSE_STATUS INVESTOR_ID INVESTMENT_SIZE INVESTMENT_TYPE
+ENTITY_ID LICENSE_AREA LICENSE_CITY LOAD_DATE""".split()
+
+
+def shape(df):
+    return [(f.name, f.dataType) for f in df.schema.fields]
+
+
+def declared(ddl):
+    return [(f.name, f.dataType) for f in T.StructType.fromDDL(ddl).fields]
+
+
+def test_bronze_contracts(spark):
+    p = plants(spark, {"id": 1, "updated_at": T0})
+    li = licenses(spark, {"id": 1, "updated_at": T0})
+    for params in (P, BuildParams(as_of=TODAY, read_meta=True, number_rows=False)):
+        assert shape(bronze.stg_plants(p, params)) == declared(STG_PLANTS)
+        assert shape(bronze.stg_licenses(li, params)) == declared(STG_LICENSES)
+
+
+def test_profile_and_mart_contracts(spark):
+    profile = silver.dim_plant_profile(
+        bronze.stg_plants(plants(spark, {"id": 1, "updated_at": T0}), P),
+        bronze.stg_licenses(licenses(spark), P),
+    )
+    assert profile.columns == PROFILE
+    mart = gold.dm_plant(profile)
+    assert dict(mart.dtypes) == {
+        "year_num": "int",
+        "month_num": "int",
+        "plant_status_ar": "string",
+        "LAND_PROVIDER_en": "string",
+        "LICENSE_STATUS": "string",
+        "total_plant": "bigint",
+    }
+
+
+def test_calendar_contract_and_default_range(spark):
+    dim = silver.dim_date(silver.configured_bounds(spark, BuildParams()))
+    assert dict(dim.dtypes) == {
+        "date_key": "int", "date_date": "date", "day_of_month": "int", "day_of_week": "int",
+        "day_name_short": "string", "day_name_long": "string", "week_of_year": "int",
+        "month_num": "int", "month_name_short": "string", "month_name_long": "string",
+        "quarter": "int", "year_num": "int", "is_week_start": "boolean",
+        "is_weekend": "boolean", "year_month": "string",
+    }
+    assert dim.count() == 7670
+
+
+def test_latest_version_is_staged(spark):
+    feed = plants(
+        spark,
+        {"id": 5, "updated_at": T0, "state": "new", "number": " 7 "},
+        {"id": 5, "updated_at": T0 + DAY, "state": "active", "number": "  "},
+        {"id": 3, "updated_at": T0, "state": "odd", "land_provider": "NEOM"},
+    )
+    got = {r.PLANT_ID: r for r in bronze.stg_plants(feed, P).collect()}
+    assert (got[3].PLANT_KEY, got[5].PLANT_KEY) == (1, 2)
+    assert (got[5].plant_status_ar, got[5].PLANT_NUMBER) == ("منتج", None)
+    assert (got[3].plant_status_ar, got[3].land_provider_ar) == (None, "نيوم")
+    assert got[3].LOAD_DATE == TODAY
+
+
+def test_text_landing_is_ordered_by_time(spark):
+    """As text, '2024-1-9' is above '2024-01-10'."""
+    feed = (
+        plants(spark, {"id": 1, "state": "new"}, {"id": 1, "state": "active"})
+        .withColumn("updated_at", F.when(F.col("state") == "new", "2024-1-9").otherwise("2024-01-10"))
+    )
+    assert bronze.stg_plants(feed, P).first().PLANT_status == "active"
+
+
+def test_double_landing(spark):
+    """Integers that landed as doubles give the same numbers."""
+    feed = plants(spark, {"id": 1, "updated_at": T0})
+    feed = feed.withColumn("number", F.lit(12.0)).withColumn("main_activity_code_l2", F.lit(3.0))
+    row = bronze.stg_plants(feed, P).first()
+    assert (row.PLANT_NUMBER, row.MAIN_ACTIVITY_CODE_L2) == (12, 3)
+
+
+def test_blank_rules_of_the_two_models_differ(spark):
+    assert bronze.stg_plants(
+        plants(spark, {"id": 1, "updated_at": T0, "number": "  "}), P
+    ).first().PLANT_NUMBER is None
+    blank = licenses(spark, {"id": 1, "updated_at": T0, "number": "  "})
+    with pytest.raises(PySparkException):
+        bronze.stg_licenses(blank, P).collect()
+    relaxed = BuildParams(as_of=TODAY, strict=False)
+    assert bronze.stg_licenses(blank, relaxed).first().LICENSE_NUMBER is None
+
+
+def test_ids_above_2_to_53_survive(spark):
+    big = 2**53 + 1
+    got = bronze.stg_plants(plants(spark, {"id": big, "updated_at": T0}), P).first()
+    assert got.PLANT_ID == big
+
+
+def test_meta_columns_on_request(spark):
+    row = {"id": 1, "updated_at": T0, "meta": '{"CITY": "x", "CURRENT_ASSETS": 1.5}'}
+    df = licenses(spark, row)
+    assert bronze.stg_licenses(df, P).first().CITY is None
+    read = bronze.stg_licenses(df, BuildParams(as_of=TODAY, read_meta=True)).first()
+    assert (read.CITY, read.CURRENT_ASSETS, read.AREA) == ("x", 1.5, None)
+
+
+def increments(spark):
+    first = plants(spark, *[{"id": i, "updated_at": T0} for i in (20, 40, 10)])
+    more = plants(
+        spark,
+        {"id": 40, "updated_at": T0 + DAY, "state": "new"},
+        {"id": 15, "updated_at": T0 + DAY},
+        {"id": 5, "updated_at": T0 + 2 * DAY},
+        {"id": 20, "updated_at": T0},  # not past the watermark
+    )
+    return first, first.unionByName(more)
+
+
+def test_keys_continue_on_increments(spark):
+    first, feed = increments(spark)
+    target = bronze.stg_plants(first, P)
+    assert keys(target, "PLANT_KEY", "PLANT_ID") == {10: 1, 20: 2, 40: 3}
+    rows = bronze.stg_plants(feed, P, target=target)
+    assert keys(rows, "PLANT_KEY", "PLANT_ID") == {40: 3, 5: 4, 15: 5}
+
+
+def test_keys_restart_on_request(spark):
+    first, feed = increments(spark)
+    target = bronze.stg_plants(first, P)
+    rows = bronze.stg_plants(feed, BuildParams(as_of=TODAY, restart_keys=True), target=target)
+    assert keys(rows, "PLANT_KEY", "PLANT_ID") == {5: 1, 15: 2, 40: 3}
+
+
+def test_inclusive_watermark(spark):
+    first, feed = increments(spark)
+    target = bronze.stg_plants(first, P)
+    rows = bronze.stg_plants(feed, BuildParams(as_of=TODAY, inclusive=True), target=target)
+    assert keys(rows, "PLANT_KEY", "PLANT_ID") == {10: 1, 20: 2, 40: 3, 5: 4, 15: 5}
+
+
+def test_null_id_is_one_row_with_the_last_key(spark):
+    feed = plants(spark, {"updated_at": T0}, {"updated_at": T0 + DAY}, {"id": 1, "updated_at": T0})
+    assert keys(bronze.stg_plants(feed, P), "PLANT_KEY", "PLANT_ID") == {1: 1, None: 2}
+
+
+def test_plants_without_license_have_no_status(spark):
+    p = plants(
+        spark,
+        {"id": 1, "updated_at": T0, "license_id": 9, "created_at": T0},
+        {"id": 2, "updated_at": T0, "license_id": 8},
+        {"id": 3, "updated_at": T0},
+    )
+    li = licenses(spark, {"id": 9, "updated_at": T0})
+    profile = silver.dim_plant_profile(bronze.stg_plants(p, P), bronze.stg_licenses(li, P))
+    status = {r.PLANT_ID: (r.LICENSE_ID, r.LICENSE_STATUS) for r in profile.collect()}
+    assert status == {1: (9, "Expired"), 2: (8, None), 3: (None, None)}
+    mart = {(r.year_num, r.LICENSE_STATUS): r.total_plant for r in gold.dm_plant(profile).collect()}
+    assert mart == {(2024, "Expired"): 1, (None, None): 2}
+
+
+def test_counts_by_calendar(spark):
+    facts = licenses(
+        spark, *[{"id": i, "created_at": T0 + (i % 3) * DAY, "updated_at": T0} for i in range(9)]
+    )
+    calendar = silver.dim_date(silver.configured_bounds(spark, BuildParams()))
+    stage = bronze.stg_licenses(facts, P)
+    got = gold.count_by_calendar(stage, "created_date", calendar, "day_name_short")
+    assert {r.day_name_short: r.total_rows for r in got.collect()} == {"Mon": 3, "Tue": 3, "Wed": 3}
