@@ -29,9 +29,6 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-ORDERS_SCHEMA = """o_orderkey bigint, o_custkey bigint, o_orderstatus string,
-    o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"""
-
 # Whole builds number their rows; a mart alone does not need the keys.
 PARAMS = BuildParams(as_of=fx.AS_OF)
 MART_ONLY = BuildParams(as_of=fx.AS_OF, number_rows=False)
@@ -264,7 +261,7 @@ def json_tabular_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
-    return source.scan(spark, f"{d}/orders.parquet", ORDERS_SCHEMA)
+    return source.scan(spark, f"{d}/orders.parquet", fx.SCHEMAS["orders"])
 
 
 def landing_roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from stratalake.contracts import LANDING_LICENSES, LANDING_PLANTS, PROVIDER_LABELS
 from stratalake.functions.labels import label
+from stratalake.sources.landing import scan
 
 AS_OF = dt.date(2019, 6, 30)
 SPLIT = dt.datetime(2024, 1, 25)
@@ -32,15 +33,33 @@ EVENT_STATE = {
 }
 
 
+# Columns of the benchmark tables that the queries read.
+SCHEMAS = {
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string,
+        o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string""",
+    "customer": """c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,
+        c_mktsegment string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
+        value double, props string""",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet", SCHEMAS.get(name))
 
 
 def _shaped(df: DataFrame, ddl: str, columns: dict[str, Column]) -> DataFrame:
     """Landing columns in declared order; those not given are NULL."""
-    fields = T.StructType.fromDDL(ddl).fields
     return df.select(
-        *[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        *[
+            columns[f.name].cast(f.dataType).alias(f.name)
+            if f.name in columns
+            else F.expr(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}")
+            for f in T.StructType.fromDDL(ddl).fields
+        ]
     )
 
 

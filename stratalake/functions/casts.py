@@ -42,7 +42,7 @@ def to_timestamp(df: DataFrame, name: str) -> Column:
 
 def typed_nulls(types: Mapping[str, str]) -> list[Column]:
     """Placeholder columns: NULL of a declared type, so the shape is stable."""
-    return [F.lit(None).cast(t).alias(name) for name, t in types.items()]
+    return [F.expr(f"CAST(NULL AS {t}) AS `{name}`") for name, t in types.items()]
 
 
 def promote_integers(df: DataFrame) -> DataFrame:

@@ -17,7 +17,10 @@ def _hashable(t: T.DataType) -> bool:
 
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of all columns of a row, except maps and variants."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+    fields = df.schema.fields
+    if all(_hashable(f.dataType) for f in fields):
+        return F.xxhash64("*")
+    return F.xxhash64(*[f"`{f.name}`" for f in fields if _hashable(f.dataType)])
 
 
 def latest_per_key(

@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.operators.quality import NOT_NULL, UNIQUE, Check, report, require_clean
+from stratalake.parallel import run_all
 from stratalake.params import BuildParams
 from stratalake.plans import bronze, gold, silver
 from stratalake.sinks.tables import Lake, merge_table, replace_table
@@ -81,8 +82,8 @@ def build(
             rows = stage(landed[source], params, target=spark.table(name))
             merge_table(rows, lake, name, key)
 
-    names = selected(layers, domains)
-    for model in names:
+    def make(model: str) -> None:
+        name = table_name(model)
         match model:
             case "stg_plants":
                 merge(model, "plants", "PLANT_ID")
@@ -94,13 +95,17 @@ def build(
                 unique = Check("stg_licenses", "LICENSE_ID", UNIQUE)
                 require_clean(report({"stg_licenses": licenses}, [unique]))
                 profile = silver.dim_plant_profile(stored("stg_plants"), licenses)
-                replace_table(profile, lake, table_name(model))
+                replace_table(profile, lake, name)
             case "dw_dim_date":
                 bounds = silver.configured_bounds(spark, params)
-                replace_table(silver.dim_date(bounds, params.max_days), lake, table_name(model))
+                replace_table(silver.dim_date(bounds, params.max_days), lake, name)
             case "dm_plant":
-                mart = gold.dm_plant(stored("dw_dim_plant_profile"))
-                replace_table(mart, lake, table_name(model))
+                replace_table(gold.dm_plant(stored("dw_dim_plant_profile")), lake, name)
+
+    names = selected(layers, domains)
+    # Models of one layer do not read each other.
+    for layer in dict.fromkeys(layer for layer, _ in MODELS.values()):
+        run_all(spark, make, [n for n in names if MODELS[n][0] == layer])
     return names
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from typing import Any, TypeVar
+from typing import Any
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalake.parallel import run_all
 from stratalake.params import BuildParams
 from stratalake.sinks.landing import (
     check_identifier,
@@ -21,20 +20,10 @@ from stratalake.sinks.landing import (
 from stratalake.sources.api import Fetch, fetch_bodies, http_fetch, route, tabular_rows
 from stratalake.sources.jdbc import connection, read_table
 
-# Independent copies and models submitted at a time; their tasks share the executors.
-PARALLEL_JOBS = 4
-
 TABLE_KEYS = ("schema", "table")
 MYSQL_TABLE_KEYS = ("mysql_schema", "mysql_table")
 ENDPOINT_KEYS = ("url", "key")
 
-Item = TypeVar("Item")
-
-
-class IngestError(Exception):
-    """One or more copies failed; the others were completed."""
-
-
 @dataclass(frozen=True)
 class Loaded:
     """A finished copy: where it is and how many rows it has."""
@@ -43,19 +32,6 @@ class Loaded:
     rows: int
 
 
-def run_all(
-    spark: SparkSession, work: Callable[[Item], Loaded], items: Sequence[Item]
-) -> list[Loaded]:
-    """Run independent Spark jobs side by side; all run even if one fails."""
-    with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
-        futures = [pool.submit(inheritable_thread_target(spark)(work), i) for i in items]
-    failed = [(i, f.exception()) for i, f in enumerate(futures) if f.exception()]
-    if failed:
-        message = "; ".join(f"item {i}: {error}" for i, error in failed)
-        raise IngestError(message) from failed[0][1]
-    return [f.result() for f in futures]
-
-
 def table_entry(entry: Mapping[str, Any], dialect: str) -> tuple[str, str, str | None]:
     """(schema, table, primary key) of a config entry. Only MySQL may set an empty
     key, which means an unordered read."""

@@ -12,14 +12,16 @@ import json
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stratalake.contracts import FETCH_SIZE
+from stratalake.parallel import JobsFailed
 from stratalake.params import BuildParams
 from stratalake.sinks import landing
 from stratalake.sources import api, jdbc
 from stratalake.sources.config import load_entries
-from stratalake.sources.ingest import IngestError, ingest_apis, ingest_tables, table_entry
+from stratalake.sources.ingest import ingest_apis, ingest_tables, table_entry
 from stratalake.sources.landing import scan
 
 ORDERS = "/root/testdata/sf0.001/orders.parquet"
@@ -282,7 +284,10 @@ def test_one_failing_table_does_not_stop_the_others(spark, tmp_path):
         return session.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
 
     config = [{"schema": "s", "table": "missing"}, {"schema": "s", "table": "region"}]
-    with pytest.raises(IngestError, match="item 0"):
+    with pytest.raises(AnalysisException, match="missing.parquet"):
+        ingest_tables(spark, "postgres", config, str(tmp_path), "main", read=read)
+    with pytest.raises(JobsFailed, match="'missing'.*'absent'"):
+        config.append({"schema": "s", "table": "absent"})
         ingest_tables(spark, "postgres", config, str(tmp_path), "main", read=read)
     assert scan(spark, f"{tmp_path}/s/region/data.parquet").count() == 5
 
