@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,32 +23,43 @@ from stratalake.params import BuildParams
 from stratalake.scratch import written
 
 
-def _known_keys(
-    ids: DataFrame, target: DataFrame, key_col: str, target_id: str
-) -> DataFrame:
+def _known_keys(ids: DataFrame, target: DataFrame, key_col: str, target_id: str) -> DataFrame:
     """Keys of an increment: ids the target knows keep theirs, the others continue
-    after its highest key. Only ids and keys move, never whole rows."""
-    known = target.select(F.col(target_id).alias("id"), key_col)
-    matched = written(ids.join(known, "id", "left"), f"ids-{key_col}")
+    after its highest key.
+
+    Only ids and keys move, never whole rows. The ids are written first, so their
+    size is known: a small increment is broadcast to the target's two columns,
+    which are then filtered in place.
+    """
+    ids = written(ids, f"ids-{key_col}")
+    stored = target.select(F.col(target_id).alias("id"), key_col)
+    known = written(stored.join(ids, "id", "left_semi"), f"known-{key_col}")
+    fresh = ids.join(known, "id", "left_anti")
     highest = target.agg(F.coalesce(F.max(key_col), F.lit(0))).scalar()
-    fresh = matched.filter(F.col(key_col).isNull()).select("id")
-    return matched.filter(F.col(key_col).isNotNull()).unionByName(
-        rank_ids(fresh, "id", key_col, after=highest)
-    )
+    return known.unionByName(rank_ids(fresh, "id", key_col, after=highest))
 
 
 def _latest_numbered(
     landed: DataFrame,
     params: BuildParams,
     target: DataFrame | None,
+    columns: Sequence[str],
     key_col: str,
     target_id: str,
 ) -> DataFrame:
-    """Landing rows to read in this run, one per id, with the surrogate key."""
+    """Landing rows to read in this run, one per id, with the surrogate key.
+
+    Columns that the model does not use are dropped before the dedup: they are
+    neither scanned nor hashed, and rows that differ only there are the same row
+    to the model.
+    """
     feed = landed.withColumn("updated_at", to_timestamp(landed, "updated_at"))
     if target is not None:
         feed = newer_than(feed, "updated_at", target, "UPDATED_AT", params.inclusive)
-    latest = latest_per_key(feed, "id", "updated_at", params.tie_breakers)
+    tie_breakers = [c for c in params.tie_breakers or () if c not in columns]
+    latest = latest_per_key(
+        feed.select(*columns, *tie_breakers), "id", "updated_at", params.tie_breakers
+    )
     if not params.number_rows:
         return latest.withColumn(key_col, F.lit(None).cast("long"))
     # The ids come from the feed, not from the deduplicated rows: a one-column
@@ -86,22 +97,28 @@ def _column(df: DataFrame, source: str, rule: str, params: BuildParams) -> Colum
     raise ValueError(f"unknown column rule {rule!r}")
 
 
-def _project(
-    df: DataFrame,
+def _stage(
+    landed: DataFrame,
+    params: BuildParams,
+    target: DataFrame | None,
     key_col: str,
     columns: Mapping[str, tuple[str, str]],
     meta: Mapping[str, str],
-    params: BuildParams,
 ) -> DataFrame:
     """Key, named columns, meta columns and load stamp, in contract order."""
+    needed = list(dict.fromkeys(source for source, _ in columns.values()))
+    if params.read_meta:
+        needed.append("meta")
+    ident = next(iter(columns))
+    rows = _latest_numbered(landed, params, target, needed, key_col, ident)
     if params.read_meta:
-        df = df.withColumn("_meta", extract_fields(F.col("meta"), meta))
+        rows = rows.withColumn("_meta", extract_fields(F.col("meta"), meta))
         from_meta = [F.col(f"_meta.{name}").alias(name) for name in meta]
     else:
         from_meta = typed_nulls(meta)
-    return df.select(
+    return rows.select(
         key_col,
-        *[_column(df, source, rule, params).alias(out) for out, (source, rule) in columns.items()],
+        *[_column(rows, source, rule, params).alias(out) for out, (source, rule) in columns.items()],
         *from_meta,
         params.today().alias("LOAD_DATE"),
     )
@@ -111,13 +128,11 @@ def stg_plants(
     landed: DataFrame, params: BuildParams = BuildParams(), target: DataFrame | None = None
 ) -> DataFrame:
     """Plants, one row per id. With ``target``, only rows past its watermark."""
-    rows = _latest_numbered(landed, params, target, "PLANT_KEY", "PLANT_ID")
-    return _project(rows, "PLANT_KEY", PLANT_COLUMNS, PLANT_META, params)
+    return _stage(landed, params, target, "PLANT_KEY", PLANT_COLUMNS, PLANT_META)
 
 
 def stg_licenses(
     landed: DataFrame, params: BuildParams = BuildParams(), target: DataFrame | None = None
 ) -> DataFrame:
     """Licenses, one row per id. With ``target``, only rows past its watermark."""
-    rows = _latest_numbered(landed, params, target, "LICENSE_KEY", "LICENSE_ID")
-    return _project(rows, "LICENSE_KEY", LICENSE_COLUMNS, LICENSE_META, params)
+    return _stage(landed, params, target, "LICENSE_KEY", LICENSE_COLUMNS, LICENSE_META)
