@@ -36,12 +36,20 @@ def newer_than(
     return feed.filter(stamp >= mark if inclusive else stamp > mark)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+def upsert(
+    target: DataFrame, source: DataFrame, key: str, co_located: bool = False
+) -> DataFrame:
     """Target after the merge: matched rows replaced, new rows added, others kept.
     ``source`` has unique keys; a NULL key never matches.
 
     Only the source's keys meet the target. While they are below the broadcast
     limit the target is not shuffled at all; beyond it Spark sort-merges.
+    ``co_located`` is for a target bucketed by the key and a source partitioned
+    like it: each bucket meets its own keys in one hash join, without a shuffle
+    or sort of the target, and its files are rewritten as one.
     """
-    kept = target.join(source.select(key), key, "left_anti")
+    keys = source.select(key)
+    if co_located:
+        keys = keys.hint("shuffle_hash")
+    kept = target.join(keys, key, "left_anti")
     return kept.select(*target.columns).unionByName(source.select(*target.columns))

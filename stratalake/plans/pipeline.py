@@ -77,7 +77,7 @@ def build(
         first_run = full_refresh or not spark.catalog.tableExists(name)
         stage = getattr(bronze, model)
         if first_run:
-            replace_table(stage(landed[source], params), lake, name)
+            replace_table(stage(landed[source], params), lake, name, key)
         else:
             rows = stage(landed[source], params, target=spark.table(name))
             merge_table(rows, lake, name, key)

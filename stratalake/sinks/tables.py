@@ -3,7 +3,8 @@
 A table format with row-level operations (Iceberg, Delta) is used through its
 own commits. Plain Parquet has none, so each version is written to a new folder
 and the table is then pointed at it: readers see the old or the new version,
-never a mixture, and a failed write leaves the table as it was.
+never a mixture, and a failed write leaves the table as it was. Old folders stay
+until the storage's own retention removes them.
 """
 
 from __future__ import annotations
@@ -19,23 +20,30 @@ from stratalake.scratch import written
 
 @dataclass(frozen=True)
 class Lake:
-    """Where layer tables live: root folder of the data files and table format."""
+    """Where layer tables live and how they are stored.
+
+    ``buckets`` stores keyed Parquet tables in that many buckets of the key: a
+    merge then moves only the increment, whatever its size, and never shuffles
+    the table.
+    """
 
     root: str
     table_format: str = "parquet"
+    buckets: int | None = None
 
-    def ensure_layer(self, spark: SparkSession, layer: str) -> None:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}`")
+    def buckets_for(self, key: str | None) -> int | None:
+        return self.buckets if key and self.table_format == "parquet" else None
 
 
-def replace_table(df: DataFrame, lake: Lake, table: str) -> DataFrame:
+def replace_table(df: DataFrame, lake: Lake, table: str, key: str | None = None) -> DataFrame:
     """Make ``table`` (layer.name) hold exactly ``df``."""
     spark = df.sparkSession
-    lake.ensure_layer(spark, table.split(".")[0])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{table.split('.')[0]}`")
     if lake.table_format != "parquet":
         df.writeTo(table).using(lake.table_format).createOrReplace()
         return spark.table(table)
-    return _publish(df, lake, table)
+    buckets = lake.buckets_for(key)
+    return _publish(df.repartition(buckets, key) if buckets else df, lake, table, key)
 
 
 def merge_table(df: DataFrame, lake: Lake, table: str, key: str) -> DataFrame:
@@ -43,7 +51,7 @@ def merge_table(df: DataFrame, lake: Lake, table: str, key: str) -> DataFrame:
     new rows added, all others kept. Creates the table on the first run."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        return replace_table(df, lake, table)
+        return replace_table(df, lake, table, key)
     if lake.table_format != "parquet":
         (
             df.alias("s")
@@ -57,22 +65,47 @@ def merge_table(df: DataFrame, lake: Lake, table: str, key: str) -> DataFrame:
         return spark.table(table)
     # The increment is read twice (keys, then rows), so it is computed once.
     increment = written(df, f"increment-{table}")
-    return _publish(upsert(spark.table(table), increment, key), lake, table)
+    target = spark.table(table)
+    buckets = lake.buckets_for(key)
+    if not buckets:
+        merged = upsert(target, increment, key)
+    elif _storage(spark, table) == (_columns(df), str(buckets), f"[`{key}`]"):
+        merged = upsert(target, increment.repartition(buckets, key), key, co_located=True)
+    else:
+        merged = upsert(target, increment, key).repartition(buckets, key)
+    return _publish(merged, lake, table, key)
 
 
-def _publish(df: DataFrame, lake: Lake, table: str) -> DataFrame:
+def _publish(df: DataFrame, lake: Lake, table: str, key: str | None) -> DataFrame:
+    """Write a new version and point the table at it."""
     spark = df.sparkSession
-    path = f"{lake.root.rstrip('/')}/{table.replace('.', '/')}/version={uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if spark.catalog.tableExists(table) and _columns(spark.table(table)) != _columns(df):
-        # Only the catalog entry goes; the files of the old version stay.
-        spark.sql(f"DROP TABLE {table}")
-    if spark.catalog.tableExists(table):
+    version = uuid.uuid4().hex
+    path = f"{lake.root.rstrip('/')}/{table.replace('.', '/')}/version={version}"
+    staged = f"{table}_{version}"
+    writer = df.write.format("parquet").option("path", path)
+    if buckets := lake.buckets_for(key):
+        writer = writer.bucketBy(buckets, key)
+    writer.saveAsTable(staged)
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    elif _storage(spark, staged) == _storage(spark, table):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.sql(f"DROP TABLE {staged}")  # the entry only; the files have a given path
     else:
-        spark.catalog.createTable(table, path=path, source="parquet", schema=df.schema)
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
     return spark.table(table)
 
 
 def _columns(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def _storage(
+    spark: SparkSession, table: str
+) -> tuple[list[tuple[str, str]], str | None, str | None]:
+    """Columns, bucket count and bucket columns of a table."""
+    described = spark.sql(f"DESCRIBE EXTENDED {table}")
+    wanted = described.filter(F.col("col_name").isin("Num Buckets", "Bucket Columns"))
+    facts = {r.col_name: r.data_type for r in wanted.collect()}
+    return _columns(spark.table(table)), facts.get("Num Buckets"), facts.get("Bucket Columns")

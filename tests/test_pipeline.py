@@ -9,8 +9,10 @@ import pytest
 from test_models import DAY, P, T0, increments, keys, licenses, plants
 
 from stratalake import contracts
+from stratalake.operators.incremental import upsert
 from stratalake.operators.quality import QualityError
 from stratalake.plans import bronze, pipeline
+from stratalake.scratch import written
 from stratalake.sinks.tables import Lake, merge_table, replace_table
 from stratalake.streaming.bronze import follow_landing
 
@@ -57,6 +59,44 @@ def test_merge_creates_then_updates(spark, lake):
     assert content(spark.table("bronze.t")) == [(1, "a"), (2, "B"), (3, "c")]
 
 
+def data_files(spark, table):
+    return [f.rsplit("/", 1)[1] for f in spark.table(table).inputFiles()]
+
+
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_bucketed_merge_moves_only_the_increment(spark, lake, limit):
+    lake = dataclasses.replace(lake, buckets=4)
+    ids = lambda lo, hi, v: spark.range(lo, hi).selectExpr("id", f"'{v}' as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        merge_table(ids(0, 1000, "a"), lake, "bronze.t", "id")
+        assert len(data_files(spark, "bronze.t")) == 4
+        for step in range(3):
+            merge_table(ids(900 + step, 1100 + step, f"b{step}"), lake, "bronze.t", "id")
+        table = spark.table("bronze.t")
+        counts = {r.v: r["count"] for r in table.groupBy("v").count().collect()}
+        assert counts == {"a": 900, "b0": 1, "b1": 1, "b2": 200}
+        # Files do not pile up: each bucket is rewritten by its merge.
+        assert len(data_files(spark, "bronze.t")) <= 8
+        keys_ = written(ids(950, 1000, "c"), "test").repartition(4, "id")
+        merged = upsert(table, keys_, "id", co_located=True)
+        text = merged._jdf.queryExecution().executedPlan().toString()
+        kept = text[text.index("ShuffledHashJoin") :]
+        target_side = kept[: kept.index("FileScan parquet spark_catalog.bronze.t")]
+        assert "Exchange" not in target_side and "Bucketed: true" in kept
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bucketing_an_existing_table(spark, lake):
+    merge_table(frame(spark, (1, "a"), (2, "b")), lake, "bronze.t", "id")
+    bucketed = dataclasses.replace(lake, buckets=2)
+    merge_table(frame(spark, (2, "B"), (3, "c")), bucketed, "bronze.t", "id")
+    merge_table(frame(spark, (3, "C"), (4, "d")), bucketed, "bronze.t", "id")
+    assert content(spark.table("bronze.t")) == [(1, "a"), (2, "B"), (3, "C"), (4, "d")]
+    assert [t.name for t in spark.catalog.listTables("bronze")] == ["t"]
+
+
 def test_a_failed_write_leaves_the_table(spark, lake):
     replace_table(frame(spark, (1, "a")), lake, "bronze.t")
     broken = spark.createDataFrame([("x",)], "s string").selectExpr(
@@ -85,7 +125,9 @@ def landing(spark, plant_rows):
     }
 
 
-def test_build_increment_and_refresh(spark, lake):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_build_increment_and_refresh(spark, lake, buckets):
+    lake = dataclasses.replace(lake, buckets=buckets)
     first, feed = increments(spark)
     report = pipeline.run(spark, landing(spark, first), lake, P)
     assert report.count() == len(pipeline.CHECKS) == 15
