@@ -23,12 +23,6 @@ from stratalake.sources import landing as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The benchmark tables.
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
-
 # Whole builds number their rows; a mart alone does not need the keys.
 PARAMS = BuildParams(as_of=fx.AS_OF)
 MART_ONLY = BuildParams(as_of=fx.AS_OF, number_rows=False)
@@ -283,7 +277,7 @@ def ordered_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    return sink.load_counts({name: fx.table(spark, d, name) for name in TABLES})
+    return sink.load_counts({name: fx.table(spark, d, name) for name in fx.SCHEMAS})
 
 
 # data quality

@@ -8,7 +8,7 @@ import decimal
 import duckdb
 from pyspark.sql import DataFrame
 
-from stratalake.checks.queries import TABLES
+from stratalake.fixtures import SCHEMAS
 
 # Spark type -> DuckDB type that the driver's value hash treats alike.
 SAME = {
@@ -24,7 +24,7 @@ SAME = {
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for name in TABLES:
+    for name in SCHEMAS:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
 

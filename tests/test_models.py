@@ -172,6 +172,23 @@ def test_meta_columns_on_request(spark):
     assert (read.CITY, read.CURRENT_ASSETS, read.AREA) == ("x", 1.5, None)
 
 
+def test_ties_are_decided_by_named_columns(spark):
+    """Also by a column that the model does not carry."""
+    feed = plants(
+        spark,
+        {"id": 1, "updated_at": T0, "state": "new", "meta": "2"},
+        {"id": 1, "updated_at": T0, "state": "active", "meta": "1"},
+    )
+    for columns, state in ((("meta",), "new"), (("state",), "new"), (("number", "meta"), "new")):
+        params = BuildParams(as_of=TODAY, tie_breakers=columns)
+        assert bronze.stg_plants(feed, params).first().PLANT_status == state
+
+
+def test_rows_that_differ_outside_the_model_are_one(spark):
+    rows = [{"id": 1, "updated_at": T0, "state": "new", "meta": str(i)} for i in range(20)]
+    assert bronze.stg_plants(plants(spark, *rows), P).count() == 1
+
+
 def increments(spark):
     first = plants(spark, *[{"id": i, "updated_at": T0} for i in (20, 40, 10)])
     more = plants(
