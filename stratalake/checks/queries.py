@@ -144,12 +144,12 @@ def target_watermark(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_watermark(spark: SparkSession, d: str) -> DataFrame:
     events = fx.table(spark, d, "events")
-    return newer_than(events, "ts", events.filter(F.col("ts") <= F.lit(fx.SPLIT)), "ts")
+    return newer_than(events, "ts", events.filter(fx.before_split("ts")), "ts")
 
 
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     events = fx.table(spark, d, "events")
-    before = F.col("ts") <= F.lit(fx.SPLIT)
+    before = fx.before_split("ts")
     target = latest_per_key(events.filter(before), "user_id", "ts")
     source_rows = latest_per_key(events.filter(~before), "user_id", "ts")
     return upsert(target, written(source_rows, "merge-source"), "user_id")

@@ -15,7 +15,7 @@ from stratalake.functions.labels import label
 from stratalake.sources.landing import scan
 
 AS_OF = dt.date(2019, 6, 30)
-SPLIT = dt.datetime(2024, 1, 25)
+SPLIT = "2024-01-25 00:00:00"
 
 ORDER_STATE = {"F": "closed", "O": "active", "P": "new"}
 ORDER_PROVIDER = {
@@ -159,5 +159,10 @@ def plants_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def before_split(column: str) -> Column:
+    """Rows of the first load."""
+    return F.col(column) <= F.lit(SPLIT).cast("timestamp_ntz")
+
+
 def feed_until_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plants_feed(spark, sf_dir).filter(F.col("updated_at") <= F.lit(SPLIT))
+    return plants_feed(spark, sf_dir).filter(before_split("updated_at"))

@@ -26,14 +26,17 @@ def newer_than(
 ) -> DataFrame:
     """Feed rows past the target's watermark.
 
-    The watermark is a scalar subquery: Spark computes it first and pushes the
-    value into the file scan of the feed. Rows equal to the maximum that arrive
-    late are skipped unless ``inclusive``; reading them again is harmless
-    because the merge replaces whole rows.
+    The watermark, one row, is computed once and becomes a literal: however often
+    the feed is read later, the target is scanned once, and the literal reaches
+    the file scan of the feed. Rows equal to the maximum that arrive late are
+    skipped unless ``inclusive``; reading them again is harmless because the
+    merge replaces whole rows.
     """
-    mark = watermark(target, target_column).scalar()
+    mark = watermark(target, target_column).first().watermark
+    # As text: a Python datetime would be read in the time zone of the driver.
+    limit = F.lit(mark.isoformat(" ")).cast("timestamp_ntz")
     stamp = to_timestamp(feed, column)
-    return feed.filter(stamp >= mark if inclusive else stamp > mark)
+    return feed.filter(stamp >= limit if inclusive else stamp > limit)
 
 
 def upsert(

@@ -162,7 +162,19 @@ def test_watermark_reaches_the_scan(spark, tmp_path):
     versions(spark, [(1, T0, "a")]).write.parquet(path)
     feed = spark.read.parquet(path)
     text = newer_than(feed, "updated_at", feed, "updated_at")._jdf.queryExecution().toString()
-    assert "GreaterThan(updated_at,ScalarSubquery" in text
+    assert "GreaterThan(updated_at,2024-01-01T00:00)" in text
+
+
+def test_watermark_keeps_microseconds_and_wall_clock(spark):
+    at = T0 + dt.timedelta(microseconds=5)
+    target = versions(spark, [(1, at, "a")])
+    feed = versions(spark, [(1, at, "same"), (2, at + dt.timedelta(microseconds=1), "next")])
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Riyadh")
+    try:
+        got = [r.id for r in newer_than(feed, "updated_at", target, "updated_at").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [2]
 
 
 CURRENT = st.dictionaries(st.integers(1, 6), st.text("abc", max_size=2), max_size=6)
