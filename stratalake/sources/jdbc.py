@@ -6,6 +6,7 @@ rows from the database to storage and nothing passes through the driver.
 
 from __future__ import annotations
 
+import datetime as dt
 import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ class Dialect:
     port: int
     quotes: str
     qualified: bool = True
+    backslash_escapes: bool = False
+    typed_dates: bool = True
 
     def quote(self, name: str) -> str:
         return f"{self.quotes[0]}{name}{self.quotes[1]}"
@@ -40,25 +43,39 @@ class Dialect:
             return self.quote(table)
         return f"{self.quote(schema)}.{self.quote(table)}"
 
-    def literal(self, value: Any) -> str:
-        """A key value as SQL text; numbers and text only."""
-        if isinstance(value, decimal.Decimal):
-            return format(value, "f")
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return repr(value)
-        if isinstance(value, str):
-            text = value.replace("'", "''")
-            if self.quotes == "``":
-                text = text.replace("\\", "\\\\")
-            return f"'{text}'"
-        raise TypeError(f"no literal for a key of type {type(value).__name__}")
+    def literal(self, value: Any) -> str | None:
+        """A key value as SQL text; None for a type that has no safe spelling."""
+        match value:
+            case bool():
+                return None
+            case int() | float():
+                return repr(value)
+            case decimal.Decimal():
+                return format(value, "f")
+            case dt.datetime():
+                text = value.isoformat(" " if self.typed_dates else "T")
+                return f"TIMESTAMP '{text}'" if self.typed_dates else f"'{text}'"
+            case dt.date():
+                text = value.isoformat()
+                return f"DATE '{text}'" if self.typed_dates else f"'{text}'"
+            case str():
+                text = value.replace("'", "''")
+                if self.backslash_escapes:
+                    text = text.replace("\\", "\\\\")
+                return f"'{text}'"
+        return None
 
 
 # JDBC driver classes, address patterns, default ports and name
 # quotes of the five databases. MySQL reads the schema named in its address.
 DIALECTS = {
     "mysql": Dialect(
-        "com.mysql.cj.jdbc.Driver", "jdbc:mysql://{host}:{port}/{database}", 3306, "``", False
+        "com.mysql.cj.jdbc.Driver",
+        "jdbc:mysql://{host}:{port}/{database}",
+        3306,
+        "``",
+        qualified=False,
+        backslash_escapes=True,
     ),
     "postgres": Dialect(
         "org.postgresql.Driver", "jdbc:postgresql://{host}:{port}/{database}", 5432, '""'
@@ -68,6 +85,7 @@ DIALECTS = {
         "jdbc:sqlserver://{host}:{port};databaseName={database}",
         1433,
         "[]",
+        typed_dates=False,
     ),
     "oracle": Dialect(
         "oracle.jdbc.OracleDriver", "jdbc:oracle:thin:@//{host}:{port}/{database}", 1521, '""'
@@ -129,28 +147,32 @@ def count_sql(dialect: Dialect, schema: str, table: str) -> str:
     return f"SELECT COUNT(*) AS n FROM {dialect.table(schema, table)}"
 
 
-def range_starts_sql(
-    dialect: Dialect, schema: str, table: str, key: str, ranges: int
-) -> str:
-    """Lowest key of each of ``ranges`` equally large key ranges.
+def range_starts_sql(dialect: Dialect, schema: str, table: str, key: str, rows: int) -> str:
+    """(key, row number) of the first row of every range of ``rows`` rows.
 
     Equal row counts, unlike equal key widths, hold up when ids have gaps or
     clusters; and text keys split as well as numbers.
     """
     k = dialect.quote(check_identifier(key, "primary_key"))
     return (
-        f"SELECT MIN(t.k) AS start_key FROM (SELECT {k} AS k, NTILE({ranges}) OVER (ORDER BY {k})"
-        f" AS tile FROM {dialect.table(schema, table)} WHERE {k} IS NOT NULL) t GROUP BY t.tile"
+        f"SELECT t.k AS start_key, t.r AS start_row FROM (SELECT {k} AS k, ROW_NUMBER() OVER (ORDER BY {k}) AS r"
+        f" FROM {dialect.table(schema, table)} WHERE {k} IS NOT NULL) t"
+        f" WHERE t.r - 1 = FLOOR((t.r - 1) / {rows}) * {rows}"
     )
 
 
+def in_row_order(starts: Sequence[Sequence[Any]]) -> list[Any]:
+    """Start keys in the order of the database, whose text order may not be ours."""
+    return [key for key, _ in sorted(starts, key=lambda start: start[1])]
+
+
 def range_predicates(dialect: Dialect, key: str, starts: Sequence[Any]) -> list[str]:
     """Conditions that put every row in exactly one read, in key order. The first
     also takes the rows without a key. Equal starts (one key over several
-    ranges) fall together."""
+    ranges) fall together. Keys without a literal are not split."""
     k = dialect.quote(check_identifier(key, "primary_key"))
     cuts = [dialect.literal(v) for v in dict.fromkeys(starts)][1:]
-    if not cuts:
+    if not cuts or None in cuts:
         return ["1 = 1"]
     middle = [f"{k} >= {low} AND {k} < {high}" for low, high in zip(cuts, cuts[1:])]
     return [f"{k} < {cuts[0]} OR {k} IS NULL", *middle, f"{k} >= {cuts[-1]}"]
@@ -178,10 +200,12 @@ def read_table(
     def rows(sql: str) -> DataFrame:
         return spark.read.jdbc(url, f"({sql}) q", properties=properties)
 
-    total = rows(count_sql(dialect, schema, table)).first()[0]
-    ranges = max(1, min(MAX_READS, -(-int(total) // rows_per_read)))
-    # At most ``ranges`` start keys come to the driver, never rows.
-    starts = rows(range_starts_sql(dialect, schema, table, primary_key, ranges)).collect()
-    predicates = range_predicates(dialect, primary_key, sorted(r[0] for r in starts))
+    predicates = ["1 = 1"]
+    total = int(rows(count_sql(dialect, schema, table)).first()[0])
+    if total > rows_per_read:
+        size = max(rows_per_read, -(-total // MAX_READS))
+        # At most MAX_READS start keys come to the driver, never rows.
+        starts = rows(range_starts_sql(dialect, schema, table, primary_key, size)).collect()
+        predicates = range_predicates(dialect, primary_key, in_row_order(starts))
     read = spark.read.jdbc(url, name, predicates=predicates, properties=properties)
     return read.sortWithinPartitions(f"`{primary_key}`")

@@ -213,20 +213,80 @@ def test_connection_settings(spark):
         ("oracle", decimal.Decimal("1E+3"), "1000"),
         ("postgres", "o'x\\", "'o''x\\'"),
         ("mysql", "o'x\\", "'o''x\\\\'"),
+        ("oracle", dt.date(2024, 2, 29), "DATE '2024-02-29'"),
+        ("sap_hana", dt.datetime(2024, 2, 29, 1, 2, 3, 4), "TIMESTAMP '2024-02-29 01:02:03.000004'"),
+        ("sqlserver", dt.datetime(2024, 2, 29, 1, 2, 3), "'2024-02-29T01:02:03'"),
+        ("mysql", True, None),
+        ("mysql", b"x", None),
     ],
 )
 def test_key_literals(dialect, value, text):
     assert jdbc.DIALECTS[dialect].literal(value) == text
 
 
-def test_other_key_types_have_no_literal():
-    with pytest.raises(TypeError):
-        jdbc.DIALECTS["mysql"].literal(True)
+def test_keys_without_literal_are_read_at_once():
+    assert jdbc.range_predicates(jdbc.DIALECTS["mysql"], "id", [b"a", b"b"]) == ["1 = 1"]
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+class Reader:
+    """Stands for spark.read: records the reads and answers from DuckDB."""
+
+    def __init__(self, spark, con):
+        self.read, self.spark, self.con, self.reads = self, spark, con, []
+
+    def jdbc(self, url, table, predicates=("1 = 1",), properties=None):
+        self.reads.append((table, list(predicates)))
+        parts = [self.con.sql(f"SELECT * FROM {table} WHERE {p}").fetchall() for p in predicates]
+        names = self.con.sql(f"SELECT * FROM {table}").columns
+        frames = [self.spark.createDataFrame(p, ", ".join(f"{n} bigint" for n in names)) for p in parts if p]
+        result = frames[0].coalesce(1)
+        for frame in frames[1:]:
+            result = result.union(frame.coalesce(1))
+        return result
+
+
+@pytest.fixture
+def reader(spark):
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA erp")
+    con.execute("CREATE TABLE erp.plants AS SELECT i * i AS id, i AS n FROM range(1000, 0, -1) r(i)")
+    yield Reader(spark, con)
+    con.close()
+
+
+def test_table_is_read_in_key_ranges(reader):
+    source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
+    rows = jdbc.read_table(reader, source, "erp", "plants", "id", rows_per_read=300)
+    table, predicates = reader.reads[-1]
+    assert table == '"erp"."plants"'
+    assert predicates == [
+        '"id" < 90601 OR "id" IS NULL',
+        '"id" >= 90601 AND "id" < 361201',
+        '"id" >= 361201 AND "id" < 811801',
+        '"id" >= 811801',
+    ]
+    # In key order over the partitions and inside each.
+    assert [r.n for r in rows.collect()] == list(range(1, 1001))
+
+
+def test_small_table_is_one_read(reader):
+    source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
+    assert jdbc.read_table(reader, source, "erp", "plants").count() == 1000
+    assert [t for t, _ in reader.reads] == [
+        '(SELECT COUNT(*) AS n FROM "erp"."plants") q',
+        '"erp"."plants"',
+    ]
+
+
+def test_table_without_key_is_one_plain_read(reader):
+    source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
+    assert jdbc.read_table(reader, source, "erp", "plants", None).count() == 1000
+    assert len(reader.reads) == 1
+
+
+@pytest.mark.parametrize("rows", [5000, 750, 211, 24])
 @pytest.mark.parametrize("key", ["number", "text", "hot"])
-def test_ranges_cover_every_row_once(key, ranges):
+def test_ranges_cover_every_row_once(key, rows):
     """The generated SQL on keys with gaps, text keys, one key with a third of
     all rows, and rows without a key."""
     postgres = jdbc.DIALECTS["postgres"]
@@ -237,12 +297,12 @@ def test_ranges_cover_every_row_once(key, ranges):
         CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE o_orderkey END AS hot FROM '{ORDERS}'"""
     )
     total = con.sql(jdbc.count_sql(postgres, "main", "t")).fetchall()[0][0]
-    starts = con.sql(jdbc.range_starts_sql(postgres, "main", "t", key, ranges)).fetchall()
-    predicates = jdbc.range_predicates(postgres, key, sorted(r[0] for r in starts))
+    starts = con.sql(jdbc.range_starts_sql(postgres, "main", "t", key, rows)).fetchall()
+    predicates = jdbc.range_predicates(postgres, key, jdbc.in_row_order(starts))
     sizes = [con.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in predicates]
     assert sum(sizes) == total == con.sql(f"SELECT count(*) FROM '{ORDERS}'").fetchall()[0][0]
     if key != "hot":
-        assert len(sizes) == ranges and max(sizes) <= total // ranges + 2
+        assert max(sizes) <= rows + 1  # and the row without a key
     con.close()
 
 
