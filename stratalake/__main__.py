@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalake import contracts
 from stratalake.params import BuildParams
 from stratalake.plans import pipeline
+from stratalake.scratch import clear
 from stratalake.sinks.landing import table_path
 from stratalake.sinks.tables import Lake
 from stratalake.sources.config import load_entries
@@ -73,9 +74,7 @@ def _show(loaded: Sequence[Loaded]) -> None:
         print(f"{copy.rows} rows in {copy.path}")
 
 
-def main(argv: Sequence[str] | None = None) -> None:
-    args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"stratalake-{args.environment}").getOrCreate()
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "ingest-tables":
         required = MYSQL_TABLE_KEYS if args.dialect == "mysql" else TABLE_KEYS
         setting = f"stratalake.{args.dialect}.tables"
@@ -112,5 +111,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         report.show(truncate=False)
 
 
+def main(argv: Sequence[str] | None = None) -> None:
+    args = parser().parse_args(argv)
+    spark = SparkSession.builder.appName(f"stratalake-{args.environment}").getOrCreate()
+    try:
+        run(spark, args)
+    finally:
+        clear(spark)
+
+
 if __name__ == "__main__":
     main()

@@ -242,13 +242,13 @@ def json_shape_route(spark: SparkSession, d: str) -> DataFrame:
 
 def json_tabular_rows(spark: SparkSession, d: str) -> DataFrame:
     """Objects of the tabular bodies as typed rows."""
-    items = (
+    items = payload.typed_items(F.col("body"), {"k": "bigint"})
+    return (
         _bodies(spark, d)
         .filter(payload.is_tabular(F.col("body")))
-        .select("event_id", F.posexplode(payload.array_items(F.col("body"))).alias("row", "item"))
+        .select("event_id", F.posexplode(items).alias("row", "item"))
+        .select("event_id", "row", "item.k")
     )
-    fields = payload.extract_fields(F.col("item"), {"k": "bigint"})
-    return items.select("event_id", "row", fields.getField("k").alias("k"))
 
 
 # landing

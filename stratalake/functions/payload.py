@@ -21,7 +21,15 @@ def array_items(body: Column) -> Column:
     return F.from_json(body, "array<string>")
 
 
+def typed_items(body: Column, types: Mapping[str, str]) -> Column:
+    """Elements of a JSON array of objects as structs of declared fields."""
+    return F.from_json(body, f"array<struct<{_ddl(types, ': ')}>>")
+
+
 def extract_fields(document: Column, types: Mapping[str, str]) -> Column:
     """Struct of typed fields of a JSON document; a missing field is NULL."""
-    ddl = ", ".join(f"`{name}` {t}" for name, t in types.items())
-    return F.from_json(document, ddl)
+    return F.from_json(document, _ddl(types, " "))
+
+
+def _ddl(types: Mapping[str, str], separator: str) -> str:
+    return ", ".join(f"`{name}`{separator}{t}" for name, t in types.items())

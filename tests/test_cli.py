@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from test_models import T0, licenses, plants
 
 from stratalake.__main__ import main
+from stratalake.scratch import scratch_root
 from stratalake.sinks.landing import table_path, write_snapshot
 
 
@@ -31,6 +33,8 @@ def test_build_then_check(spark, landing, tmp_path, capsys):
     assert capsys.readouterr().out.count("|unique") == 5
     assert str(spark.table("gold.dm_plant").first().total_plant) == "1"
     assert str(spark.table("bronze.stg_plants").first().LOAD_DATE) == "2024-06-30"
+    folder = f"{scratch_root(spark)}/stratalake/{spark.sparkContext.applicationId}"
+    assert not os.path.exists(folder)
     main(["check", *where, "--layers", "gold"])
     assert "dm_plant" in capsys.readouterr().out
 
