@@ -16,7 +16,7 @@ from stratalake.operators.incremental import newer_than, upsert, watermark
 from stratalake.operators.numbering import add_surrogate_key
 from stratalake.operators.spine import date_bounds, date_spine
 from stratalake.params import BuildParams
-from stratalake.plans import bronze, gold, silver
+from stratalake.plans import bronze, gold, pipeline, silver
 from stratalake.scratch import scratch_path, written
 from stratalake.sinks import landing as sink
 from stratalake.sources import landing as source
@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Whole builds number their rows; a mart alone does not need the keys.
 PARAMS = BuildParams(as_of=fx.AS_OF)
 MART_ONLY = BuildParams(as_of=fx.AS_OF, number_rows=False)
+RESTART = BuildParams(as_of=fx.AS_OF, restart_keys=True)
 
 DQ_CHECKS = (
     quality.Check("plants", "id", quality.NOT_NULL),
@@ -58,6 +59,17 @@ def stg_plants_incremental(spark: SparkSession, d: str) -> DataFrame:
     return upsert(first, written(rows, "increment"), "PLANT_ID")
 
 
+def stg_plants_restart(spark: SparkSession, d: str) -> DataFrame:
+    """The increment alone, numbered from 1."""
+    first = bronze.stg_plants(fx.feed_until_split(spark, d), MART_ONLY)
+    return bronze.stg_plants(fx.plants_feed(spark, d), RESTART, target=first)
+
+
+def stg_licenses_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """Licenses whose integers landed as doubles."""
+    return bronze.stg_licenses(casts.promote_integers(fx.licenses(spark, d)), PARAMS)
+
+
 def dim_plant_profile(spark: SparkSession, d: str) -> DataFrame:
     return silver.dim_plant_profile(
         bronze.stg_plants(fx.plants(spark, d), PARAMS),
@@ -147,6 +159,11 @@ def incremental_watermark(spark: SparkSession, d: str) -> DataFrame:
     return newer_than(events, "ts", events.filter(fx.before_split("ts")), "ts")
 
 
+def incremental_inclusive(spark: SparkSession, d: str) -> DataFrame:
+    events = fx.table(spark, d, "events")
+    return newer_than(events, "ts", events.filter(fx.before_split("ts")), "ts", inclusive=True)
+
+
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     events = fx.table(spark, d, "events")
     before = fx.before_split("ts")
@@ -265,6 +282,19 @@ def landing_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return source.scan(spark, path, rows.schema)
 
 
+def records_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "records")
+    rows = fx.table(spark, d, "orders")
+    sink.write_records(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def documents_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "documents")
+    sink.write_documents(_bodies(spark, d), "body", path)
+    return spark.read.text(path).withColumnRenamed("value", "body")
+
+
 def promote_integers(spark: SparkSession, d: str) -> DataFrame:
     return casts.promote_integers(fx.table(spark, d, "customer"))
 
@@ -309,16 +339,36 @@ def dq_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.report(tables, DQ_CHECKS)
 
 
+def dq_suite(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of the pipeline over all landed and built tables."""
+    plants, licenses = fx.plants(spark, d), fx.licenses(spark, d)
+    stage = bronze.stg_plants(plants, MART_ONLY)
+    license_stage = bronze.stg_licenses(licenses, MART_ONLY)
+    profile = silver.dim_plant_profile(stage, license_stage)
+    tables = {
+        "plants": plants,
+        "licenses": licenses,
+        "stg_plants": stage,
+        "stg_licenses": license_stage,
+        "dw_dim_plant_profile": profile,
+        "dw_dim_date": dim_date(spark, d),
+        "dm_plant": gold.dm_plant(profile),
+    }
+    return quality.report(tables, pipeline.CHECKS)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         dm_plant, dim_plant_profile, stg_plants, stg_licenses, stg_plants_incremental,
-        pipeline_end_to_end, dim_date, digits_spine, date_parts_on_orders, fact_by_calendar,
-        dedup_latest, surrogate_key, target_watermark, incremental_watermark, merge_upsert,
+        stg_plants_restart, stg_licenses_promoted, pipeline_end_to_end, dim_date, digits_spine, date_parts_on_orders, fact_by_calendar,
+        dedup_latest, surrogate_key, target_watermark, incremental_watermark, incremental_inclusive,
+        merge_upsert,
         map_state_label, map_provider_label, license_cycle, license_status,
         blank_to_null_cast, nullif_cast, cast_columns, typed_null_placeholders,
         meta_json_extract, json_shape_route, json_tabular_rows, scan_parquet,
-        landing_roundtrip, promote_integers, ordered_export, load_row_counts,
+        landing_roundtrip, records_roundtrip, documents_roundtrip, promote_integers, ordered_export, load_row_counts,
         dq_not_null, dq_unique, dq_no_future_dates, dq_no_negative_counts, dq_report,
+        dq_suite,
     )
 }

@@ -155,7 +155,8 @@ def range_starts_sql(dialect: Dialect, schema: str, table: str, key: str, rows:
     """
     k = dialect.quote(check_identifier(key, "primary_key"))
     return (
-        f"SELECT t.k AS start_key, t.r AS start_row FROM (SELECT {k} AS k, ROW_NUMBER() OVER (ORDER BY {k}) AS r"
+        "SELECT t.k AS start_key, t.r AS start_row FROM"
+        f" (SELECT {k} AS k, ROW_NUMBER() OVER (ORDER BY {k}) AS r"
         f" FROM {dialect.table(schema, table)} WHERE {k} IS NOT NULL) t"
         f" WHERE t.r - 1 = FLOOR((t.r - 1) / {rows}) * {rows}"
     )
