@@ -54,11 +54,8 @@ def negative_rows(df: DataFrame, column: str) -> DataFrame:
     return failing_rows(df, F.col(column) < 0)
 
 
-def _null_counts(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """All not_null checks of one table in one aggregation."""
-    counts = df.agg(
-        *[F.count_if(F.col(c.column).isNull()).alias(f"_{i}") for i, c in enumerate(checks)]
-    )
+def _as_rows(counts: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """One report row per check from one row of counts, columns _0, _1, ..."""
     rows = [
         F.struct(
             F.lit(c.table).alias("table_name"),
@@ -71,32 +68,45 @@ def _null_counts(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _duplicate_count(df: DataFrame, check: Check) -> DataFrame:
-    return (
-        duplicate_values(df, check.column)
-        .agg(F.count(F.lit(1)).alias("failures"))
-        .select(
-            F.lit(check.table).alias("table_name"),
-            F.lit(check.column).alias("column_name"),
-            F.lit(check.test).alias("test_name"),
-            "failures",
-        )
-    )
+def _null_counts(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """not_null checks of several columns in one aggregation."""
+    counts = [
+        F.count_if(F.col(c.column).isNull()).alias(f"_{i}") for i, c in enumerate(checks)
+    ]
+    return _as_rows(df.agg(*counts), checks)
+
+
+def _value_counts(df: DataFrame, column: str, checks: Sequence[Check]) -> DataFrame:
+    """unique and not_null checks of one column from its value counts. Counts are
+    combined before the shuffle, NULLs included."""
+    value = F.col(column)
+    sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    failures = {
+        UNIQUE: F.count_if(value.isNotNull() & (F.col("_n") > 1)),
+        NOT_NULL: F.coalesce(F.sum(F.when(value.isNull(), F.col("_n"))), F.lit(0).cast("long")),
+    }
+    counts = [failures[c.test].alias(f"_{i}") for i, c in enumerate(checks)]
+    return _as_rows(sizes.agg(*counts), checks)
 
 
 def report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
-    """One row per check: table_name, column_name, test_name, failures."""
+    """One row per check: table_name, column_name, test_name, failures.
+
+    A table is read once for all its not_null checks and once for each column
+    that must be unique, whose NULLs are counted on the way.
+    """
     parts = []
     for name in dict.fromkeys(c.table for c in checks):
         mine = [c for c in checks if c.table == name]
-        nulls = [c for c in mine if c.test == NOT_NULL]
-        if nulls:
-            parts.append(_null_counts(tables[name], nulls))
         for check in mine:
-            if check.test == UNIQUE:
-                parts.append(_duplicate_count(tables[name], check))
-            elif check.test != NOT_NULL:
+            if check.test not in (UNIQUE, NOT_NULL):
                 raise ValueError(f"unknown test {check.test!r}")
+        unique = dict.fromkeys(c.column for c in mine if c.test == UNIQUE)
+        for column in unique:
+            same = [c for c in mine if c.column == column]
+            parts.append(_value_counts(tables[name], column, same))
+        if nulls := [c for c in mine if c.column not in unique]:
+            parts.append(_null_counts(tables[name], nulls))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
