@@ -7,11 +7,11 @@ derive them from orders, customer and events. Row counts follow those tables.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stratalake.contracts import LANDING_LICENSES, LANDING_PLANTS, PROVIDER_LABELS
-from stratalake.functions.labels import label
 from stratalake.sources.landing import scan
 
 AS_OF = dt.date(2019, 6, 30)
@@ -62,99 +62,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def _shaped(df: DataFrame, ddl: str, columns: dict[str, Column]) -> DataFrame:
-    """Landing columns in declared order; those not given are NULL."""
-    return df.select(
+def _shaped(df: DataFrame, ddl: str, columns: Mapping[str, str]) -> DataFrame:
+    """Landing columns in declared order, from SQL expressions; others are NULL."""
+    return df.selectExpr(
         *[
-            columns[f.name].cast(f.dataType).alias(f.name)
-            if f.name in columns
-            else F.expr(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}")
+            f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in T.StructType.fromDDL(ddl).fields
         ]
     )
 
 
-def _day(start: str, days: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), days.cast("int"))
+def _coded(column: str, codes: Mapping[str, str]) -> str:
+    whens = " ".join(f"WHEN '{code}' THEN '{value}'" for code, value in codes.items())
+    return f"CASE {column} {whens} END"
 
 
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plant per order."""
-    o = F.col
-    license_id = (
-        F.when(o("o_orderkey") % 13 == 0, F.lit(None))
-        .when(o("o_orderkey") % 17 == 0, o("o_custkey") + 1_000_000)
-        .otherwise(o("o_custkey"))
-    )
     return _shaped(
         table(spark, sf_dir, "orders"),
         LANDING_PLANTS,
         {
-            "id": o("o_orderkey"),
-            "license_id": license_id,
-            "state": label(o("o_orderstatus"), ORDER_STATE),
-            "land_provider": label(o("o_orderpriority"), ORDER_PROVIDER),
-            "created_at": o("o_orderdate"),
-            "updated_at": o("o_orderdate"),
-            "number": o("o_orderkey"),
+            "id": "o_orderkey",
+            "license_id": """CASE WHEN o_orderkey % 13 = 0 THEN NULL
+                WHEN o_orderkey % 17 = 0 THEN o_custkey + 1000000 ELSE o_custkey END""",
+            "state": _coded("o_orderstatus", ORDER_STATE),
+            "land_provider": _coded("o_orderpriority", ORDER_PROVIDER),
+            "created_at": "o_orderdate",
+            "updated_at": "o_orderdate",
+            "number": "o_orderkey",
         },
     )
 
 
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One license per customer."""
-    k = F.col("c_custkey")
-    start = "2015-01-01"
-    flag_day = F.lit("2018-01-01").cast("timestamp_ntz")
-    created = _day(start, k % 1000)
+
+    def day(offset: str) -> str:
+        return f"date_add(DATE '2015-01-01', CAST({offset} AS INT))"
+
+    def flagged(divisor: int) -> str:
+        return f"CASE WHEN c_custkey % {divisor} = 0 THEN DATE '2018-01-01' END"
+
+    created = day("c_custkey % 1000")
+    expiry = day("c_custkey % 1000 + 365 * (1 + c_custkey % 9)")
     return _shaped(
         table(spark, sf_dir, "customer"),
         LANDING_LICENSES,
         {
-            "id": k,
-            "number": F.when(k % 3 == 0, F.lit("")).otherwise(k.cast("string")),
-            "issue_date": F.when(k % 19 != 0, created),
-            "expires_at": F.when(k % 23 != 0, _day(start, k % 1000 + 365 * (1 + k % 9))),
-            "deleted_at": F.when(k % 29 == 0, flag_day),
-            "canceled_at": F.when(k % 31 == 0, flag_day),
-            "suspended_at": F.when(k % 37 == 0, flag_day),
+            "id": "c_custkey",
+            "number": "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey AS STRING) END",
+            "issue_date": f"CASE WHEN c_custkey % 19 <> 0 THEN {created} END",
+            "expires_at": f"CASE WHEN c_custkey % 23 <> 0 THEN {expiry} END",
+            "deleted_at": flagged(29),
+            "canceled_at": flagged(31),
+            "suspended_at": flagged(37),
             "created_at": created,
             "updated_at": created,
-            "user_id": k,
-            "investor_id": k % 50,
-            "commercial_entity_id": k % 70,
+            "user_id": "c_custkey",
+            "investor_id": "c_custkey % 50",
+            "commercial_entity_id": "c_custkey % 70",
         },
     )
 
 
 def plants_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plant version per event, many versions per user."""
-    e, user = F.col("event_id"), F.col("user_id")
-    providers = F.array(*[F.lit(code) for code in (*PROVIDER_LABELS, "ZZZ")])
+    providers = ", ".join(f"'{code}'" for code in (*PROVIDER_LABELS, "ZZZ"))
 
-    def text_number(value: Column) -> Column:
-        return (
-            F.when(e % 4 == 1, F.lit(""))
-            .when(e % 4 == 2, F.lit("  "))
-            .when(e % 4 == 3, value.cast("string"))
-        )
+    def text_number(value: str) -> str:
+        return f"""CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN '  '
+            WHEN 3 THEN CAST({value} AS STRING) END"""
 
     return _shaped(
         table(spark, sf_dir, "events"),
         LANDING_PLANTS,
         {
-            "id": user,
-            "updated_at": F.col("ts"),
-            "state": F.when(e % 11 == 0, F.lit("legacy")).otherwise(
-                label(F.col("event_type"), EVENT_STATE)
-            ),
-            "land_provider": F.get(providers, (e % 15).cast("int")),
-            "number": text_number(e),
-            "main_activity_code_l2": text_number(e % 100),
-            "main_activity_code_l4": text_number(e % 10000),
-            "license_id": F.when(user % 7 != 0, user % 40),
-            "created_at": _day("2010-01-01", user % 5000),
-            "meta": F.col("props"),
+            "id": "user_id",
+            "updated_at": "ts",
+            "state": f"""CASE WHEN event_id % 11 = 0 THEN 'legacy'
+                ELSE {_coded("event_type", EVENT_STATE)} END""",
+            "land_provider": f"get(array({providers}), CAST(event_id % 15 AS INT))",
+            "number": text_number("event_id"),
+            "main_activity_code_l2": text_number("event_id % 100"),
+            "main_activity_code_l4": text_number("event_id % 10000"),
+            "license_id": "CASE WHEN user_id % 7 <> 0 THEN user_id % 40 END",
+            "created_at": "date_add(DATE '2010-01-01', CAST(user_id % 5000 AS INT))",
+            "meta": "props",
         },
     )
 

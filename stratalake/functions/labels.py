@@ -14,8 +14,8 @@ def label(code: Column, labels: Mapping[str, str]) -> Column:
 
     The map is a literal, folded at planning: no join and no UDF.
     """
-    pairs = [F.lit(x) for pair in labels.items() for x in pair]
-    return F.create_map(*pairs)[code]
+    pairs = ", ".join(f"'{key}', '{text}'" for key, text in labels.items())
+    return F.expr(f"map({pairs})")[code]
 
 
 def state_label(code: Column) -> Column:

@@ -72,10 +72,10 @@ def _latest_numbered(
     return attach_keys(latest, keys, "id", key_col)
 
 
-def _column(df: DataFrame, source: str, rule: str, params: BuildParams) -> Column:
+def _column(df: DataFrame, source: str, rule: str, params: BuildParams) -> Column | str:
     match rule:
         case "keep":
-            return F.col(source)
+            return source
         case "timestamp":
             return to_timestamp(df, source)
         case "date":
@@ -116,9 +116,10 @@ def _stage(
         from_meta = [F.col(f"_meta.{name}").alias(name) for name in meta]
     else:
         from_meta = typed_nulls(meta)
+    named = {out: _column(rows, *columns[out], params) for out in columns}
     return rows.select(
         key_col,
-        *[_column(rows, source, rule, params).alias(out) for out, (source, rule) in columns.items()],
+        *[F.expr(f"{c} AS {out}") if isinstance(c, str) else c.alias(out) for out, c in named.items()],
         *from_meta,
         params.today().alias("LOAD_DATE"),
     )
