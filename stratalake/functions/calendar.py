@@ -20,7 +20,8 @@ MONTHS = (
 
 def _name(names: Sequence[str], position: Column) -> Column:
     """Name at a 1-based position."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position)
+    listed = ", ".join(f"'{n}'" for n in names)
+    return F.element_at(F.expr(f"array({listed})"), position)
 
 
 def day_of_week(day: Column) -> Column:

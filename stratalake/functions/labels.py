@@ -9,12 +9,18 @@ from pyspark.sql import Column, functions as F
 from stratalake.contracts import PROVIDER_LABELS, STATE_LABELS
 
 
+def sql_text(value: str) -> str:
+    """A text as SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def label(code: Column, labels: Mapping[str, str]) -> Column:
     """Label of a code; NULL for an unknown or NULL code.
 
     The map is a literal, folded at planning: no join and no UDF.
     """
-    pairs = ", ".join(f"'{key}', '{text}'" for key, text in labels.items())
+    pairs = ", ".join(sql_text(x) for pair in labels.items() for x in pair)
     return F.expr(f"map({pairs})")[code]
 
 

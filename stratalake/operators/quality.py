@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stratalake.functions.labels import sql_text
+
 NOT_NULL = "not_null"
 UNIQUE = "unique"
 
@@ -57,15 +59,11 @@ def negative_rows(df: DataFrame, column: str) -> DataFrame:
 def _as_rows(counts: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One report row per check from one row of counts, columns _0, _1, ..."""
     rows = [
-        F.struct(
-            F.lit(c.table).alias("table_name"),
-            F.lit(c.column).alias("column_name"),
-            F.lit(c.test).alias("test_name"),
-            F.col(f"_{i}").alias("failures"),
-        )
+        f"named_struct('table_name', {sql_text(c.table)}, 'column_name', {sql_text(c.column)},"
+        f" 'test_name', {sql_text(c.test)}, 'failures', _{i})"
         for i, c in enumerate(checks)
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _null_counts(df: DataFrame, checks: Sequence[Check]) -> DataFrame:

@@ -22,8 +22,8 @@ def dim_plant_profile(plants: DataFrame, licenses: DataFrame) -> DataFrame:
     else plants multiply.
     """
     ours = plants.select(*PROFILE_PLANT_COLUMNS, "LOAD_DATE").withColumnsRenamed(PROFILE_RENAMED)
-    theirs = licenses.select(
-        "LICENSE_ID", *[F.col(c).alias(out) for c, out in PROFILE_LICENSE_COLUMNS.items()]
+    theirs = licenses.select("LICENSE_ID", *PROFILE_LICENSE_COLUMNS).withColumnsRenamed(
+        PROFILE_LICENSE_COLUMNS
     )
     order = [PROFILE_RENAMED.get(c, c) for c in PROFILE_PLANT_COLUMNS]
     return left_join_spread(ours, theirs, "LICENSE_ID", spread_by="PLANT_ID").select(

@@ -32,6 +32,12 @@ def test_every_label(spark, build, table):
     assert found == {**table, "unheard-of": None, None: None}
 
 
+def test_labels_with_quotes(spark):
+    odd = {"a'b": "x\\'y", "c\\": "ش"}
+    df = spark.createDataFrame([(c,) for c in odd], "code string")
+    assert dict(df.select("code", labels.label(F.col("code"), odd)).collect()) == odd
+
+
 LICENSE = "deleted_at date, canceled_at date, suspended_at date, expires_at timestamp_ntz, issue_date date"
 DAY = dt.date(2018, 1, 1)
 TODAY = dt.date(2019, 6, 30)
