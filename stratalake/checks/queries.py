@@ -212,7 +212,8 @@ def blank_to_null_cast(spark: SparkSession, d: str) -> DataFrame:
 
 def nullif_cast(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.licenses(spark, d)
-    return rows.select("id", casts.empty_to_number(rows, "number", "bigint").alias("license_number"))
+    number = casts.empty_to_number(rows, "number", "bigint")
+    return rows.select("id", number.alias("license_number"))
 
 
 def cast_columns(spark: SparkSession, d: str) -> DataFrame:

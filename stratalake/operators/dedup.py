@@ -45,6 +45,5 @@ def latest_per_key(
     else:
         newest_first += [F.col(c).desc_nulls_last() for c in tie_breakers]
     by_key = Window.partitionBy(key).orderBy(*newest_first)
-    return (
-        df.withColumn("_rank", F.row_number().over(by_key)).filter("_rank = 1").drop("_rank", "_tie")
-    )
+    ranked = df.withColumn("_rank", F.row_number().over(by_key))
+    return ranked.filter("_rank = 1").drop("_rank", "_tie")

@@ -72,29 +72,31 @@ def _latest_numbered(
     return attach_keys(latest, keys, "id", key_col)
 
 
-def _column(df: DataFrame, source: str, rule: str, params: BuildParams) -> Column | str:
+def _column(df: DataFrame, out: str, source: str, rule: str, params: BuildParams) -> Column:
     match rule:
         case "keep":
-            return source
+            return F.expr(f"`{source}` AS `{out}`")
         case "timestamp":
-            return to_timestamp(df, source)
+            value = to_timestamp(df, source)
         case "date":
-            return F.col(source).cast("date")
+            value = F.col(source).cast("date")
         case "long_blank":
-            return blank_to_number(df, source, "bigint", params.strict)
+            value = blank_to_number(df, source, "bigint", params.strict)
         case "int_blank":
-            return blank_to_number(df, source, "int", params.strict)
+            value = blank_to_number(df, source, "int", params.strict)
         case "long_empty":
-            return empty_to_number(df, source, "bigint", params.strict)
+            value = empty_to_number(df, source, "bigint", params.strict)
         case "state":
-            return state_label(F.col(source))
+            value = state_label(F.col(source))
         case "provider":
-            return provider_label(F.col(source))
+            value = provider_label(F.col(source))
         case "cycle":
-            return license_cycle(params.today())
+            value = license_cycle(params.today())
         case "status":
-            return license_status(params.today())
-    raise ValueError(f"unknown column rule {rule!r}")
+            value = license_status(params.today())
+        case _:
+            raise ValueError(f"unknown column rule {rule!r}")
+    return value.alias(out)
 
 
 def _stage(
@@ -116,10 +118,9 @@ def _stage(
         from_meta = [F.col(f"_meta.{name}").alias(name) for name in meta]
     else:
         from_meta = typed_nulls(meta)
-    named = {out: _column(rows, *columns[out], params) for out in columns}
     return rows.select(
         key_col,
-        *[F.expr(f"{c} AS {out}") if isinstance(c, str) else c.alias(out) for out, c in named.items()],
+        *[_column(rows, out, *rule, params) for out, rule in columns.items()],
         *from_meta,
         params.today().alias("LOAD_DATE"),
     )
