@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's code to Python workers, wherever the driver was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}.zip"  # on the driver only
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
+def shipped(query: Callable) -> Callable:
+    """``query`` with the package's code shipped before it runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return query(spark, *args)
+
+    return run
 
 
 def free_name(df: DataFrame, stem: str) -> str:

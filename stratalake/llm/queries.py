@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.fixtures import table
-from stratalake.llm import decontaminate, simhash, warc
+from stratalake.llm import (
+    decontaminate,
+    linededup,
+    pieces,
+    quality_rules,
+    rule_ensemble,
+    simhash,
+    toxicity,
+    warc,
+)
+from stratalake.llm.common import shipped
+
+
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, deleted="deleted_lines")
+
+
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.judge(table(spark, d, "documents"))
 
 
 def op5_warc(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +43,24 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.components(table(spark, d, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.encode(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return rule_ensemble.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES = {
-    "op5_warc": op5_warc,
-    "op6_decontamination": op6_decontamination,
-    "op8_simhash": op8_simhash,
+    query.__name__: shipped(query)
+    for query in (
+        op1_line_dedup,
+        op2_toxicity,
+        op3_quality_rules,
+        op5_warc,
+        op6_decontamination,
+        op8_simhash,
+        op9_sentencepiece,
+        op10_quality_classifier,
+    )
 }
