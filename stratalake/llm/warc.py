@@ -250,6 +250,8 @@ def read_records(archive: str, content: bytes, payloads: bool = False) -> Iterat
                 data = inflate.decompress(step, FEED)
                 while data:
                     record.feed(data)
+                    if inflate.eof:  # zlib keeps its input tail here; it must not be fed again
+                        break
                     data = inflate.decompress(inflate.unconsumed_tail, FEED)
                 at += len(step) - len(inflate.unused_data)
             if not inflate.eof:
