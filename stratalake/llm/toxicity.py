@@ -9,8 +9,9 @@ one says little. With counts n, discounts D and backoff mass b,
     P_c(w)     = (1 - b1) max(n_c(w) - D1, 0) / Z_c + b1 N(.w) / N(..)
     P_c(w | u) = (1 - b2) max(n_c(u w) - D2, 0) / n_c(u) + b2 P_c(w)
 
-An expression is kept if a likelihood-ratio test finds it uneven between the classes
-(G2 of at least ``MIN_G2``); for all others the ratio is taken as one. The kept ones grow
+n counts the texts that have an expression, not its repetitions within one. It is kept
+if a likelihood-ratio test finds it uneven between the classes (G2 of at least ``MIN_G2``)
+and its log ratio is at least ``MIN_RATIO``; for all others the ratio is taken as one. The kept ones grow
 with the corpus and are broadcast in parts of at most ``PART_ROWS`` rows; each part reads
 the texts once and adds to the word scores of the parts before.
 
@@ -43,7 +44,8 @@ FOLDS = 5
 FIT_FOLD = 1
 FIT_ROWS = 20_000
 STRETCH = 24
-MIN_G2 = 20.0
+MIN_G2 = 30.0
+MIN_RATIO = 1.0
 PART_ROWS = 1_000_000
 LABEL_ROWS = 2_000_000  # labels are broadcast up to here, else joined by shuffle
 PAIRS = 500_000  # word pairs a counting task holds before it hands them on
@@ -68,36 +70,34 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(u, w, t, o): word pairs of (text, toxic) with their counts in toxic and ordinary texts.
+    """(u, w, t, o): in how many toxic and ordinary texts of (text, toxic) a pair u w occurs.
 
-    The first word of a text has the left neighbour "".
+    Counted per text, since a word that one text repeats is no evidence about others. The
+    first word of a text has the left neighbour ""; u is null for the word on its own.
     """
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in counts], pa.string()),
-                pa.array([k[1] for k in counts], pa.string()),
-                pa.array([n if k[2] else 0 for k, n in counts.items()], pa.int64()),
-                pa.array([0 if k[2] else n for k, n in counts.items()], pa.int64()),
-            ],
-            ["u", "w", "t", "o"],
-        )
+    def emit(counts: dict[bool, Counter]) -> Iterator[pa.RecordBatch]:
+        for toxic, own in counts.items():
+            n, none = pa.array(own.values(), pa.int64()), pa.array(np.zeros(len(own), np.int64))
+            pairs = [pa.array([k[i] for k in own], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*pairs, n if toxic else none, none if toxic else n], ["u", "w", "t", "o"]
+            )
+            own.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text.as_py())
-                counts.update(zip(["", *words], words, [bool(toxic)] * len(words)))
-                if len(counts) > PAIRS:
-                    yield emit(counts)
-                    counts.clear()
-        yield emit(counts)
-
-    return rows.select("text", "toxic").mapInArrow(
-        count, "u string, w string, t bigint, o bigint"
-    )
+                own = counts[bool(toxic)]
+                own.update(set(zip(["", *words], words)))
+                own.update((None, w) for w in set(words))
+                if len(own) > PAIRS:
+                    yield from emit(counts)
+        yield from emit(counts)
+
+    return rows.select("text", "toxic").mapInArrow(count, "u string, w string, t bigint, o bigint")
 
 
 def _g2(t, o, all_t, all_o):
@@ -110,10 +110,8 @@ def _g2(t, o, all_t, all_o):
 
 def expressions(rows: DataFrame) -> DataFrame | None:
     """(u, w, ratio): kept words (u null) and pairs with their log-likelihood ratio."""
-    sizes = rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()
-    sizes = {r["toxic"]: r["n"] or 0 for r in sizes}
-    all_t, all_o = sizes.get(1, 0), sizes.get(0, 0)
-    if not all_t or not all_o:
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
         return None
     # One shuffle for pairs and words: by word, hot words split by their left neighbour.
     dealt = pair_counts(rows).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
@@ -123,20 +121,29 @@ def expressions(rows: DataFrame) -> DataFrame | None:
         .groupBy("w", "salt", "u")
         .agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     )
-    uneven = _g2(F.col("t"), F.col("o"), all_t, all_o) >= MIN_G2
-    n = F.col("t") + F.col("o")
+    pair, n = F.col("u").isNotNull(), F.col("t") + F.col("o")
+    uneven = pair & (_g2(F.col("t"), F.col("o"), sizes[1], sizes[0]) >= MIN_G2)
     table = written(
         pairs.groupBy("w", F.when(uneven, F.col("u")).alias("u")).agg(
-            F.count("*").alias("types"),
-            F.sum("t").alias("t"),
-            F.sum("o").alias("o"),
-            F.count_if(n == 1).alias("once"),
-            F.count_if(n == 2).alias("twice"),
+            F.count_if(pair).alias("types"),
+            F.sum(F.when(~pair | uneven, F.col("t")).otherwise(0)).alias("t"),
+            F.sum(F.when(~pair | uneven, F.col("o")).otherwise(0)).alias("o"),
+            F.count_if(pair & (n == 1)).alias("once"),
+            F.count_if(pair & (n == 2)).alias("twice"),
         ),
         "expressions",
     )
-    words = table.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("types", "t", "o", "once", "twice")))
-    words = written(words, "words")
+    alone = F.col("u").isNull()
+    words = written(
+        table.groupBy("w").agg(
+            F.sum("types").alias("types"),
+            F.sum(F.when(alone, F.col("t")).otherwise(0)).alias("t"),
+            F.sum(F.when(alone, F.col("o")).otherwise(0)).alias("o"),
+            F.sum("once").alias("once"),
+            F.sum("twice").alias("twice"),
+        ),
+        "words",
+    )
     n = F.col("t") + F.col("o")
     s = words.agg(
         F.sum("types").alias("types"),
@@ -153,7 +160,7 @@ def expressions(rows: DataFrame) -> DataFrame | None:
         return None
     d1, d2 = _discount(s["once1"], s["twice1"]), _discount(s["once2"], s["twice2"])
     b1 = min(0.5, max(d1 * s["types_t"] / s["t"], d1 * s["types_o"] / s["o"]))
-    b2 = min(0.9, d2 * s["types"] / (s["t"] + s["o"]))
+    b2 = min(0.9, d2 * s["types"] / (s["t"] + s["o"]))  # pairs per word of a text
     z = {"t": s["t"] - d1 * s["types_t"], "o": s["o"] - d1 * s["types_o"]}
 
     def p1(c):
@@ -179,7 +186,8 @@ def expressions(rows: DataFrame) -> DataFrame | None:
         .where("u <> ''")
         .select("u", "w", F.log(p2("tt", "ut", "pt") / p2("oo", "uo", "po")).alias("ratio"))
     )
-    return written(single.unionByName(double), "ratios")
+    ratios = single.unionByName(double).where(F.abs("ratio") >= MIN_RATIO)
+    return written(ratios, "ratios")
 
 
 def _discount(once: int, twice: int) -> float:
@@ -210,23 +218,25 @@ def _scorer(shared):
 def _ratios(text, before, single, double, heads) -> dict:
     """Positions and ratios of the words that tell the classes apart.
 
-    A pair's ratio takes the place of its second word's; over several parts, both are
-    found in some part, and the pair's is marked by a negative position until the end.
+    An expression that comes again within a stretch is not counted again: a repeated word
+    is no new evidence. A pair's ratio takes the place of its second word's; over several
+    parts both may be found, so a pair is marked by a negative position until the end.
     """
     words = words_of(text)
     found: dict[int, float] = {}
     if before:
         found = dict(zip(before["at"], before["ratio"]))
-    for i, w in enumerate(words):
-        r = single.get(w)
-        if r is not None:
-            found[i] = r
-    if heads and not heads.isdisjoint(words):
+    last: dict = {}
+    if not single.keys().isdisjoint(words):
+        for i, w in enumerate(words):
+            if w in single and i - last.get(w, -STRETCH) >= STRETCH:
+                found[i], last[w] = single[w], i
+    if not heads.isdisjoint(words):
         for i in range(1, len(words)):
             if words[i - 1] in heads:
-                r = double.get((words[i - 1], words[i]))
-                if r is not None:
-                    found[-i] = r
+                pair = (words[i - 1], words[i])
+                if pair in double and i - last.get(pair, -STRETCH) >= STRETCH:
+                    found[-i], last[pair] = double[pair], i
     return {"at": list(found), "ratio": list(found.values()), "words": len(words)}
 
 
