@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalake.fixtures import table
 from stratalake.llm import (
     decontaminate,
+    html_tree,
     linededup,
     pieces,
     quality_rules,
     rule_ensemble,
+    secrets,
     simhash,
     toxicity,
     warc,
@@ -31,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judge(table(spark, d, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.report(table(spark, d, "documents"))
+
+
 def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(table(spark, d, "pages"))
 
@@ -39,6 +45,10 @@ def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_tree.report(table(spark, d, "pages"))
+
+
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.components(table(spark, d, "documents"))
 
@@ -57,8 +67,10 @@ QUERIES = {
         op1_line_dedup,
         op2_toxicity,
         op3_quality_rules,
+        op4_secret_scan,
         op5_warc,
         op6_decontamination,
+        op7_html_extraction,
         op8_simhash,
         op9_sentencepiece,
         op10_quality_classifier,
