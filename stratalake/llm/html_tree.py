@@ -122,7 +122,7 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
     if known is None:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         words = {w.lower() for v in found.values() for w in _WORDS.findall(v)}
-        parts = [f"{k}={re.sub('[0-9]+', '0', v)}" for k, v in sorted(found.items())]
+        parts = [f"{k}={re.sub('[0-9]{2,}', '0', v)}" for k, v in sorted(found.items())]
         known = (" ".join([tag, *parts]), not NOISE.isdisjoint(words))
         if len(_kinds) > 100_000:
             _kinds.clear()

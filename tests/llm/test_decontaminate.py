@@ -1,0 +1,108 @@
+"""Wu-Manber windows against brute force and DuckDB."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import compare
+import pytest
+
+from stratalake.llm import decontaminate
+from stratalake.llm.oracles import ORACLES
+from stratalake.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def plain(docs, items):
+    windows = []
+    for item, text in items:
+        words = WORD.findall((text or "").translate(LOWER))
+        n = min(10, len(words))
+        windows += [(words[i : i + n], str(item)) for i in range(len(words) - n + 1) if n]
+    out = []
+    for doc, text in docs:
+        words = WORD.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for window, item in windows:
+            for i in range(len(words) - len(window) + 1):
+                if words[i : i + len(window)] == window:
+                    hit.update(range(i, i + len(window)))
+                    found.add(item)
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc, len(words), len(hit), len(found), digest, bool(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_against_sql(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    with compare.duck(d) as con:
+        result = QUERIES["op6_decontamination"](spark, d)
+        assert compare.difference(result, con, ORACLES["op6_decontamination"]) is None
+
+
+DOCS = [
+    (1, "Start ONE two three four five six seven eight nine ten end"),
+    (2, "one two three four five six seven eight nine ELEVEN"),
+    (3, "say hello World, twice: hello-world"),
+    (4, "a a a a a a a a a a a a a"),
+    (5, "x one two three four five six seven eight nine ten eleven twelve y"),
+    (6, "solo"),
+    (6, "solo"),
+    (7, None),
+]
+ITEMS = [
+    (10, "one two three four five six seven eight nine ten"),
+    (11, "Hello world"),
+    (12, "a a a a a a a a a a a"),
+    (13, "Two three four five six seven eight nine ten eleven twelve"),
+    (14, "solo"),
+    (15, ""),
+    (16, None),
+    (9, "one two three four five six seven eight nine ten"),
+]
+
+
+@pytest.mark.parametrize("part_rows", [1000, 2])
+def test_small_cases(spark, part_rows):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = decontaminate.report(docs, items, part_rows=part_rows).collect()
+    assert sorted(map(tuple, got), key=str) == plain(DOCS, ITEMS)
+
+
+def test_odd_documents(spark, odd_documents):
+    items = spark.createDataFrame([(1, "same line"), (None, "one")], "item_id bigint, text string")
+    got = sorted(map(tuple, decontaminate.report(odd_documents, items).collect()), key=str)
+    rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
+    assert got == plain(rows, [(1, "same line"), ("null", "one")])
+    clean = decontaminate.clean_documents(odd_documents, items)
+    assert clean.columns == odd_documents.columns
+    assert clean.count() == sum(not r[-1] for r in got)
+
+
+def test_empty_tables(spark, no_documents, odd_documents):
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.report(no_documents, items).collect() == []
+    assert decontaminate.clean_documents(odd_documents, items).count() == odd_documents.count()
+
+
+def test_spans(spark):
+    docs = spark.createDataFrame([(5, DOCS[4][1])], "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    hits = decontaminate.find_hits(docs, items).first().hits
+    assert [tuple(s) for s in hits.spans] == [(1, 13)]
+    assert hits["items"] == ["10", "13", "9"]
+
+
+def test_shift_table_skips():
+    words = [f"w{i}".encode() for i in range(10)]
+    table = decontaminate.build_tables([(b" ".join(words), "1")])[0]
+    assert table.shift[tuple(words[8:10])] == 0
+    assert table.shift[tuple(words[0:2])] == 8
+    assert table.longest == 9
+    text = [b"z"] * 100 + words + [b"z"] * 9 + words
+    assert [s for s, _ in table.find(text)] == [100, 119]

@@ -1,0 +1,75 @@
+"""Quality classifier: held-out accuracy, compiled rules, odd input."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from stratalake.fixtures import table
+from stratalake.llm import rule_ensemble
+from stratalake.llm.queries import QUERIES
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    rows = QUERIES["op10_quality_classifier"](spark, d)
+    rows = rows.join(table(spark, d, "labels"), "doc_id").where("held_out").collect()
+    good = [r for r in rows if r.quality == 1]
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(r.predicted for r in good) / len(good) > 0.98
+    assert sum(r.predicted for r in bad) / len(bad) < 0.05
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    d = "/root/testdata/sf0.01"
+    return rule_ensemble.learn(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def test_few_rules_of_several_tests(learned):
+    assert 1 <= len(learned.rules) <= 120
+    assert any(len(tests) > 1 for _, tests in learned.rules)
+
+
+def test_compiled_score_equals_the_rules(spark, learned):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = rule_ensemble.statistics(docs).withColumn("score", learned.score()).collect()
+    for r in rows:
+        total = learned.bias + sum(
+            w for w, tests in learned.rules
+            if all((r[t.feature] <= t.threshold) == t.below for t in tests)
+        )
+        assert r.score == pytest.approx(1 / (1 + 2.718281828459045 ** -total))
+
+
+def test_statistics(spark):
+    texts = ["", None, "Go go GO go go!", "a | b\na | b\nc 12,3."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in rule_ensemble.statistics(docs).collect()}
+    assert all(rows[i][s] == 0 for i in (0, 1) for s in rule_ensemble.STATISTICS)
+    assert rows[2].n_words == 5 and rows[2].repeat_share == 0 and rows[2].upper_share == 3 / 11
+    assert rows[3].bar_share == 2 / 8 and rows[3].equal_line_share == 1 / 3
+    assert rows[3].digit_share == pytest.approx(3 / 12)
+
+
+def test_odd_documents(spark, learned, odd_documents):
+    rows = rule_ensemble.score(odd_documents, learned, "quality_score", prefix="")
+    assert rows.columns == [*odd_documents.columns, "quality_score"]
+    assert rows.where("quality_score BETWEEN 0 AND 1").count() == odd_documents.count()
+
+
+def test_without_labels_or_documents(spark, no_documents, no_labels):
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    assert {r.score for r in rule_ensemble.report(docs, no_labels).collect()} == {0.5}
+    one = rule_ensemble.report(docs, labels.where("quality = 1")).collect()
+    assert all(r.predicted == 1 for r in one)
+    assert rule_ensemble.report(no_documents, labels).collect() == []
+
+
+def test_scores_stay_in_the_jvm(spark, learned, capsys):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rule_ensemble.score(docs, learned).explain("formatted")
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)

@@ -1,0 +1,76 @@
+"""Secret scan: candidates, features, forest, native plan."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from stratalake.fixtures import table
+from stratalake.llm import secrets
+from stratalake.llm.queries import QUERIES
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+DOCS = "doc_id bigint, text string, source string"
+
+
+@pytest.mark.parametrize("sf", ["0.01"])
+def test_whole_table(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    rows = QUERIES["op4_secret_scan"](spark, d).collect()
+    wanted, other = [], []
+    kind = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+    for doc in table(spark, d, "documents").collect():
+        for i, m in enumerate(kind.finditer(doc.text or "")):
+            named = re.search(r'(?i)token = "$', doc.text[: m.start()])
+            (wanted if named else other).append((doc.doc_id, i))
+    assert sorted((r.doc_id, r.position) for r in rows if r.is_secret) == sorted(wanted)
+    assert sorted((r.doc_id, r.position) for r in rows if not r.is_secret) == sorted(other)
+    assert wanted and other
+
+
+def test_candidates_beside_each_other(spark):
+    text = f'card 7536784127813050 4845168114407329 and\ntoken = "{HEX}"!! end'
+    docs = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (2, None, None)], DOCS)
+    rows = secrets.candidates(docs).orderBy("position").collect()
+    assert [r.candidate for r in rows[::2]] == ["7536784127813050", "4845168114407329", HEX]
+    assert rows[-1].before.endswith('token = "') and rows[-1].after == '"!! end'
+    assert len(rows) == 6
+
+
+def test_features(spark):
+    docs = spark.createDataFrame([(1, f'api_key: "{HEX}" then, see /src/test/fixture00001/data', "a/test.py")], DOCS)
+    rows = {r.candidate[:4]: r for r in secrets.describe(docs, secrets.candidates(docs)).collect()}
+    one = rows["04db"]
+    assert (one.length, one.hex, one.quoted, one.assigned, one.credential_before) == (40, 1, 1, 1, 1)
+    assert one.path_test == 1 and one.coverage == 0
+    assert rows["/src"].path_like == 1 and rows["/src"].hex == 0
+
+
+def test_dictionary_covers_words_of_the_corpus(spark):
+    rows = [(i, "network station", "s") for i in range(secrets.DICTIONARY_TEXTS)]
+    rows.append((99, "see network-station-0001 for it and 0001zzqqxx-wwvvkkjj", "s"))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.candidate: r.coverage for r in secrets.describe(docs, secrets.candidates(docs)).collect()}
+    assert found["network-station-0001"] == pytest.approx(14 / 20)
+    assert found["0001zzqqxx-wwvvkkjj"] == 0
+
+
+def test_given_labels_decide(spark):
+    rows = [(i, f"build id {'%040x' % (i * 7919 + 2**150)} done", "s") for i in range(40)]
+    rows += [(100 + i, f"pin 12345678901234{i:02d} done", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = secrets.candidates(docs)
+    labelled = found.selectExpr("*", "CAST(doc_id < 50 AS INT) AS label")
+    got = secrets.scan(docs, labelled).collect()
+    assert all(r.is_secret == (r.doc_id < 50) for r in got) and len(got) == 80
+
+
+def test_odd_documents_and_empty_tables(spark, odd_documents, no_documents):
+    assert secrets.report(odd_documents).collect() == []
+    assert secrets.report(no_documents).collect() == []
+
+
+def test_no_python_in_the_plan(spark, capsys):
+    QUERIES["op4_secret_scan"](spark, "/root/testdata/sf0.001").explain("formatted")
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
