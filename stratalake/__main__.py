@@ -1,10 +1,10 @@
-"""Jobs for spark-submit: ingest-tables, ingest-apis, build, check."""
+"""Jobs for spark-submit: ingest-tables, ingest-apis, build, check, promote."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,11 +62,52 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--as-of", type=dt.date.fromisoformat)
             job.add_argument("--dim-date-start", default=contracts.DIM_DATE_START)
             job.add_argument("--dim-date-end", default=contracts.DIM_DATE_END)
+            job.add_argument("--inclusive", action="store_true", help="reload rows at the watermark")
+            job.add_argument("--restart-keys", action="store_true", help="number from 1 each time")
+            job.add_argument("--lenient", action="store_true", help="text that is no number is NULL")
+            job.add_argument("--read-meta", action="store_true", help="fill the meta columns")
+            job.add_argument("--no-keys", action="store_true", help="leave surrogate keys NULL")
+            job.add_argument(
+                "--tie-breakers",
+                type=_ties,
+                action="append",
+                default=[],
+                metavar="MODEL=COLUMN,...",
+                help="columns that order rows of equal version; once per model",
+            )
+
+    job = jobs.add_parser("promote", help="a landed table as a table of the lake's format")
+    job.add_argument("--landing", required=True)
+    job.add_argument("--schema", required=True, help="source schema of the landed table")
+    job.add_argument("--table", required=True)
+    job.add_argument("--target", required=True, help="layer.name")
+    job.add_argument("--lake", required=True, help="root folder of the layer tables")
+    job.add_argument("--format", default="parquet", help="parquet, iceberg or delta")
     return top
 
 
-def _landed(spark: SparkSession, root: str, schema: str) -> dict[str, DataFrame]:
-    return {name: scan(spark, table_path(root, schema, name)) for name in ("plants", "licenses")}
+def _ties(text: str) -> tuple[str, tuple[str, ...]]:
+    model, _, columns = text.partition("=")
+    if model not in pipeline.MODELS or not _words(columns):
+        raise argparse.ArgumentTypeError(f"not MODEL=COLUMN,...: {text}")
+    return model, tuple(_words(columns))
+
+
+class _Landed(Mapping[str, DataFrame]):
+    """Landed tables, each scanned when it is asked for."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.paths = {name: table_path(root, schema, name) for name in ("plants", "licenses")}
+        self.spark = spark
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return scan(self.spark, self.paths[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.paths)
+
+    def __len__(self) -> int:
+        return len(self.paths)
 
 
 def _show(loaded: Sequence[Loaded]) -> None:
@@ -95,19 +136,29 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             dim_date_start=args.dim_date_start,
             dim_date_end=args.dim_date_end,
             environment=args.environment,
+            inclusive=args.inclusive,
+            restart_keys=args.restart_keys,
+            strict=not args.lenient,
+            read_meta=args.read_meta,
+            number_rows=not args.no_keys,
+            tie_breakers=dict(args.tie_breakers),
         )
         pipeline.run(
             spark,
-            _landed(spark, args.landing, args.schema),
+            _Landed(spark, args.landing, args.schema),
             Lake(args.lake, args.format, args.buckets),
             params,
             args.layers,
             args.domains,
             args.full_refresh,
         ).show(truncate=False)
+    elif args.job == "promote":
+        landed = scan(spark, table_path(args.landing, args.schema, args.table))
+        table = pipeline.promote(landed, Lake(args.lake, args.format), args.target)
+        print(f"{table.count()} rows in {args.target}")
     else:
         names = pipeline.selected(args.layers, args.domains)
-        report = pipeline.check(spark, _landed(spark, args.landing, args.schema), names)
+        report = pipeline.check(spark, _Landed(spark, args.landing, args.schema), names)
         report.show(truncate=False)
 
 

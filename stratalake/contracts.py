@@ -29,12 +29,6 @@ PROVIDER_LABELS = {
     "OTHER": "اخرى",
 }
 
-# License life-cycle labels, highest priority first, and the
-# two-way license status.
-CYCLE_LABELS = ("Deleted", "Canceled", "Suspended", "Expired", "Active", "Unknown")
-STATUS_ACTIVE = "Active"
-STATUS_EXPIRED = "Expired"
-
 # Plant attributes kept in the meta document, name -> Spark type.
 PLANT_META = {
     "GAS_WASTE": "string",
@@ -128,10 +122,9 @@ PROFILE_RENAMED = {
 # The watermark of an empty target.
 EPOCH = "1970-01-01 00:00:00"
 
-# Default calendar range and the spine length of the digit form.
+# Default calendar range.
 DIM_DATE_START = "2010-01-01"
 DIM_DATE_END = "2030-12-31"
-DIGIT_SPINE_MAX = 8000
 
 # Rows per fetch from a source database.
 FETCH_SIZE = 50_000

@@ -11,7 +11,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stratalake.contracts import LANDING_LICENSES, LANDING_PLANTS, PROVIDER_LABELS
+from stratalake.contracts import (
+    LANDING_LICENSES,
+    LANDING_PLANTS,
+    PLANT_META,
+    PROVIDER_LABELS,
+)
 from stratalake.sources.landing import scan
 
 AS_OF = dt.date(2019, 6, 30)
@@ -77,6 +82,45 @@ def _coded(column: str, codes: Mapping[str, str]) -> str:
     return f"CASE {column} {whens} END"
 
 
+def _day(year: int, k: str, days: int, gap: int) -> str:
+    """A date of its own range for each column, NULL for each ``gap``-th key."""
+    return (
+        f"CASE WHEN {k} % {gap} <> 0 THEN date_add(DATE '{year}-01-01', CAST({k} % {days} AS INT)) END"
+    )
+
+
+def _plant_rest(k: str) -> dict[str, str]:
+    """Plant columns that no benchmark column stands for: values that differ from
+    column to column, with some NULLs in each."""
+    return {
+        "address_id": f"CASE WHEN {k} % 6 <> 0 THEN {k} % 1000 + 1 END",
+        "industrial_city_id": f"CASE WHEN {k} % 7 <> 0 THEN {k} % 37 + 1 END",
+        "is_rent": f"CASE WHEN {k} % 11 <> 0 THEN {k} % 2 = 0 END",
+        "has_approved_manpower": f"CASE WHEN {k} % 12 <> 0 THEN {k} % 3 = 0 END",
+        "inside_industrial_city": f"CASE WHEN {k} % 13 <> 0 THEN {k} % 5 < 2 END",
+        "closed_at": _day(2011, k, 1001, 4),
+        "canceled_at": _day(2012, k, 1003, 5),
+        "established_at": _day(2013, k, 1007, 6),
+        "hs_12_confirmed_at": _day(2014, k, 1009, 7),
+        "started_production_at": _day(2015, k, 1013, 8),
+        "ndb_synched_at": _day(2016, k, 1019, 9),
+        "ndb_last_ops_at": _day(2017, k, 1021, 10),
+    }
+
+
+def _plant_meta(k: str) -> str:
+    """A meta document in which each field is missing for some keys."""
+    fields = []
+    for i, (name, kind) in enumerate(PLANT_META.items()):
+        value = {
+            "string": f"concat('{name.lower()} ', {k} % {90 + i})",
+            "double": f"CAST({k} % {900 + i} AS DOUBLE) + 0.5D",
+            "int": f"CAST({k} % {300 + i} AS INT)",
+        }[kind]
+        fields.append(f"'{name}', CASE WHEN {k} % {i + 5} <> 0 THEN {value} END")
+    return f"to_json(named_struct({', '.join(fields)}))"
+
+
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One plant per order."""
     return _shaped(
@@ -89,8 +133,13 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
             "state": _coded("o_orderstatus", ORDER_STATE),
             "land_provider": _coded("o_orderpriority", ORDER_PROVIDER),
             "created_at": "o_orderdate",
-            "updated_at": "o_orderdate",
-            "number": "o_orderkey",
+            "updated_at": "date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 30 + 1 AS INT))",
+            "number": "o_orderkey + 7",
+            "main_activity_code_l2": """CASE o_orderkey % 4 WHEN 1 THEN ''
+                WHEN 2 THEN CAST(o_orderkey % 100 AS STRING) WHEN 3 THEN '  ' END""",
+            "main_activity_code_l4": """CASE o_orderkey % 4 WHEN 2 THEN ''
+                WHEN 3 THEN CAST(o_orderkey % 10000 AS STRING) WHEN 0 THEN '  ' END""",
+            **_plant_rest("o_orderkey"),
         },
     )
 
@@ -118,8 +167,13 @@ def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
             "canceled_at": flagged(31),
             "suspended_at": flagged(37),
             "created_at": created,
-            "updated_at": created,
-            "user_id": "c_custkey",
+            "updated_at": day("c_custkey % 1000 + 3"),
+            "renewed_at": _day(2016, "c_custkey", 997, 17),
+            "cancelled_by": "CASE WHEN c_custkey % 31 = 0 THEN c_custkey % 40 + 7 END",
+            "investment_size": """CASE c_custkey % 4 WHEN 1 THEN 'small' WHEN 2 THEN 'medium'
+                WHEN 3 THEN 'large' END""",
+            "investment_type": "CASE c_custkey % 3 WHEN 1 THEN 'local' WHEN 2 THEN 'foreign' END",
+            "user_id": "c_custkey + 5000",
             "investor_id": "c_custkey % 50",
             "commercial_entity_id": "c_custkey % 70",
         },
@@ -148,7 +202,8 @@ def plants_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             "main_activity_code_l4": text_number("event_id % 10000"),
             "license_id": "CASE WHEN user_id % 7 <> 0 THEN user_id % 40 END",
             "created_at": "date_add(DATE '2010-01-01', CAST(user_id % 5000 AS INT))",
-            "meta": "props",
+            "meta": _plant_meta("event_id"),
+            **_plant_rest("event_id"),
         },
     )
 

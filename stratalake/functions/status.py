@@ -1,27 +1,23 @@
-"""License status rules at a given day."""
+"""License status rules at a given day. Their labels are fixed values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from stratalake.contracts import CYCLE_LABELS, STATUS_ACTIVE, STATUS_EXPIRED
-
 
 def license_cycle(today: Column) -> Column:
-    """Life-cycle label: the first rule that holds, in the order of the labels."""
+    """Life-cycle label: the first rule that holds."""
     expiry = F.col("expires_at").cast("date")
-    rules = (
-        F.col("deleted_at").isNotNull(),
-        F.col("canceled_at").isNotNull(),
-        F.col("suspended_at").isNotNull(),
-        expiry < today,
-        F.col("issue_date").isNotNull() & (expiry >= today),
-        F.lit(True),
+    return (
+        F.when(F.col("deleted_at").isNotNull(), "Deleted")
+        .when(F.col("canceled_at").isNotNull(), "Canceled")
+        .when(F.col("suspended_at").isNotNull(), "Suspended")
+        .when(expiry < today, "Expired")
+        .when(F.col("issue_date").isNotNull() & (expiry >= today), "Active")
+        .otherwise("Unknown")
     )
-    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in zip(CYCLE_LABELS, rules)])
 
 
 def license_status(today: Column) -> Column:
     """Active until the expiry day; a license without expiry counts as expired."""
-    active = F.col("expires_at").cast("date") >= today
-    return F.when(active, F.lit(STATUS_ACTIVE)).otherwise(F.lit(STATUS_EXPIRED))
+    return F.when(F.col("expires_at").cast("date") >= today, "Active").otherwise("Expired")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.contracts import EPOCH
 from stratalake.functions.casts import to_timestamp
 
 
-def watermark(target: DataFrame, column: str) -> DataFrame:
-    """One row, ``watermark``: the highest timestamp of the target, or the epoch."""
+def watermark(target: DataFrame, column: str, *more: Column) -> DataFrame:
+    """One row, ``watermark``: the highest timestamp of the target, or the epoch; and
+    ``more`` aggregates of the same pass."""
     return target.agg(
         F.coalesce(
             F.max(to_timestamp(target, column)), F.lit(EPOCH).cast("timestamp_ntz")
-        ).alias("watermark")
+        ).alias("watermark"),
+        *more,
     )
 
 
@@ -23,6 +27,14 @@ def newer_than(
     target: DataFrame,
     target_column: str,
     inclusive: bool = False,
+) -> DataFrame:
+    """``newer_than_mark`` with the watermark of the target."""
+    mark = watermark(target, target_column).first().watermark
+    return newer_than_mark(feed, column, mark, inclusive)
+
+
+def newer_than_mark(
+    feed: DataFrame, column: str, mark: dt.datetime, inclusive: bool = False
 ) -> DataFrame:
     """Feed rows past the target's watermark.
 
@@ -32,7 +44,6 @@ def newer_than(
     skipped unless ``inclusive``; reading them again is harmless because the
     merge replaces whole rows.
     """
-    mark = watermark(target, target_column).first().watermark
     # As text: a Python datetime would be read in the time zone of the driver.
     limit = F.lit(mark.isoformat(" ")).cast("timestamp_ntz")
     stamp = to_timestamp(feed, column)

@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Reducers that share the rows without a key; they match nothing anyway.
-NULL_SPREAD = 4096
-
 
 def left_join_spread(
     left: DataFrame, right: DataFrame, key: str, spread_by: str
 ) -> DataFrame:
     """Left equi-join on ``key`` whose NULL-key rows are spread over reducers.
 
-    A plain shuffle sends all NULL keys to one task. Here NULL keys get a second
-    key part taken from ``spread_by``; all other rows have 0 on both sides, so
-    the matches are those of the plain join. A hot non-NULL key is left to
+    A plain shuffle sends all NULL keys to one task. Here NULL keys get the hash of
+    ``spread_by`` as a second key part, which spreads them over all reducers, however
+    many; they match nothing. All other rows have 0 on both sides, so the matches are
+    those of the plain join. A hot non-NULL key is left to
     adaptive skew-join handling, which splits the left rows of that key.
     """
     left_part = F.when(
-        F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SPREAD)).cast("int") + 1
-    ).otherwise(F.lit(0))
-    right_part = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
+        F.col(key).isNull(), F.xxhash64(spread_by)
+    ).otherwise(F.lit(0).cast("long"))
+    keyed = right.filter(F.col(key).isNotNull()).withColumn("_spread", F.lit(0).cast("long"))
     return (
         left.withColumn("_spread", left_part)
-        .join(right.withColumn("_spread", right_part), [key, "_spread"], "left")
+        .join(keyed, [key, "_spread"], "left")
         .drop("_spread")
     )

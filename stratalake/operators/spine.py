@@ -22,10 +22,9 @@ def date_bounds(*columns: tuple[DataFrame, str]) -> DataFrame:
     return union.agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
 
 
-def date_spine(bounds: DataFrame, max_days: int | None = None) -> DataFrame:
+def date_spine(bounds: DataFrame) -> DataFrame:
     """(n, date_date) for every day of ``bounds`` (first_day, last_day), both ends
-    included; ``max_days`` keeps n <= max_days. One sequence, no cross join."""
-    spine = bounds.select(
+    included. One sequence, no cross join."""
+    return bounds.select(
         F.posexplode(F.sequence("first_day", "last_day")).alias("n", "date_date")
     )
-    return spine if max_days is None else spine.filter(F.col("n") <= max_days)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
@@ -16,20 +17,19 @@ class BuildParams:
 
     as_of            date used by status rules and load stamps; None = current date
     dim_date_*       calendar range, both ends included
-    max_days         optional spine length limit (n <= max_days); None = no limit
     strict           text that is not a number raises (True) or becomes NULL (False)
     inclusive        watermark keeps rows equal to the target maximum
     restart_keys     number every increment from 1 instead of continuing
     promote_integers land integers as doubles
     read_meta        fill the meta columns from the meta document instead of NULL
-    tie_breakers     columns that order rows of equal version; None = a hash of the row
+    tie_breakers     model -> landing columns that order rows of equal version; a model
+                     that is not named uses a hash of the row
     number_rows      False leaves surrogate keys NULL, for builds that only need marts
     """
 
     as_of: dt.date | None = None
     dim_date_start: str = contracts.DIM_DATE_START
     dim_date_end: str = contracts.DIM_DATE_END
-    max_days: int | None = None
     environment: str = "dev"
     strict: bool = True
     inclusive: bool = False
@@ -37,7 +37,7 @@ class BuildParams:
     promote_integers: bool = False
     read_meta: bool = False
     number_rows: bool = True
-    tie_breakers: tuple[str, ...] | None = None
+    tie_breakers: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
     def today(self) -> Column:
         return F.current_date() if self.as_of is None else F.lit(self.as_of)

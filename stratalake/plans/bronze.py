@@ -17,13 +17,15 @@ from stratalake.functions.labels import provider_label, state_label
 from stratalake.functions.payload import extract_fields
 from stratalake.functions.status import license_cycle, license_status
 from stratalake.operators.dedup import latest_per_key
-from stratalake.operators.incremental import newer_than
+from stratalake.operators.incremental import newer_than_mark, watermark
 from stratalake.operators.numbering import attach_keys, rank_ids
 from stratalake.params import BuildParams
 from stratalake.scratch import written
 
 
-def _known_keys(ids: DataFrame, target: DataFrame, key_col: str, target_id: str) -> DataFrame:
+def _known_keys(
+    ids: DataFrame, target: DataFrame, key_col: str, target_id: str, highest: int
+) -> DataFrame:
     """Keys of an increment: ids the target knows keep theirs, the others continue
     after its highest key.
 
@@ -35,8 +37,7 @@ def _known_keys(ids: DataFrame, target: DataFrame, key_col: str, target_id: str)
     stored = target.select(F.col(target_id).alias("id"), key_col)
     known = written(stored.join(ids, "id", "left_semi"), f"known-{key_col}")
     fresh = ids.join(known, "id", "left_anti")
-    highest = target.agg(F.coalesce(F.max(key_col), F.lit(0))).scalar()
-    return known.unionByName(rank_ids(fresh, "id", key_col, after=highest))
+    return known.unionByName(rank_ids(fresh, "id", key_col, after=F.lit(highest)))
 
 
 def _latest_numbered(
@@ -46,20 +47,26 @@ def _latest_numbered(
     columns: Sequence[str],
     key_col: str,
     target_id: str,
+    tie_breakers: Sequence[str] | None,
+    all_rows: bool,
 ) -> DataFrame:
-    """Landing rows to read in this run, one per id, with the surrogate key.
+    """Landing rows to read in this run, one per id, with the surrogate key. With a
+    target these are the rows past its watermark, or ``all_rows``.
 
     Columns that the model does not use are dropped before the dedup: they are
     neither scanned nor hashed, and rows that differ only there are the same row
     to the model.
     """
     feed = landed.withColumn("updated_at", to_timestamp(landed, "updated_at"))
+    highest = 0
     if target is not None:
-        feed = newer_than(feed, "updated_at", target, "UPDATED_AT", params.inclusive)
-    tie_breakers = [c for c in params.tie_breakers or () if c not in columns]
-    latest = latest_per_key(
-        feed.select(*columns, *tie_breakers), "id", "updated_at", params.tie_breakers
-    )
+        # One pass over two columns of the target, for the watermark and the keys.
+        stored = watermark(target, "UPDATED_AT", F.coalesce(F.max(key_col), F.lit(0)).alias("key"))
+        mark, highest = stored.first()
+        if not all_rows:
+            feed = newer_than_mark(feed, "updated_at", mark, params.inclusive)
+    more = [c for c in tie_breakers or () if c not in columns]
+    latest = latest_per_key(feed.select(*columns, *more), "id", "updated_at", tie_breakers)
     if not params.number_rows:
         return latest.withColumn(key_col, F.lit(None).cast("long"))
     # The ids come from the feed, not from the deduplicated rows: a one-column
@@ -68,7 +75,7 @@ def _latest_numbered(
     if target is None or params.restart_keys:
         keys = rank_ids(ids, "id", key_col)
     else:
-        keys = _known_keys(ids, target, key_col, target_id)
+        keys = _known_keys(ids, target, key_col, target_id, highest)
     return attach_keys(latest, keys, "id", key_col)
 
 
@@ -100,19 +107,22 @@ def _column(df: DataFrame, out: str, source: str, rule: str, params: BuildParams
 
 
 def _stage(
+    model: str,
     landed: DataFrame,
     params: BuildParams,
     target: DataFrame | None,
     key_col: str,
     columns: Mapping[str, tuple[str, str]],
     meta: Mapping[str, str],
+    all_rows: bool,
 ) -> DataFrame:
     """Key, named columns, meta columns and load stamp, in contract order."""
     needed = list(dict.fromkeys(source for source, _ in columns.values()))
     if params.read_meta:
         needed.append("meta")
     ident = next(iter(columns))
-    rows = _latest_numbered(landed, params, target, needed, key_col, ident)
+    ties = params.tie_breakers.get(model)
+    rows = _latest_numbered(landed, params, target, needed, key_col, ident, ties, all_rows)
     if params.read_meta:
         rows = rows.withColumn("_meta", extract_fields(F.col("meta"), meta))
         from_meta = [F.col(f"_meta.{name}").alias(name) for name in meta]
@@ -127,14 +137,27 @@ def _stage(
 
 
 def stg_plants(
-    landed: DataFrame, params: BuildParams = BuildParams(), target: DataFrame | None = None
+    landed: DataFrame,
+    params: BuildParams = BuildParams(),
+    target: DataFrame | None = None,
+    all_rows: bool = False,
 ) -> DataFrame:
-    """Plants, one row per id. With ``target``, only rows past its watermark."""
-    return _stage(landed, params, target, "PLANT_KEY", PLANT_COLUMNS, PLANT_META)
+    """Plants, one row per id. With ``target``, only rows past its watermark, unless
+    ``all_rows``; ids that it knows keep their keys."""
+    return _stage(
+        "stg_plants", landed, params, target, "PLANT_KEY", PLANT_COLUMNS, PLANT_META, all_rows
+    )
 
 
 def stg_licenses(
-    landed: DataFrame, params: BuildParams = BuildParams(), target: DataFrame | None = None
+    landed: DataFrame,
+    params: BuildParams = BuildParams(),
+    target: DataFrame | None = None,
+    all_rows: bool = False,
 ) -> DataFrame:
-    """Licenses, one row per id. With ``target``, only rows past its watermark."""
-    return _stage(landed, params, target, "LICENSE_KEY", LICENSE_COLUMNS, LICENSE_META)
+    """Licenses, one row per id. With ``target``, only rows past its watermark, unless
+    ``all_rows``; ids that it knows keep their keys."""
+    return _stage(
+        "stg_licenses", landed, params, target, "LICENSE_KEY", LICENSE_COLUMNS, LICENSE_META,
+        all_rows,
+    )

@@ -98,7 +98,7 @@ def build(
                 replace_table(profile, lake, name)
             case "dw_dim_date":
                 bounds = silver.configured_bounds(spark, params)
-                replace_table(silver.dim_date(bounds, params.max_days), lake, name)
+                replace_table(silver.dim_date(bounds), lake, name)
             case "dm_plant":
                 replace_table(gold.dm_plant(stored("dw_dim_plant_profile")), lake, name)
 
@@ -114,12 +114,19 @@ def check(
     landed: Mapping[str, DataFrame],
     models: Collection[str] | None = None,
 ) -> DataFrame:
-    """Report of the suite over the landed tables and the stored models."""
+    """Report of the suite over the stored models and the landed tables of their domains."""
     names = list(MODELS) if models is None else list(models)
-    tables = {**landed, **{m: spark.table(table_name(m)) for m in names}}
+    domains = {d for m in names for d in MODELS[m][1]}
+    tables = {name: landed[name] for name in landed if name in domains}
+    tables |= {m: spark.table(table_name(m)) for m in names}
     return report(tables, [c for c in CHECKS if c.table in tables])
 
 
+def promote(landed: DataFrame, lake: Lake, table: str) -> DataFrame:
+    """Landed snapshot as a table (layer.name) of the lake's format."""
+    return replace_table(landed, lake, table)
+
+
 def run(
     spark: SparkSession,
     landed: Mapping[str, DataFrame],

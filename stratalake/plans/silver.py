@@ -31,10 +31,9 @@ def dim_plant_profile(plants: DataFrame, licenses: DataFrame) -> DataFrame:
     )
 
 
-def dim_date(bounds: DataFrame, max_days: int | None = None) -> DataFrame:
+def dim_date(bounds: DataFrame) -> DataFrame:
     """One row per calendar day of ``bounds`` (first_day, last_day)."""
-    days = date_spine(bounds, max_days)
-    return days.select(*date_attributes(F.col("date_date"))).orderBy("date_date")
+    return date_spine(bounds).select(*date_attributes(F.col("date_date"))).orderBy("date_date")
 
 
 def configured_bounds(spark: SparkSession, params: BuildParams) -> DataFrame:

@@ -1,10 +1,13 @@
 """Layer tables: full replacement and keyed merge.
 
 A table format with row-level operations (Iceberg, Delta) is used through its
-own commits. Plain Parquet has none, so each version is written to a new folder
-and the table is then pointed at it: readers see the old or the new version,
-never a mixture, and a failed write leaves the table as it was. Old folders stay
-until the storage's own retention removes them.
+own commits; a merge there rewrites the files it touches, so it is the form for tables
+whose increments are small beside them. Plain Parquet has no commits, so each version
+is written to a new folder and the table is then pointed at it: readers see the old or
+the new version, never a mixture, and a failed write leaves the table as it was. Only if
+the columns change is there a moment without the table, between two renames; a crash
+there leaves the former version under ``<table>_former_<version>``. Old folders stay until
+the storage's own retention removes them.
 """
 
 from __future__ import annotations
@@ -92,8 +95,15 @@ def _publish(df: DataFrame, lake: Lake, table: str, key: str | None) -> DataFram
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.sql(f"DROP TABLE {staged}")  # the entry only; the files have a given path
     else:
-        spark.sql(f"DROP TABLE {table}")
-        spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+        # Other columns: the former entry steps aside and is dropped last.
+        former = f"{table}_former_{version}"
+        spark.sql(f"ALTER TABLE {table} RENAME TO {former}")
+        try:
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+        except Exception:
+            spark.sql(f"ALTER TABLE {former} RENAME TO {table}")
+            raise
+        spark.sql(f"DROP TABLE {former}")
     return spark.table(table)
 
 

@@ -49,8 +49,10 @@ def fetch_bodies(
     fetch: Fetch = http_fetch,
     parallel: int = 16,
 ) -> DataFrame:
-    """(position, body) of every endpoint, each requested once.
+    """(position, body) of every endpoint.
 
+    An endpoint is requested once, but again if its task is retried or run twice by Spark:
+    an endpoint with a method like POST must tolerate that.
     ``parallel`` bounds the requests in flight. Bodies are written out before
     use: a later stage, or a lost executor, does not call the API again. The
     headers travel with the function, so that no secret is in a query plan.
@@ -79,17 +81,27 @@ def route(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("tabular", is_tabular(F.col("body")))
 
 
-def tabular_rows(bodies: DataFrame) -> DataFrame:
-    """Objects of list-of-objects bodies as rows. Columns are all fields seen, in
-    the order of first appearance; types are inferred over all rows. An element
-    that is not an object fails the load."""
+def tabular_rows(bodies: DataFrame, schema: str | None = None) -> DataFrame:
+    """Objects of list-of-objects bodies as rows. An element that is not an object
+    fails the load.
+
+    ``schema`` declares the columns, which saves a pass over the rows. Without it columns
+    are all fields seen, in the order of first appearance, so one name per column comes
+    to the driver, as many as the inferred schema has anyway; types are inferred over all
+    rows. Names that differ only in case are two columns, which only a case-sensitive
+    session can read again.
+    """
     spark = bodies.sparkSession
     items = bodies.select(F.posexplode(array_items(F.col("body"))).alias("row", "item"))
     path = scratch_path(spark, "api-items")
     items.select("item").write.text(path)
-    rows = spark.read.option("mode", "FAILFAST").json(path)
+    exact = spark.newSession()
+    exact.conf.set("spark.sql.caseSensitive", "true")
+    reader = exact.read.option("mode", "FAILFAST")
+    if schema:
+        return reader.schema(schema).json(path)
+    rows = reader.json(path)
     fields = items.select("row", F.posexplode(F.json_object_keys("item")).alias("place", "field"))
-    # One row per column name comes to the driver.
     seen = fields.groupBy("field").agg(F.min(F.struct("row", "place")).alias("first"))
     order = [r.field for r in seen.orderBy("first").collect()]
     return rows.select(*[F.col(f"`{name}`") for name in order])

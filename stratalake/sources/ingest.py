@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalake.parallel import run_all
 from stratalake.params import BuildParams
 from stratalake.sinks.landing import (
+    check_apart,
     check_identifier,
+    document_key,
     parquet_key,
     table_path,
     write_documents,
@@ -65,6 +67,8 @@ def ingest_tables(
         return read_table(spark, connection(spark, dialect, conn_id), schema, table, key)
 
     source = read or from_database
+    names = [table_entry(entry, dialect)[:2] for entry in entries]
+    check_apart([table_path(landing_root, *name, prefix) for name in names])
 
     def copy(entry: Mapping[str, Any]) -> Loaded:
         schema, table, key = table_entry(entry, dialect)
@@ -82,22 +86,30 @@ def ingest_apis(
     fetch: Fetch = http_fetch,
 ) -> list[Loaded]:
     """Copy every configured endpoint to landing: a list of objects as Parquet
-    (unless the entry asks for json), anything else as one JSON document."""
+    (unless the entry asks for json), anything else as one JSON document. Keys are
+    checked before any request is sent."""
     if not endpoints:
         return []
+    root = landing_root.rstrip("/")
+    keys = [(parquet_key(e["key"]), document_key(e["key"])) for e in endpoints]
+    for i, pair in enumerate(keys):
+        # Which of its two paths an endpoint takes depends on the response.
+        for other in keys[i + 1 :]:
+            for one in pair:
+                for two in other:
+                    check_apart([one, two])
     bodies = route(fetch_bodies(spark, endpoints, fetch))
     # One flag per configured endpoint.
     tabular = {r.position: r.tabular for r in bodies.select("position", "tabular").collect()}
-    root = landing_root.rstrip("/")
 
     def store(position: int) -> Loaded:
         endpoint = endpoints[position]
         body = bodies.filter(F.col("position") == position)
+        dataset, document = (f"{root}/{key}" for key in keys[position])
         if tabular[position] and endpoint.get("output_format", "parquet") != "json":
-            path = f"{root}/{parquet_key(endpoint['key'])}"
-            return Loaded(path, write_snapshot(tabular_rows(body), path))
-        path = f"{root}/{endpoint['key'].strip('/')}"
-        write_documents(body, "body", path)
-        return Loaded(path, 1)
+            rows = tabular_rows(body, endpoint.get("schema"))
+            if rows.columns:  # objects without any field stay a document
+                return Loaded(dataset, write_snapshot(rows, dataset))
+        return Loaded(document, write_documents(body, "body", document))
 
     return run_all(spark, store, range(len(endpoints)))

@@ -8,7 +8,8 @@ import os
 import pytest
 from test_models import T0, licenses, plants
 
-from stratalake.__main__ import main
+from stratalake import scratch
+from stratalake.__main__ import main, parser
 from stratalake.scratch import scratch_root
 from stratalake.sinks.landing import table_path, write_snapshot
 
@@ -53,3 +54,43 @@ def test_ingest_needs_a_connection(spark, tmp_path):
     path.write_text(json.dumps([{"schema": "s", "table": "t"}]), encoding="utf-8")
     with pytest.raises(ValueError, match="stratalake.connection.oracle_source.host"):
         main(["ingest-tables", "--dialect", "oracle", "--config", str(path), "--landing", "l"])
+
+
+def test_the_calendar_needs_no_landing(spark, tmp_path):
+    where = ["--landing", str(tmp_path / "nothing"), "--schema", "erp"]
+    try:
+        main(["build", *where, "--lake", str(tmp_path / "lake"), "--domains", "shared"])
+        assert spark.table("silver.dw_dim_date").count() == 7670
+        main(["check", *where, "--domains", "shared"])
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS silver CASCADE")
+
+
+def test_build_parameters(spark, landing, tmp_path):
+    where = ["--landing", landing, "--schema", "erp", "--lake", str(tmp_path / "lake")]
+    more = ["--inclusive", "--restart-keys", "--lenient", "--read-meta", "--no-keys"]
+    ties = ["--tie-breakers", "stg_plants=number,meta", "--tie-breakers", "stg_licenses=user_id"]
+    args = parser().parse_args(["build", *where, *more, *ties])
+    assert dict(args.tie_breakers) == {
+        "stg_plants": ("number", "meta"), "stg_licenses": ("user_id",)
+    }
+    main(["build", *where, *more, *ties])
+    assert spark.table("bronze.stg_plants").first().PLANT_KEY is None
+    with pytest.raises(SystemExit):
+        parser().parse_args(["build", *where, "--tie-breakers", "unheard=a"])
+
+
+def test_promote(spark, landing, tmp_path, capsys):
+    where = ["--landing", landing, "--schema", "erp", "--lake", str(tmp_path / "lake")]
+    main(["promote", *where, "--table", "plants", "--target", "bronze.landed_plants"])
+    assert "1 rows in bronze.landed_plants" in capsys.readouterr().out
+    assert spark.table("bronze.landed_plants").count() == 1
+
+
+def test_clean_up_never_hides_an_error(spark, monkeypatch):
+    """Nothing was written: no folder is asked for, so none has to be named."""
+    monkeypatch.setattr(scratch, "_used", {})
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: 1 / 0)
+    scratch.clear(spark)
+    monkeypatch.setattr(scratch, "_used", {spark.sparkContext.applicationId: "no-such-scheme://x"})
+    scratch.clear(spark)

@@ -22,7 +22,7 @@ from stratalake.sinks import landing
 from stratalake.sources import api, jdbc
 from stratalake.sources.config import load_entries
 from stratalake.sources.ingest import ingest_apis, ingest_tables, table_entry
-from stratalake.sources.landing import scan
+from stratalake.sources.landing import read_documents, scan
 
 ORDERS = "/root/testdata/sf0.001/orders.parquet"
 
@@ -53,6 +53,7 @@ def test_paths():
         ("a/b.json", "a/b.parquet"),
         ("a/b.parquet", "a/b.parquet"),
         ("/a/b/", "a/b.parquet"),
+        ("a.json.parquet", "a.json.parquet"),
         ("", "data.parquet"),
         ("/", "data.parquet"),
     ],
@@ -61,6 +62,69 @@ def test_api_keys(key, path):
     assert landing.parquet_key(key) == path
 
 
+@pytest.mark.parametrize("key", ["a//b", "../x", "a/..", "a/./b", "a b", "a;b"])
+def test_bad_keys(key):
+    with pytest.raises(ValueError, match="key may hold"):
+        landing.parquet_key(key)
+    with pytest.raises(ValueError, match="key may hold"):
+        landing.document_key(key)
+
+
+def test_names_stay_below_the_root():
+    for schema, table, prefix in (("..", "t", None), ("s", "..", None), ("s", "t", "a/../..")):
+        with pytest.raises(ValueError, match="may hold"):
+            landing.table_path("/l", schema, table, prefix)
+
+
+def test_overlapping_datasets_are_refused():
+    landing.check_apart(["/l/a/data.json", "/l/a/x/data.json", "/l/ab.parquet", "/l/a.parquet"])
+    for paths in (["/l/a", "/l/a/"], ["/l/a/b", "/l/a"], ["/l/x", "/l/a", "/l/a/b/c"]):
+        with pytest.raises(ValueError, match="overlap"):
+            landing.check_apart(paths)
+
+
+def test_a_failed_load_keeps_the_former_snapshot(spark, tmp_path):
+    path = str(tmp_path / "erp" / "t" / "data.parquet")
+    landing.write_snapshot(spark.range(3), path)
+    broken = spark.range(3).selectExpr("CAST(concat('x', id) AS BIGINT) AS id")
+    for write in (landing.write_snapshot, landing.write_records):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            write(broken, path)
+        assert scan(spark, path).count() == 3
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        landing.write_documents(broken, "id", path)
+    assert scan(spark, path).count() == 3
+    assert [p.name for p in (tmp_path / "erp" / "t").iterdir()] == ["data.parquet"]
+
+
+def test_a_load_that_died_between_the_renames_is_mended(spark, tmp_path):
+    path = tmp_path / "data.parquet"
+    landing.write_snapshot(spark.range(3), str(path))
+    path.rename(tmp_path / ".data.parquet.old-1")
+    broken = spark.range(1).selectExpr("CAST('x' AS BIGINT) AS id")
+    with pytest.raises(Exception):
+        landing.write_snapshot(broken, str(path))
+    assert scan(spark, str(path)).count() == 3
+
+
+def test_snapshot_of_a_query_on_itself(spark, tmp_path):
+    path = str(tmp_path / "data.parquet")
+    landing.write_snapshot(spark.range(4), path)
+    assert landing.write_snapshot(scan(spark, path).filter("id > 1"), path) == 2
+    assert sorted(r.id for r in scan(spark, path).collect()) == [2, 3]
+
+
+def test_documents_with_line_breaks(spark, tmp_path):
+    bodies = ['{"a":\n1}', "[]", "\n[\n]\n"]
+    path = str(tmp_path / "documents")
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    assert landing.write_documents(frame, "body", path, "\x1e") == 3
+    read = read_documents(spark, path, "\x1e").collect()
+    assert sorted(r.body for r in read) == sorted(bodies)
+    landing.write_documents(frame.limit(1), "body", path)
+    assert [r.body for r in read_documents(spark, path).collect()] == bodies[:1]
+
+
 def test_snapshot_replaces_and_counts(spark, tmp_path):
     path = str(tmp_path / "t")
     assert landing.write_snapshot(spark.range(10), path) == 10
@@ -429,10 +493,10 @@ def test_api_job(spark, tmp_path, fetch):
         spark.conf.unset("stratalake.secret.token")
     assert [(d.path.removeprefix(str(tmp_path)), d.rows) for d in done] == [
         ("/api/table.parquet", 2),
-        ("/api/document.json", 1),
-        ("/api/empty.json", 1),
-        ("/api/raw.json", 1),
-        ("/api/echo.json", 1),
+        ("/api/document.json/data.json", 1),
+        ("/api/empty.json/data.json", 1),
+        ("/api/raw.json/data.json", 1),
+        ("/api/echo.json/data.json", 1),
     ]
     table = scan(spark, done[0].path)
     assert table.dtypes == [("b", "double"), ("a", "string"), ("c", "struct<d:boolean>")]
@@ -445,6 +509,48 @@ def test_api_job(spark, tmp_path, fetch):
     assert json.loads(texts[3]) == {"method": "POST", "X": "1", "Authorization": "Bearer abc"}
 
 
+def test_no_endpoint_destroys_the_data_of_another(spark, tmp_path, fetch):
+    root = str(tmp_path)
+    ingest_apis(spark, [{"url": "u/table", "key": "api/x"}], root, fetch)
+    ingest_apis(spark, [{"url": "u/document", "key": "api"}], root, fetch)
+    ingest_apis(spark, [{"url": "u/document", "key": "/"}], root, fetch)
+    both = [{"url": "u/document", "key": "api"}, {"url": "u/document", "key": "api/x"}]
+    ingest_apis(spark, both, root, fetch)
+    assert scan(spark, f"{root}/api/x.parquet").count() == 2
+    for key in ("data.json", "api/data.json", "api/x/data.json"):
+        assert read_documents(spark, f"{root}/{key}").first().body == BODIES["u/document"]
+
+
+@pytest.mark.parametrize("keys", [("a", "/a/"), ("a.json", "a.parquet"), ("a", "a/data.json")])
+def test_endpoints_with_one_place_are_refused_before_any_request(spark, tmp_path, keys):
+    def call(method, url, headers, timeout):
+        raise AssertionError("requested")
+
+    with pytest.raises(ValueError, match="overlap"):
+        ingest_apis(spark, [{"url": "u", "key": k} for k in keys], str(tmp_path), call)
+
+
+def test_objects_without_fields_and_fields_that_differ_in_case(spark, tmp_path):
+    bodies = {"u/none": "[{}]", "u/case": '[{"a": 1, "A": "x"}, {"A": "y"}]', "u/typed": '[{"n": 1}]'}
+
+    def call(method, url, headers, timeout, bodies=bodies):
+        return bodies[url]
+
+    endpoints = [
+        {"url": "u/none", "key": "none"},
+        {"url": "u/case", "key": "case"},
+        {"url": "u/typed", "key": "typed", "schema": "n string, m int"},
+    ]
+    done = ingest_apis(spark, endpoints, str(tmp_path), call)
+    assert read_documents(spark, done[0].path).first().body == "[{}]"
+    exact = spark.newSession()
+    exact.conf.set("spark.sql.caseSensitive", "true")
+    rows = exact.read.parquet(done[1].path)
+    assert rows.columns == ["a", "A"]
+    assert sorted(map(str, map(tuple, rows.collect()))) == ["(1, 'x')", "(None, 'y')"]
+    assert [tuple(r) for r in scan(spark, done[2].path).collect()] == [("1", None)]
+
+
 @pytest.mark.parametrize("url", ["u/missing", "u/html"])
 def test_failed_requests_fail_the_load(spark, tmp_path, fetch, url):
     with pytest.raises(Exception, match="404|Expecting value"):

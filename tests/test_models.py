@@ -180,7 +180,7 @@ def test_ties_are_decided_by_named_columns(spark):
         {"id": 1, "updated_at": T0, "state": "active", "meta": "1"},
     )
     for columns, state in ((("meta",), "new"), (("state",), "new"), (("number", "meta"), "new")):
-        params = BuildParams(as_of=TODAY, tie_breakers=columns)
+        params = BuildParams(as_of=TODAY, tie_breakers={"stg_plants": columns})
         assert bronze.stg_plants(feed, params).first().PLANT_status == state
 
 

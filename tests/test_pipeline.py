@@ -187,3 +187,89 @@ def test_streaming_load_equals_the_batch_load(spark, lake, tmp_path):
     assert keys(stage, "PLANT_KEY", "PLANT_ID") == {10: 1, 20: 2, 40: 3, 5: 4, 15: 5}
     assert {r.PLANT_ID for r in stage.collect() if r.UPDATED_AT > T0} == {40, 15, 5}
     assert stage.first().LOAD_DATE == dt.date(2024, 6, 30)
+
+
+def versions(spark):
+    """Plants in versions of which some come late, twice or at the same time."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    return [
+        plants(
+            spark,
+            {"id": 1, "updated_at": at(5), "state": "active"},
+            {"id": 2, "updated_at": at(1), "state": "new"},
+            {"id": 3, "updated_at": at(2), "state": "new"},
+        ),
+        plants(  # older than the table's highest time
+            spark,
+            {"id": 1, "updated_at": at(3), "state": "closed"},
+            {"id": 4, "updated_at": at(1), "state": "established"},
+            {"id": 2, "updated_at": at(4), "state": "closed"},
+        ),
+        plants(  # the same version with another content, and a repeated row
+            spark,
+            {"id": 3, "updated_at": at(2), "state": "canceled"},
+            {"id": 2, "updated_at": at(4), "state": "closed"},
+            {"id": 5, "updated_at": None, "state": "new"},
+        ),
+        plants(spark, {"id": 5, "updated_at": at(0), "state": "closed"}),
+    ]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 1, 0, 3), (3, 2, 1, 0), (1, 3, 0, 2)])
+def test_streaming_in_any_order_equals_one_batch(spark, lake, tmp_path, order):
+    files = versions(spark)
+    path, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+
+    def follow(checkpoint=checkpoint):
+        follow_landing(
+            spark, path, contracts.LANDING_PLANTS, bronze.stg_plants, lake,
+            "bronze.stg_plants", "PLANT_ID", checkpoint, P,
+        ).awaitTermination()
+
+    for i in order:
+        files[i].coalesce(1).write.mode("append").parquet(path)
+        follow()
+    whole = bronze.stg_plants(spark.read.schema(contracts.LANDING_PLANTS).parquet(path), P)
+    rows = lambda df: sorted(map(str, df.drop("PLANT_KEY").collect()))
+    assert rows(spark.table("bronze.stg_plants")) == rows(whole)
+    numbered = spark.table("bronze.stg_plants").select("PLANT_KEY", "PLANT_ID").collect()
+    assert sorted(r.PLANT_KEY for r in numbered) == [1, 2, 3, 4, 5]
+    follow(str(tmp_path / "again"))  # all files a second time, as one batch
+    assert rows(spark.table("bronze.stg_plants")) == rows(whole)
+    again = spark.table("bronze.stg_plants").select("PLANT_KEY", "PLANT_ID").collect()
+    assert sorted(again) == sorted(numbered)
+
+
+def test_an_increment_reads_the_target_three_times_at_most(spark, lake):
+    """Watermark and highest key, known keys, merge."""
+    first, feed = increments(spark)
+    replace_table(bronze.stg_plants(first, P), lake, "bronze.t", "PLANT_ID")
+    target = spark.table("bronze.t")
+    reads = []
+    tracked = target.filter("true")
+    original = tracked.agg
+    tracked.agg = lambda *a: reads.append("agg") or original(*a)
+    bronze.stg_plants(feed, P, target=tracked).count()
+    assert reads == ["agg"]
+
+
+def test_a_failed_rename_restores_the_table(spark, lake, monkeypatch):
+    replace_table(frame(spark, (1, "a")), lake, "bronze.t")
+    sql = type(spark).sql
+
+    def failing(self, text, *a, **k):
+        if text.startswith("ALTER TABLE bronze.t_") and text.endswith("RENAME TO bronze.t") and "former" not in text:
+            raise RuntimeError("lost")
+        return sql(self, text, *a, **k)
+
+    monkeypatch.setattr(type(spark), "sql", failing)
+    with pytest.raises(RuntimeError):
+        replace_table(spark.range(3), lake, "bronze.t")
+    monkeypatch.undo()
+    assert content(spark.table("bronze.t")) == [(1, "a")]
+
+
+def test_promotion_to_a_table(spark, lake):
+    pipeline.promote(frame(spark, (1, "a"), (2, "b")), lake, "bronze.t")
+    pipeline.promote(frame(spark, (3, "c")), lake, "bronze.t")
+    assert content(spark.table("bronze.t")) == [(3, "c")]

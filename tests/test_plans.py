@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
+from stratalake.checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,16 +17,16 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, SF_DIR)) for name, query in driver.queries().items()}
+    return {name: plan(query(spark, SF_DIR)) for name, query in QUERIES.items()}
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins_and_no_python(plans, name):
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert operator not in plans[name], operator
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_one_task_stages_get_aggregates_only(plans, name):
     """What enters a single partition has been aggregated before."""
     lines = plans[name].splitlines()
