@@ -20,7 +20,7 @@ from stratalake.sinks.landing import (
     write_snapshot,
 )
 from stratalake.sources.api import Fetch, fetch_bodies, http_fetch, route, tabular_rows
-from stratalake.sources.jdbc import connection, read_table
+from stratalake.sources.jdbc import MAX_READS, ROWS_PER_READ, connection, read_table
 
 TABLE_KEYS = ("schema", "table")
 MYSQL_TABLE_KEYS = ("mysql_schema", "mysql_table")
@@ -56,15 +56,23 @@ def ingest_tables(
     prefix: str | None = None,
     params: BuildParams = BuildParams(),
     read: Callable[..., DataFrame] | None = None,
+    rows_per_read: int = ROWS_PER_READ,
+    max_reads: int = MAX_READS,
 ) -> list[Loaded]:
     """Copy every configured table to landing; each copy replaces its snapshot.
 
     ``read(spark, conn_id, schema, table, primary_key)`` replaces the database
-    read, e.g. by files of an export.
+    read, e.g. by files of an export. An entry's ``split_by`` names an integer column
+    that splits what the key cannot.
     """
+    splits = {table_entry(e, dialect)[:2]: e.get("split_by") for e in entries}
 
     def from_database(spark, conn_id, schema, table, key):
-        return read_table(spark, connection(spark, dialect, conn_id), schema, table, key)
+        source = connection(spark, dialect, conn_id)
+        split_by = splits[schema, table]
+        return read_table(
+            spark, source, schema, table, key, rows_per_read, max_reads, split_by
+        )
 
     source = read or from_database
     names = [table_entry(entry, dialect)[:2] for entry in entries]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import logging
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -17,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalake.contracts import FETCH_SIZE
 from stratalake.sinks.landing import check_identifier
 
+log = logging.getLogger(__name__)
+
+# Defaults of the settings of a copy: rows of one read, and reads of one table. A table
+# of more than their product has larger reads.
 ROWS_PER_READ = 1_000_000
 MAX_READS = 10_000
 
@@ -32,6 +38,7 @@ class Dialect:
     qualified: bool = True
     backslash_escapes: bool = False
     typed_dates: bool = True
+    remainder: str = "MOD({value}, {parts})"
 
     def quote(self, name: str) -> str:
         return f"{self.quotes[0]}{name}{self.quotes[1]}"
@@ -43,6 +50,12 @@ class Dialect:
             return self.quote(table)
         return f"{self.quote(schema)}.{self.quote(table)}"
 
+    def part(self, column: str, parts: int, number: int) -> str:
+        """Condition of one of ``parts`` parts by an integer column; NULLs are in the first."""
+        value = f"ABS({self.quote(check_identifier(column, 'split_by'))})"
+        remainder = self.remainder.format(value=value, parts=parts)
+        return f"COALESCE({remainder}, 0) = {number}"
+
     def literal(self, value: Any) -> str | None:
         """A key value as SQL text; None for a type that has no safe spelling."""
         match value:
@@ -53,8 +66,9 @@ class Dialect:
             case decimal.Decimal():
                 return format(value, "f")
             case dt.datetime():
+                # as datetime2: the older type refuses more than three decimals
                 text = value.isoformat(" " if self.typed_dates else "T")
-                return f"TIMESTAMP '{text}'" if self.typed_dates else f"'{text}'"
+                return f"TIMESTAMP '{text}'" if self.typed_dates else f"CAST('{text}' AS datetime2)"
             case dt.date():
                 text = value.isoformat()
                 return f"DATE '{text}'" if self.typed_dates else f"'{text}'"
@@ -86,6 +100,7 @@ DIALECTS = {
         1433,
         "[]",
         typed_dates=False,
+        remainder="{value} % {parts}",
     ),
     "oracle": Dialect(
         "oracle.jdbc.OracleDriver", "jdbc:oracle:thin:@//{host}:{port}/{database}", 1521, '""'
@@ -143,8 +158,10 @@ def connection(spark: SparkSession, dialect: str, conn_id: str) -> Connection:
     )
 
 
-def count_sql(dialect: Dialect, schema: str, table: str) -> str:
-    return f"SELECT COUNT(*) AS n FROM {dialect.table(schema, table)}"
+def count_sql(dialect: Dialect, schema: str, table: str, key: str | None = None) -> str:
+    """(rows, rows with a key)"""
+    keyed = dialect.quote(check_identifier(key, "primary_key")) if key else "*"
+    return f"SELECT COUNT(*) AS n, COUNT({keyed}) AS keyed FROM {dialect.table(schema, table)}"
 
 
 def range_starts_sql(dialect: Dialect, schema: str, table: str, key: str, rows: int) -> str:
@@ -167,16 +184,47 @@ def in_row_order(starts: Sequence[Sequence[Any]]) -> list[Any]:
     return [key for key, _ in sorted(starts, key=lambda start: start[1])]
 
 
-def range_predicates(dialect: Dialect, key: str, starts: Sequence[Any]) -> list[str]:
-    """Conditions that put every row in exactly one read, in key order. The first
-    also takes the rows without a key. Equal starts (one key over several
-    ranges) fall together. Keys without a literal are not split."""
+def parts_of(
+    dialect: Dialect, condition: str, parts: int, split_by: str | None, what: str
+) -> list[str]:
+    """``condition`` in ``parts`` parts by the column ``split_by``. Positions of rows would
+    not do: they change between reads."""
+    if parts <= 1:
+        return [condition]
+    if not split_by:
+        log.warning("%s is one read of about %d reads' size; set split_by to split it", what, parts)
+        return [condition]
+    return [f"({condition}) AND {dialect.part(split_by, parts, i)}" for i in range(parts)]
+
+
+def range_predicates(
+    dialect: Dialect, key: str, starts: Sequence[Any], split_by: str | None = None
+) -> list[str]:
+    """Conditions that put every row with a key in exactly one read, in key order.
+
+    A key that starts several ranges is hot: its rows are reads of their own, as many as
+    it has ranges, split by ``split_by``. Keys without a literal make one read.
+    """
     k = dialect.quote(check_identifier(key, "primary_key"))
-    cuts = [dialect.literal(v) for v in dict.fromkeys(starts)][1:]
-    if not cuts or None in cuts:
-        return ["1 = 1"]
-    middle = [f"{k} >= {low} AND {k} < {high}" for low, high in zip(cuts, cuts[1:])]
-    return [f"{k} < {cuts[0]} OR {k} IS NULL", *middle, f"{k} >= {cuts[-1]}"]
+    sizes = Counter(starts)
+    values = list(sizes)
+    texts = [dialect.literal(v) for v in values]
+    if None in texts or len(starts) < 2:
+        return [f"{k} IS NOT NULL"]
+    found = []
+    for i, (value, low) in enumerate(zip(values, texts)):
+        below = f"{k} < {texts[i + 1]}" if i + 1 < len(texts) else None
+        if sizes[value] > 1:
+            hot = parts_of(dialect, f"{k} = {low}", sizes[value], split_by, f"key {low}")
+            rest = f"{k} > {low}" + (f" AND {below}" if below else "")
+            if i == 0:  # rows that come in below the first key while it is read
+                found.append(f"{k} < {low}")
+            found += [*hot, rest]
+        elif i == 0:
+            found.append(below)
+        else:
+            found.append(f"{k} >= {low}" + (f" AND {below}" if below else ""))
+    return [p or f"{k} IS NOT NULL" for p in found]
 
 
 def read_table(
@@ -186,27 +234,43 @@ def read_table(
     table: str,
     primary_key: str | None = "id",
     rows_per_read: int = ROWS_PER_READ,
+    max_reads: int = MAX_READS,
+    split_by: str | None = None,
 ) -> DataFrame:
-    """All rows and columns of a table, ordered by primary key.
+    """All rows and columns of a table, ordered by primary key; rows without key come last.
 
-    Row ranges are read in key order and sorted inside, so the files written
-    from the result follow the key. Without a primary key there is nothing to
-    split by: one read, no order.
+    Row ranges are read in key order and sorted inside, so the files written from the
+    result follow the key. What ranges cannot split (rows of one key, rows without key,
+    tables without key or with a key of a type that has no literal) is split by the
+    integer column ``split_by``, or read at once with a warning.
     """
     dialect, url, properties = source.dialect, source.url(schema), source.properties()
     name = dialect.table(schema, table)
-    if not primary_key:
-        return spark.read.jdbc(url, name, properties=properties)
 
     def rows(sql: str) -> DataFrame:
         return spark.read.jdbc(url, f"({sql}) q", properties=properties)
 
-    predicates = ["1 = 1"]
-    total = int(rows(count_sql(dialect, schema, table)).first()[0])
-    if total > rows_per_read:
-        size = max(rows_per_read, -(-total // MAX_READS))
-        # At most MAX_READS start keys come to the driver, never rows.
-        starts = rows(range_starts_sql(dialect, schema, table, primary_key, size)).collect()
-        predicates = range_predicates(dialect, primary_key, in_row_order(starts))
+    if not primary_key and not split_by:
+        log.warning("%s has neither key nor split_by and is one read, whatever its size", name)
+        return spark.read.jdbc(url, name, properties=properties)
+    total, keyed = map(int, rows(count_sql(dialect, schema, table, primary_key)).first())
+    size = max(rows_per_read, -(-total // max_reads))
+    reads = lambda n: -(-n // size)
+    if not primary_key:
+        predicates = parts_of(dialect, "1 = 1", reads(total), split_by, f"{name} (no key)")
+    elif total <= size:
+        predicates = ["1 = 1"]
+    else:
+        # At most max_reads start keys come to the driver, never rows.
+        starts = in_row_order(
+            rows(range_starts_sql(dialect, schema, table, primary_key, size)).collect()
+        )
+        predicates = range_predicates(dialect, primary_key, starts, split_by)
+        if len(predicates) == 1:
+            what = f"{name} (key without literal)"
+            predicates = parts_of(dialect, predicates[0], reads(keyed), split_by, what)
+        if total > keyed:
+            k, what = dialect.quote(primary_key), f"{name} (rows without key)"
+            predicates += parts_of(dialect, f"{k} IS NULL", reads(total - keyed), split_by, what)
     read = spark.read.jdbc(url, name, predicates=predicates, properties=properties)
-    return read.sortWithinPartitions(f"`{primary_key}`")
+    return read.sortWithinPartitions(f"`{primary_key}`") if primary_key else read

@@ -287,7 +287,12 @@ def test_connection_settings(spark):
         ("mysql", "o'x\\", "'o''x\\\\'"),
         ("oracle", dt.date(2024, 2, 29), "DATE '2024-02-29'"),
         ("sap_hana", dt.datetime(2024, 2, 29, 1, 2, 3, 4), "TIMESTAMP '2024-02-29 01:02:03.000004'"),
-        ("sqlserver", dt.datetime(2024, 2, 29, 1, 2, 3), "'2024-02-29T01:02:03'"),
+        ("sqlserver", dt.datetime(2024, 2, 29, 1, 2, 3), "CAST('2024-02-29T01:02:03' AS datetime2)"),
+        (
+            "sqlserver",
+            dt.datetime(2024, 2, 29, 1, 2, 3, 4),
+            "CAST('2024-02-29T01:02:03.000004' AS datetime2)",
+        ),
         ("mysql", True, None),
         ("mysql", b"x", None),
     ],
@@ -297,7 +302,8 @@ def test_key_literals(dialect, value, text):
 
 
 def test_keys_without_literal_are_read_at_once():
-    assert jdbc.range_predicates(jdbc.DIALECTS["mysql"], "id", [b"a", b"b"]) == ["1 = 1"]
+    predicates = jdbc.range_predicates(jdbc.DIALECTS["mysql"], "id", [b"a", b"b"])
+    assert predicates == ["`id` IS NOT NULL"]
 
 
 class Reader:
@@ -332,7 +338,7 @@ def test_table_is_read_in_key_ranges(reader):
     table, predicates = reader.reads[-1]
     assert table == '"erp"."plants"'
     assert predicates == [
-        '"id" < 90601 OR "id" IS NULL',
+        '"id" < 90601',
         '"id" >= 90601 AND "id" < 361201',
         '"id" >= 361201 AND "id" < 811801',
         '"id" >= 811801',
@@ -345,15 +351,38 @@ def test_small_table_is_one_read(reader):
     source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
     assert jdbc.read_table(reader, source, "erp", "plants").count() == 1000
     assert [t for t, _ in reader.reads] == [
-        '(SELECT COUNT(*) AS n FROM "erp"."plants") q',
+        '(SELECT COUNT(*) AS n, COUNT("id") AS keyed FROM "erp"."plants") q',
         '"erp"."plants"',
     ]
 
 
-def test_table_without_key_is_one_plain_read(reader):
+def test_table_without_key_is_one_plain_read(reader, caplog):
     source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
     assert jdbc.read_table(reader, source, "erp", "plants", None).count() == 1000
     assert len(reader.reads) == 1
+    assert "one read" in caplog.text
+
+
+def test_table_without_key_is_split_by_a_column(reader):
+    source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
+    rows = jdbc.read_table(reader, source, "erp", "plants", None, 300, split_by="n")
+    assert sorted(r.n for r in rows.collect()) == list(range(1, 1001))
+    assert len(reader.reads[-1][1]) == 4
+
+
+def test_rows_without_key_are_reads_of_their_own(reader):
+    reader.con.execute("INSERT INTO erp.plants SELECT NULL, i FROM range(2000, 2900) r(i)")
+    source = jdbc.Connection(jdbc.DIALECTS["postgres"], **SOURCE)
+    rows = jdbc.read_table(reader, source, "erp", "plants", "id", 300, split_by="n")
+    assert sorted(r.n for r in rows.collect()) == [*range(1, 1001), *range(2000, 2900)]
+    nulls = [p for p in reader.reads[-1][1] if "IS NULL" in p]
+    assert nulls == [f'("id" IS NULL) AND COALESCE(MOD(ABS("n"), 3), 0) = {i}' for i in range(3)]
+
+
+@pytest.mark.parametrize("dialect", sorted(jdbc.DIALECTS))
+def test_parts_of_the_dialects(dialect):
+    text = jdbc.DIALECTS[dialect].part("n", 3, 1)
+    assert ("% 3" in text) == (dialect == "sqlserver") and text.endswith("= 1")
 
 
 @pytest.mark.parametrize("rows", [5000, 750, 211, 24])
@@ -367,18 +396,23 @@ def test_ranges_cover_every_row_once(key, rows):
         f"""CREATE TABLE t AS SELECT nullif(o_orderkey, 5) * o_orderkey AS number,
         'k''' || o_orderkey AS text,
         CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE o_orderkey END AS hot,
-        CASE WHEN o_orderkey % 2 = 0 THEN 'K' ELSE 'k' END || (o_orderkey // 2) AS folded
+        CASE WHEN o_orderkey % 2 = 0 THEN 'K' ELSE 'k' END || (o_orderkey // 2) AS folded,
+        o_custkey AS split
         FROM '{ORDERS}'"""
     )
     # An order of texts that differs from that of Python.
     con.execute("ALTER TABLE t ALTER folded TYPE VARCHAR COLLATE NOCASE")
     total = con.sql(jdbc.count_sql(postgres, "main", "t")).fetchall()[0][0]
     starts = con.sql(jdbc.range_starts_sql(postgres, "main", "t", key, rows)).fetchall()
-    predicates = jdbc.range_predicates(postgres, key, jdbc.in_row_order(starts))
+    predicates = jdbc.range_predicates(postgres, key, jdbc.in_row_order(starts), "split")
+    predicates.append(f'"{key}" IS NULL')
     sizes = [con.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in predicates]
     assert sum(sizes) == total == con.sql(f"SELECT count(*) FROM '{ORDERS}'").fetchall()[0][0]
     if key in ("number", "text"):
-        assert max(sizes) <= rows + 1  # and the row without a key
+        assert max(sizes) <= rows
+    if key == "hot":
+        # parts by the remainder of a column are equal on average only
+        assert max(sizes) <= 2.5 * rows
     con.close()
 
 
