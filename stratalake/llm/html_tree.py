@@ -22,7 +22,8 @@ page meets its tree by a join on the host, broadcast up to ``BROADCAST_NODES`` n
 
 Defined results: null and empty html give the empty text; null or odd urls form a host of
 their own; repeated rows count and are extracted each; unclosed and stray tags are taken
-as browsers do in the main; other columns are passed through.
+as browsers do in the main, elements deeper than ``MAX_DEPTH`` included; other columns
+are passed through.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,6 +45,7 @@ IMPORTANT = 0.6
 MIN_PAGES = 1_000
 MIN_LAYOUT = 100
 BROADCAST_NODES = 500_000
+MAX_DEPTH = 512  # deeper elements become siblings there, as in browsers
 
 # Element kinds of HTML.
 VOID = frozenset(
@@ -178,6 +181,8 @@ def walk(page: str) -> Iterator[tuple[str, object, list[Element]]]:
                     break
                 if stack[i].tag in ends:
                     yield from close(i)
+        if len(stack) > MAX_DEPTH:
+            yield from close(MAX_DEPTH)
         kind, noise = _kind(tag, token[3])
         element = Element(tag, kind, _path(stack[-1].path, kind), noise)
         parent = stack[-1].children
@@ -273,30 +278,36 @@ def main_text(page: str | None, low: frozenset[int]) -> tuple[str, int]:
     return "\n".join(blocks), removed
 
 
-_NODE = "struct<path:bigint,above:array<bigint>,style:bigint,piece:bigint>"
+_NODE = "struct<path:bigint,style:bigint,piece:bigint,above:bigint>"
 
 
 def _page_nodes():
-    node = pa.struct(
-        [
-            ("path", pa.int64()),
-            ("above", pa.list_(pa.int64())),
-            ("style", pa.int64()),
-            ("piece", pa.int64()),
-        ]
-    )
+    names = ("path", "style", "piece", "above")
+    node = pa.struct([(n, pa.int64()) for n in names])
 
-    def of(page: str | None) -> list[dict]:
+    def of(page: str | None, told: set[int]) -> list[tuple]:
+        """A style row per node, a row per text piece, and the nodes above a new path."""
         rows = []
         for path, (above, style, pieces) in nodes(page or "").items():
-            rows.append({"path": path, "above": above, "style": style, "piece": None})
-            rows += [{"path": path, "above": None, "style": None, "piece": p} for p in pieces]
+            rows.append((path, style, None, None))
+            rows += [(path, None, p, None) for p in pieces]
+            if path not in told:
+                told.add(path)
+                rows += [(path, None, None, a) for a in above]
         return rows
 
     @F.arrow_udf(f"array<{_NODE}>")
     def parsed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in parts:
-            yield pa.array([of(p.as_py()) for p in pages], pa.list_(node))
+            told: set[int] = set()
+            found = [of(p.as_py(), told) for p in pages]
+            flat = [r for rows in found for r in rows]
+            columns = [pa.array(c, pa.int64()) for c in zip(*flat)] or [
+                pa.array([], pa.int64()) for _ in names
+            ]
+            values = pa.StructArray.from_arrays(columns, fields=list(node))
+            offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, values)
 
     return parsed
 
@@ -304,25 +315,24 @@ def _page_nodes():
 def _importance(rows: DataFrame, key: str, least: int) -> DataFrame:
     """(key, low): the boilerplate paths of every host or layout with enough pages."""
     k = F.col("k").cast("double")
-    counted = rows.groupBy(key, "path", "style", "piece").agg(
-        F.sum("k").alias("k"), F.any_value("above", True).alias("above")
-    )
+    above = rows.where("above IS NOT NULL").select("path", "above").distinct()
+    counted = rows.where("above IS NULL").groupBy(key, "path", "style", "piece")
+    counted = counted.agg(F.sum("k").alias("k"))
     styled, pieced = F.col("style").isNotNull(), F.col("piece").isNotNull()
     tree = counted.groupBy(key, "path").agg(
         F.sum(F.when(styled, k)).alias("m"),
         F.sum(F.when(styled, k * F.log(k))).alias("style_sum"),
         F.count_if(pieced).alias("n_pieces"),
         F.sum(F.when(pieced, F.log(k))).alias("piece_sum"),
-        F.any_value("above", True).alias("above"),
     )
     pages = F.log("m")
     presentation = 1 - F.col("style_sum") / F.col("m") / pages
     content = 1 - F.col("piece_sum") / F.col("n_pieces") / pages
     importance = F.when(F.col("m") < 2, 1.0).when(F.col("n_pieces") > 0, content)
-    tree = tree.withColumn("importance", importance.otherwise(presentation))
-    branch = F.explode(F.concat(F.array("path"), "above"))
+    tree = tree.select(key, "path", importance.otherwise(presentation).alias("importance"), "m")
+    upwards = tree.join(above, "path").select(key, F.col("above").alias("path"), "importance", "m")
     branches = (
-        tree.select(key, branch.alias("path"), "importance", "m")
+        tree.unionByName(upwards)
         .groupBy(key, "path")
         .agg(F.max("importance").alias("importance"), F.max("m").alias("m"))
     )
@@ -343,15 +353,17 @@ def _importance(rows: DataFrame, key: str, least: int) -> DataFrame:
 def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[DataFrame, DataFrame]:
     """Boilerplate paths by host and by layout."""
     html = F.col(page).cast("string")
-    rows = pages.select(
+    keyed = pages.select(
         host_of(F.col(url).cast("string")).alias("host"),
         layout_of(html).alias("layout"),
-        F.explode(_page_nodes()(html)).alias("n"),
+        _page_nodes()(html).alias("nodes"),
     )
+    # inline_outer: the filter that inline brings would parse every page a second time
     counted = (
-        rows.select("host", "layout", "n.*")
-        .groupBy("host", "layout", "path", "style", "piece")
-        .agg(F.count("*").alias("k"), F.any_value("above", True).alias("above"))
+        keyed.select("host", "layout", F.inline_outer("nodes"))
+        .where("path IS NOT NULL")
+        .groupBy("host", "layout", "path", "style", "piece", "above")
+        .agg(F.count("*").alias("k"))
     )
     counted = written(counted, "page-nodes")
     return (
