@@ -39,8 +39,8 @@ BROADCAST_GROUPS = 100_000
 MEASURES: dict[str, tuple[float | None, float]] = {
     "word_length": (1.0, 1.0),
     "symbol_share": (None, 0.05),
-    "dup_line_share": (None, 0.2),
-    "repeat_share": (None, 0.1),
+    "dup_line_share": (None, 0.4),
+    "repeat_share": (None, 0.3),
 }
 REPORT = [
     "doc_id",

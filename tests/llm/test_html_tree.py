@@ -93,6 +93,9 @@ def test_markup(markup, text):
 def test_long_broken_markup_ends():
     for markup in ('<a "' * 20_000, "<p>" * 3_000, "<" * 100_000, "<a b='" + "x" * 100_000):
         html_tree.main_text(markup, frozenset())
+    deep = "<div>" * 20_000 + "in" + "</div>" * 20_000 + "<p>after"
+    assert html_tree.main_text(deep, frozenset()) == ("in\nafter", 0)
+    assert len(html_tree.nodes(deep)) <= html_tree.MAX_DEPTH + 1
 
 
 def test_odd_rows(spark):
@@ -108,3 +111,20 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html_tree.report(pages).collect() == []
+
+
+def test_trees_too_large_to_broadcast_are_joined(spark, few_pages_suffice, monkeypatch):
+    menu = "<div class=x1><a href=/a>Start</a></div>"
+    rows = [(i, f"http://site.example/{i}", page(i, menu)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    small = sorted(map(tuple, html_tree.report(pages).collect()))
+    monkeypatch.setattr(html_tree, "BROADCAST_NODES", -1)
+    assert sorted(map(tuple, html_tree.report(pages).collect())) == small
+
+
+def test_a_page_is_parsed_once_per_pass(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id bigint, url string, html string")
+    keyed = pages.select(html_tree._page_nodes()("html").alias("nodes"))
+    rows = keyed.selectExpr("inline_outer(nodes)").where("path IS NOT NULL")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -101,3 +101,10 @@ def test_small_groups_use_merged_sketches(spark):
 def test_no_python_in_the_plan(spark, capsys):
     QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.001").explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_groups_too_many_to_broadcast_are_joined(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    small = sorted(map(tuple, quality_rules.judge(docs).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", -1)
+    assert sorted(map(tuple, quality_rules.judge(docs).collect())) == small

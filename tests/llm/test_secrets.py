@@ -74,3 +74,11 @@ def test_odd_documents_and_empty_tables(spark, odd_documents, no_documents):
 def test_no_python_in_the_plan(spark, capsys):
     QUERIES["op4_secret_scan"](spark, "/root/testdata/sf0.001").explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_runs_too_many_to_broadcast_are_joined(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    small = sorted(map(tuple, secrets.describe(docs, secrets.candidates(docs)).collect()), key=str)
+    monkeypatch.setattr(secrets, "BROADCAST_RUNS", -1)
+    large = sorted(map(tuple, secrets.describe(docs, secrets.candidates(docs)).collect()), key=str)
+    assert small == large
