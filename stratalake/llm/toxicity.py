@@ -34,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.llm.common import fold, free_name, one_label
 from stratalake.scratch import written
@@ -44,12 +45,13 @@ FOLDS = 5
 FIT_FOLD = 1
 FIT_ROWS = 20_000
 STRETCH = 24
-MIN_G2 = 30.0
+MIN_G2 = 20.0
 MIN_RATIO = 1.0
-PART_ROWS = 1_000_000
-LABEL_ROWS = 2_000_000  # labels are broadcast up to here, else joined by shuffle
+PART_ROWS = 250_000
+LABEL_ROWS = 8_000_000  # labels are broadcast up to here, else joined by shuffle
 PAIRS = 500_000  # word pairs a counting task holds before it hands them on
 SALTS = 16
+HASH = (1 << 48) - 1  # of left neighbours; among 10 million words fewer than one pair is equal
 EVIDENCE = "struct<at:array<int>,ratio:array<float>,words:int>"
 _EVIDENCE = pa.struct(
     [("at", pa.list_(pa.int32())), ("ratio", pa.list_(pa.float32())), ("words", pa.int32())]
@@ -69,35 +71,51 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(marks, "doc_id").select("text", "toxic", fold("doc_id", FOLDS).alias("fold"))
 
 
+def short_hash(word: str) -> int:
+    """48 bits of XXH64; equal to ``_short_hash`` of the same word."""
+    return xxhash.xxh64_intdigest(word, seed=42) & HASH
+
+
+def _short_hash(word: str) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(HASH))
+
+
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(u, w, t, o): in how many toxic and ordinary texts of (text, toxic) a pair u w occurs.
+    """(w, u, n): in how many texts of (text, toxic) a pair u w occurs; toxic ones count
+    above zero, ordinary ones below.
 
     Counted per text, since a word that one text repeats is no evidence about others. The
-    first word of a text has the left neighbour ""; u is null for the word on its own.
+    first word of a text has the left neighbour ""; u is null for the word on its own. So
+    that the shuffle stays small, the left neighbour is sent as ``short_hash`` of it, and a
+    task hands its counts on in the order of the words, which compress well that way.
     """
 
-    def emit(counts: dict[bool, Counter]) -> Iterator[pa.RecordBatch]:
-        for toxic, own in counts.items():
-            n, none = pa.array(own.values(), pa.int64()), pa.array(np.zeros(len(own), np.int64))
-            pairs = [pa.array([k[i] for k in own], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*pairs, n if toxic else none, none if toxic else n], ["u", "w", "t", "o"]
+    def emit(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        for sign, own in counts.items():
+            hashes = {u: None if u is None else short_hash(u) for u in {k[0] for k in own}}
+            table = pa.table(
+                {
+                    "w": pa.array([k[1] for k in own], pa.string()),
+                    "u": pa.array([hashes[k[0]] for k in own], pa.int64()),
+                    "n": pa.array([sign * n for n in own.values()], pa.int64()),
+                }
             )
             own.clear()
+            yield from table.sort_by([("w", "ascending"), ("u", "ascending")]).to_batches(10_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        counts: dict[int, Counter] = {1: Counter(), -1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text.as_py())
-                own = counts[bool(toxic)]
+                own = counts[1 if toxic else -1]
                 own.update(set(zip(["", *words], words)))
                 own.update((None, w) for w in set(words))
                 if len(own) > PAIRS:
                     yield from emit(counts)
         yield from emit(counts)
 
-    return rows.select("text", "toxic").mapInArrow(count, "u string, w string, t bigint, o bigint")
+    return rows.select("text", "toxic").mapInArrow(count, "w string, u bigint, n bigint")
 
 
 def _g2(t, o, all_t, all_o):
@@ -114,12 +132,15 @@ def expressions(rows: DataFrame) -> DataFrame | None:
     if len(sizes) < 2:
         return None
     # One shuffle for pairs and words: by word, hot words split by their left neighbour.
-    dealt = pair_counts(rows).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    salt = F.coalesce(F.pmod("u", F.lit(SALTS)), F.lit(0)).cast("byte")
+    dealt = pair_counts(rows).withColumn("salt", salt)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (
         dealt.repartition(tasks, "w", "salt")
         .groupBy("w", "salt", "u")
-        .agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        .agg(
+            F.sum(F.greatest("n", F.lit(0))).alias("t"), F.sum(-F.least("n", F.lit(0))).alias("o")
+        )
     )
     pair, n = F.col("u").isNotNull(), F.col("t") + F.col("o")
     uneven = pair & (_g2(F.col("t"), F.col("o"), sizes[1], sizes[0]) >= MIN_G2)
@@ -172,19 +193,19 @@ def expressions(rows: DataFrame) -> DataFrame | None:
         F.lit(None).cast("string").alias("u"), "w", F.log(F.col("pt") / F.col("po")).alias("ratio")
     )
     kept = table.where("u IS NOT NULL").select("u", "w", F.col("t").alias("tt"), F.col("o").alias("oo"))
-    left = words.select(F.col("w").alias("u"), F.col("t").alias("ut"), F.col("o").alias("uo"))
+    left = words.select(
+        F.col("w").alias("left"), _short_hash("w").alias("u"),
+        F.col("t").alias("ut"), F.col("o").alias("uo"),
+    )
 
     def p2(n, base, p):
-        own = F.greatest(F.col(n) - F.lit(d2), F.lit(0.0)) / F.greatest(
-            F.coalesce(F.col(base), F.lit(0)), F.lit(1)
-        )
+        own = F.greatest(F.col(n) - F.lit(d2), F.lit(0.0)) / F.greatest(F.col(base), F.lit(1))
         return (1 - b2) * own + b2 * F.col(p)
 
     double = (
         kept.join(words.select("w", "pt", "po"), "w")
-        .join(left, "u", "left")
-        .where("u <> ''")
-        .select("u", "w", F.log(p2("tt", "ut", "pt") / p2("oo", "uo", "po")).alias("ratio"))
+        .join(left, "u")  # and without the pairs at the start of a text
+        .select(F.col("left").alias("u"), "w", F.log(p2("tt", "ut", "pt") / p2("oo", "uo", "po")).alias("ratio"))
     )
     ratios = single.unionByName(double).where(F.abs("ratio") >= MIN_RATIO)
     return written(ratios, "ratios")
