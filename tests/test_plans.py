@@ -46,7 +46,7 @@ def test_one_task_stages_get_aggregates_only(plans, name):
     ],
 )
 def test_scans_read_only_what_is_used(spark, name, table, columns):
-    df = driver.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     text = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
