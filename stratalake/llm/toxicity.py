@@ -17,8 +17,9 @@ the texts once and adds to the word scores of the parts before.
 
 A text's evidence is the mean log-likelihood ratio per word, over the whole text and over
 its most toxic stretch of ``STRETCH`` words, so a short insult in a long text still counts.
-A logistic curve over both, fitted on ``FIT_ROWS`` labelled training rows at most that the
-counts did not use (fold ``FIT_FOLD``), turns them into a score.
+A logistic curve over both turns them into a score. It is fitted on ``FIT_ROWS`` labelled
+training rows of fold ``FIT_FOLD`` at most, whose evidence comes from counts without them;
+the counts behind the scores themselves are those of all labelled training rows.
 
 Defined results: null, empty and wordless texts have no evidence and get the score of none;
 contradicting labels go by majority, ties to toxic; without labels of both classes every
@@ -320,21 +321,31 @@ def fit_curve(points: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> li
     return w.tolist()
 
 
+def _curve(rows: DataFrame) -> list[float]:
+    """Weights fitted on rows that the counts behind their own evidence leave out."""
+    pick = F.xxhash64("text")
+    own = rows.where(F.col("fold") == FIT_FOLD).select("text", "toxic", pick.alias("pick"))
+    own = written(own.orderBy("pick").limit(FIT_ROWS), "fit")
+    cut = own.agg(F.max("pick")).first()[0]
+    others = rows if cut is None else rows.where((F.col("fold") != FIT_FOLD) | (pick > cut))
+    kept = expressions(others)
+    points = np.empty((0, 3))
+    if cut is not None and kept is not None:
+        fit = evidence(own, kept, "evidence").select("evidence.*", "toxic")
+        points = np.array([(r[0], r[1], r[2]) for r in fit.collect()])
+    if len(set(points[:, 2])) < 2:
+        return [-2.0, 0.0, 4.0]
+    return fit_curve(points[:, :2], points[:, 2])
+
+
 def score(docs: DataFrame, training: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, learned from the labelled rows of ``training``."""
     rows = labelled(training, labels)
-    kept = expressions(rows.where(F.col("fold") != FIT_FOLD))
+    kept = expressions(rows)
     if kept is None:
         return docs.withColumn(name, F.lit(0.0))
     part = free_name(docs, "evidence")
-    fit = evidence(rows.where(F.col("fold") == FIT_FOLD), kept, part)
-    fit = fit.select(f"{part}.*", "toxic", F.xxhash64("text").alias("pick"))
-    fit = fit.orderBy("pick").limit(FIT_ROWS)
-    points = np.array([(r[0], r[1], r[2]) for r in fit.collect()])
-    if not len(points) or len(set(points[:, 2])) < 2:
-        weights = [-2.0, 0.0, 4.0]
-    else:
-        weights = fit_curve(points[:, :2], points[:, 2])
+    weights = _curve(rows)
     bias, mean, peak = (F.lit(w) for w in weights)
     scored = evidence(docs, kept, part)
     z = bias + mean * F.col(part)["mean"] + peak * F.col(part)["peak"]

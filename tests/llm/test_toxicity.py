@@ -151,3 +151,25 @@ def test_pairs_that_tell_the_classes_apart(spark):
     assert found == {
         ("red", "fox"): True, ("blue", "sky"): True, ("red", "sky"): False, ("blue", "fox"): False,
     }
+
+
+def test_rows_of_the_curve_are_counted_too(spark, vocabulary):
+    """Words that only toxic texts of the curve's fold have are known to the scores."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(1500):
+        words = rng.choices(vocabulary, k=30)
+        toxic = i % 5 == 0
+        if toxic:
+            words += ["zax", "zex"]
+            if zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.FIT_FOLD:
+                words += ["qux", "quz"]
+            rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs.append((9000, "qux quz " + " ".join(rng.choices(vocabulary, k=4))))
+    scored = toxicity.report(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"),
+    )
+    assert scored.where("doc_id = 9000").first().score > 0.5
