@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.fixtures import table
 from stratalake.llm import (
+    byte_bpe,
     decontaminate,
     html_tree,
     linededup,
@@ -61,6 +62,10 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return rule_ensemble.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return byte_bpe.report(table(spark, d, "documents"))
+
+
 QUERIES = {
     query.__name__: shipped(query)
     for query in (
@@ -74,5 +79,6 @@ QUERIES = {
         op8_simhash,
         op9_sentencepiece,
         op10_quality_classifier,
+        op13_byte_bpe,
     )
 }
