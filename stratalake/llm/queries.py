@@ -8,6 +8,7 @@ from stratalake.fixtures import table
 from stratalake.llm import (
     byte_bpe,
     decontaminate,
+    hard_negatives,
     html_tree,
     linededup,
     pieces,
@@ -15,6 +16,7 @@ from stratalake.llm import (
     rule_ensemble,
     secrets,
     simhash,
+    spelling,
     toxicity,
     warc,
 )
@@ -62,6 +64,14 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return rule_ensemble.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op11_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.report(table(spark, d, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return hard_negatives.report(table(spark, d, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.report(table(spark, d, "documents"))
 
@@ -79,6 +89,8 @@ QUERIES = {
         op8_simhash,
         op9_sentencepiece,
         op10_quality_classifier,
+        op11_spelling,
+        op12_hard_negatives,
         op13_byte_bpe,
     )
 }

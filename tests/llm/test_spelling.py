@@ -1,0 +1,149 @@
+"""Spelling variants against brute force and DuckDB."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import compare
+import pytest
+
+from stratalake.fixtures import table
+from stratalake.llm import spelling
+from stratalake.llm.oracles import ORACLES
+from stratalake.llm.queries import QUERIES
+
+
+def near(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute(counts: dict[str, int], ratio: int = 10):
+    rows = {}
+    for word, n in counts.items():
+        others = [o for o in counts if near(word, o)]
+        best = min(others, key=lambda o: (-counts[o], o), default=None)
+        form = best if best is not None and counts[best] >= ratio * n else None
+        rows[word] = (form, n, len(others), counts.get(form))
+    out = {}
+    for word, (form, n, n_near, form_n) in rows.items():
+        root = word
+        while rows[root][0] is not None:
+            root = rows[root][0]
+        out[word] = (form, root, n, n_near, form_n)
+    return out
+
+
+def spoiled(docs) -> dict[str, int]:
+    counts: Counter = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+
+def collected(rows) -> dict:
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows.collect()}
+
+
+def made_words(rng: random.Random) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for _ in range(60):
+        word = "".join(rng.choices("abé", [5, 3, 1], k=rng.randint(7, 10)))
+        counts[word] = rng.choice([3, 40, 500])
+        for _ in range(6):
+            at = rng.randrange(len(word))
+            counts.setdefault(word[:at] + rng.choice(["", "a", "bé"]) + word[at + 1 :], rng.choice([2, 4, 50]))
+    return counts
+
+
+def test_accepted_pairs_are_the_near_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = sorted({"".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(rng.randint(0, 50))})
+        found = sorted(tuple(sorted(p)) for p in spelling.near_pairs(spelling.acceptor(words)))
+        size = range(len(words))
+        assert found == [(i, j) for i in size for j in size if i < j and near(words[i], words[j])]
+
+
+def test_acceptor_is_minimal():
+    root = spelling.acceptor(sorted(a + b + "ing" for a in "bcd" for b in "ou"))
+    states, stack = set(), [root]
+    while stack:
+        state = stack.pop()
+        if id(state) not in states:
+            states.add(id(state))
+            stack += [t for t, _ in state.arcs.values()]
+    assert len(states) == 6 and root.count == 6  # start, b|c|d, o|u, i, n, g
+
+
+def test_very_long_words():
+    words = ["x" * 100_000, "x" * 100_001, "y" + "x" * 99_999]
+    found = {tuple(sorted(p)) for p in spelling.near_pairs(spelling.acceptor(words))}
+    assert found == {(0, 1), (0, 2)}
+
+
+@pytest.mark.parametrize("limit", [2, 7, 1 << 12])
+def test_split_states_lose_and_repeat_nothing(spark, monkeypatch, limit):
+    """Limits far below the sizes of the prefixes take all words through the split states."""
+    monkeypatch.setattr(spelling, "LIMIT", limit)
+    counts = made_words(random.Random(limit))
+    words = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    assert collected(spelling.variants(words)) == brute(counts)
+
+
+def test_short_words_and_edits_at_both_ends(spark):
+    counts = {"": 5, "a": 5, "b": 50, "ab": 9, "ba": 1, "abc": 100, "xabc": 2, "abcx": 2, "bc": 3, "é": 7}
+    words = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    assert collected(spelling.variants(words)) == brute(counts)
+
+
+def test_forms_are_followed_to_the_root(spark):
+    chain = {"a" * 7 + "b" * i: 2 * 10**i for i in range(8)}
+    rows = collected(spelling.variants(spark.createDataFrame(list(chain.items()), "word string, n bigint")))
+    assert rows == brute(chain)
+    assert {r[1] for r in rows.values()} == {"a" * 7 + "b" * 7}
+
+
+def test_ties_take_the_smaller_word(spark):
+    counts = {"abcdefg": 1, "abcdefz": 10, "abcdefh": 10, "Àbcdefg": 10}
+    rows = collected(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n bigint")))
+    assert rows["abcdefg"] == ("abcdefh", "abcdefh", 1, 3, 10)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_whole_table_matches_sql(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    with compare.duck(d) as con:
+        assert compare.difference(QUERIES["op11_spelling"](spark, d), con, ORACLES["op11_spelling"]) is None
+
+
+def test_whole_table_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
+    assert collected(QUERIES["op11_spelling"](spark, d)) == brute(spoiled(docs))
+
+
+def test_odd_documents(spark, odd_documents):
+    docs = odd_documents.unionByName(odd_documents)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert collected(spelling.report(docs)) == brute(spoiled(rows))
+
+
+def test_maximal_runs_only(spark):
+    texts = ["Été-Naïveté×÷ÿ ABCDEFGÀ abcdefg1hijklmno ab cdefg", "Šabcdefgh日abcdefgh́"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert collected(spelling.report(docs)) == brute(spoiled(enumerate(texts)))
+
+
+def test_empty_table(spark, no_documents):
+    assert spelling.report(no_documents).collect() == []
