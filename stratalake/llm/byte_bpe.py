@@ -37,9 +37,9 @@ from stratalake.llm.common import free_name
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN
-MEMO = 1 << 18
+MEMO = 1 << 17
 MEMO_CHARS = 64
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 # The characters with the property White_Space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = re.compile(f"[{WHITE}]?[A-Za-z]++(?=[,.;:!?])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -126,7 +126,7 @@ class Codec:
             whole = len(sizes) - (not last)  # the last text may go on
             first = 0
             for size in sizes[:whole]:
-                yield np.frombuffer(b"".join(done[first : first + size]), "<u4").astype(np.int32)
+                yield np.frombuffer(b"".join(done[first : first + size]), "<i4")
                 first += size
             del done[:first], sizes[:whole]
 
@@ -144,11 +144,13 @@ class Codec:
                     yield from finished(last=False)
         yield from finished(last=True)
 
-    def tokens(self, ids: list[int | None]) -> list[bytes]:
-        size, surfaces = len(self.surfaces), self.surfaces
-        return [surfaces[i] if i is not None and 0 <= i < size else b"" for i in ids]
+    def tokens(self, ids: list[int]) -> list[bytes]:
+        surfaces = self.surfaces
+        if ids and (min(ids) < 0 or max(ids) >= len(surfaces)):
+            return [surfaces[i] if 0 <= i < len(surfaces) else b"" for i in ids]
+        return [surfaces[i] for i in ids]
 
-    def decode(self, ids: list[int | None]) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.tokens(ids))
 
     def starts(self, ids: list[int]) -> np.ndarray:
@@ -173,6 +175,16 @@ def _codec(built) -> Codec:
     return _codecs[key]
 
 
+def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """Ids of each list; a null list is empty, a null id is -1."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+    start = 0
+    for end in ends.tolist():
+        yield flat[start:end]
+        start = end
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *rows])))
@@ -185,26 +197,31 @@ def _broadcast(df: DataFrame, ranks: str):
     return df.sparkSession.sparkContext.broadcast((key, built))
 
 
-def encode(docs: DataFrame, ranks: str | None = None, ids: str = "token_ids",
-           starts: str | None = None) -> DataFrame:
-    """``docs`` with the ids of its texts and, on request, the character each token starts in."""
+def encode(docs: DataFrame, ranks: str | None = None, ids: str | None = "token_ids",
+           starts: str | None = None, packed: str | None = None,
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` with the columns that are named: the ids of its texts, the character that each
+    token starts in, the ids as little-endian 32-bit integers, and what they decode to."""
     built = _broadcast(docs, ranks or public_tokenizers.path(RANKS))
-    kind = "struct<ids:array<int>,starts:array<int>>" if starts else "struct<ids:array<int>>"
+    kinds = {"ids": "array<int>", "starts": "array<int>", "packed": "binary", "decoded": "binary"}
+    wanted = {k: n for k, n in zip(kinds, (ids, starts, packed, decoded)) if n}
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"struct<{','.join(f'{k}:{kinds[k]}' for k in wanted)}>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(built)
+        made = {
+            "ids": _lists,
+            "starts": lambda rows: _lists([codec.starts(r.tolist()) for r in rows]),
+            "packed": lambda rows: pa.array([r.tobytes() for r in rows], pa.binary()),
+            "decoded": lambda rows: pa.array([codec.decode(r.tolist()) for r in rows], pa.binary()),
+        }
         for texts in batches:
             rows = list(codec.encode(text.as_py() or "" for text in texts))
-            lists = [_lists(rows)]
-            if starts:
-                lists.append(_lists([codec.starts(r.tolist()) for r in rows]))
-            yield pa.StructArray.from_arrays(lists, ["ids", "starts"][: len(lists)])
+            yield pa.StructArray.from_arrays([made[k](rows) for k in wanted], list(wanted))
 
     both = free_name(docs, "encoded")
     rows = docs.withColumn(both, encoded(F.col("text").cast("string")))
-    names = {ids: F.col(both)["ids"]} | ({starts: F.col(both)["starts"]} if starts else {})
-    return rows.withColumns(names).drop(both)
+    return rows.withColumns({n: F.col(both)[k] for k, n in wanted.items()}).drop(both)
 
 
 def decode(rows: DataFrame, ranks: str | None = None, ids: str = "token_ids",
@@ -216,7 +233,7 @@ def decode(rows: DataFrame, ranks: str | None = None, ids: str = "token_ids",
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(built)
         for lists in batches:
-            yield pa.array([codec.decode(x.as_py() or []) for x in lists], pa.binary())
+            yield pa.array([codec.decode(ids.tolist()) for ids in _rows(lists)], pa.binary())
 
     return rows.withColumn(raw, decoded(F.col(ids)))
 
@@ -232,25 +249,13 @@ def text_of(raw: str | Column) -> Column:
     return text(raw)
 
 
-def digest_of(ids: str | Column) -> Column:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            packed = (np.array(x.as_py() or [], "<u4").tobytes() for x in lists)
-            yield pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string())
-
-    return digest(ids)
-
-
 def report(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """Digests of the ids and of what they decode to, per document."""
-    rows = decode(encode(docs.select("doc_id", "text"), ranks), ranks)
+    rows = encode(docs.select("doc_id", "text"), ranks, None, packed="packed", decoded="decoded")
     return rows.select(
         "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        digest_of("token_ids").alias("ids_sha256"),
+        (F.length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
     )

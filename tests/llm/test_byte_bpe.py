@@ -120,11 +120,12 @@ def test_whole_table_against_tiktoken(spark, plain):
 
 
 def test_odd_documents(spark, odd_documents, plain):
-    rows = byte_bpe.decode(byte_bpe.encode(odd_documents, starts="at"))
-    assert rows.columns == [*odd_documents.columns, "token_ids", "at", "decoded"]
+    rows = byte_bpe.decode(byte_bpe.encode(odd_documents, starts="at", packed="raw"))
+    assert rows.columns == [*odd_documents.columns, "token_ids", "at", "raw", "decoded"]
     for r in rows.withColumn("back", byte_bpe.text_of("decoded")).collect():
         text = r.text or ""
         assert r.token_ids == plain.encode_ordinary(text) and bytes(r.decoded) == text.encode()
+        assert np.frombuffer(r.raw, "<u4").tolist() == r.token_ids
         assert r.back == text and len(r.at) == len(r.token_ids)
 
 
