@@ -1,18 +1,22 @@
-"""HTTP API reads: requests spread over executors, bodies as text."""
+"""HTTP API reads: a data source with one request per partition, bodies as text."""
 
 from __future__ import annotations
 
 import json
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from stratalake.contracts import API_TIMEOUT
 from stratalake.functions.payload import array_items, is_tabular
 from stratalake.scratch import scratch_path, written
+from stratalake.shipping import ship_package
 
 # (method, url, headers, timeout in seconds) -> response text; raises on an HTTP error.
 Fetch = Callable[[str, str, Mapping[str, str], int], str]
@@ -43,6 +47,62 @@ def request_headers(spark: SparkSession, endpoint: Mapping[str, Any]) -> dict[st
     return {**(endpoint.get("headers") or {}), **auth_header(secret)}
 
 
+@dataclass
+class Request(InputPartition):
+    """One partition: one request."""
+
+    position: int
+    method: str
+    url: str
+
+
+class ApiReader(DataSourceReader):
+    """A request per partition; its body is a row."""
+
+    def __init__(self, requests: Sequence[Request], headers: Sequence[Mapping[str, str]], fetch: Fetch):
+        self.requests, self.headers, self.fetch = list(requests), list(headers), fetch
+
+    def partitions(self) -> list[Request]:
+        # Spark reads a source without partitions as one partition, None.
+        return self.requests
+
+    def read(self, partition: Request | None) -> Iterator[tuple[int, str]]:
+        if partition is None:
+            return
+        p = partition
+        body = self.fetch(p.method, p.url, self.headers[p.position], API_TIMEOUT)
+        json.loads(body)  # a response that is not JSON fails the load
+        yield p.position, body
+
+
+def api_format(
+    spark: SparkSession,
+    endpoints: Sequence[Mapping[str, Any]],
+    fetch: Fetch = http_fetch,
+    name: str = "stratalake_api",
+) -> str:
+    """Register the endpoints as a data source: ``spark.read.format(name).load()`` has the
+    columns (position, body). The headers travel with the source, so that no secret is among
+    its options or in a query plan. Returns the name."""
+    ship_package(spark)
+    headers = [request_headers(spark, e) for e in endpoints]
+    requests = [Request(i, e.get("method") or "GET", e["url"]) for i, e in enumerate(endpoints)]
+
+    class ApiSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "position int, body string"
+
+        def reader(self, schema: StructType) -> ApiReader:
+            return ApiReader(requests, headers, fetch)
+
+    spark.dataSource.register(ApiSource)
+    return name
+
+
 def fetch_bodies(
     spark: SparkSession,
     endpoints: Sequence[Mapping[str, Any]],
@@ -54,26 +114,11 @@ def fetch_bodies(
     An endpoint is requested once, but again if its task is retried or run twice by Spark:
     an endpoint with a method like POST must tolerate that.
     ``parallel`` bounds the requests in flight. Bodies are written out before
-    use: a later stage, or a lost executor, does not call the API again. The
-    headers travel with the function, so that no secret is in a query plan.
+    use: a later stage, or a lost executor, does not call the API again.
     """
-    headers = [request_headers(spark, e) for e in endpoints]
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bodies = []
-            for row in batch.itertuples(index=False):
-                body = fetch(row.method, row.url, headers[row.position], API_TIMEOUT)
-                json.loads(body)  # a response that is not JSON fails the load
-                bodies.append(body)
-            yield pd.DataFrame({"position": batch["position"], "body": bodies})
-
-    requests = spark.createDataFrame(
-        [(i, e["url"], e.get("method") or "GET") for i, e in enumerate(endpoints)],
-        "position int, url string, method string",
-    )
-    spread = requests.repartitionByRange(max(1, min(parallel, len(endpoints))), "position")
-    return written(spread.mapInPandas(call, "position int, body string"), "api-bodies")
+    # Loads that run side by side have endpoints of their own.
+    name = api_format(spark, endpoints, fetch, f"stratalake_api_{uuid.uuid4().hex}")
+    return written(spark.read.format(name).load().coalesce(parallel), "api-bodies")
 
 
 def route(bodies: DataFrame) -> DataFrame:

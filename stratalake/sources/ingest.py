@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -20,7 +21,7 @@ from stratalake.sinks.landing import (
     write_snapshot,
 )
 from stratalake.sources.api import Fetch, fetch_bodies, http_fetch, route, tabular_rows
-from stratalake.sources.jdbc import MAX_READS, ROWS_PER_READ, connection, read_table
+from stratalake.sources.jdbc import MAX_READS, ROW, ROWS_PER_READ, connection, read_table
 
 TABLE_KEYS = ("schema", "table")
 MYSQL_TABLE_KEYS = ("mysql_schema", "mysql_table")
@@ -63,16 +64,20 @@ def ingest_tables(
 
     ``read(spark, conn_id, schema, table, primary_key)`` replaces the database
     read, e.g. by files of an export. An entry's ``split_by`` names an integer column
-    that splits what the key cannot.
+    that splits what the key cannot; without one that is split by the identity of rows, or
+    not at all if it is empty, as views need it. ``as_of`` (ISO time) and ``changed_at`` (a
+    column) let all reads of a table see one state.
     """
-    splits = {table_entry(e, dialect)[:2]: e.get("split_by") for e in entries}
+    options = {table_entry(e, dialect)[:2]: e for e in entries}
 
     def from_database(spark, conn_id, schema, table, key):
         source = connection(spark, dialect, conn_id)
-        split_by = splits[schema, table]
+        entry = options[schema, table]
+        at = dt.datetime.fromisoformat(entry["as_of"]) if entry.get("as_of") else None
         return read_table(
-            spark, source, schema, table, key, rows_per_read, max_reads, split_by
-        )
+            spark, source, schema, table, key, rows_per_read, max_reads,
+            entry.get("split_by", ROW) or None, at, entry.get("changed_at"),
+        )
 
     source = read or from_database
     names = [table_entry(entry, dialect)[:2] for entry in entries]

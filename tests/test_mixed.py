@@ -1,0 +1,75 @@
+"""Bodies of all shapes as typed items."""
+
+from __future__ import annotations
+
+import decimal
+
+import pytest
+
+from stratalake.sources.mixed import fields_of, items_of, mixed_rows
+
+
+def bodies(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "position int, body string")
+
+
+def collected(rows):
+    def plain(r):
+        fields = r.fields.asDict(recursive=True) if r.fields is not None else None
+        return (r.position, r.row, r.kind, r.value, fields)
+
+    return sorted(map(plain, rows.collect()), key=lambda r: r[:2])
+
+
+def test_every_shape(spark):
+    rows = mixed_rows(
+        bodies(spark, '[{"a": 1}, {"a": 2}]', ' {"a": 3}', "[]", '[7, "x", null, true, [1, 2], {"a": 4}]', None, "null", '"text"', "1.5"),
+        ["position"],
+    )
+    assert collected(rows) == [
+        (0, 0, "OBJECT", None, {"a": 1}),
+        (0, 1, "OBJECT", None, {"a": 2}),
+        (1, 0, "OBJECT", None, {"a": 3}),
+        (3, 0, "BIGINT", "7", None),
+        (3, 1, "STRING", "x", None),
+        (3, 2, "VOID", None, None),
+        (3, 3, "BOOLEAN", "true", None),
+        (3, 4, "ARRAY", "[1,2]", None),
+        (3, 5, "OBJECT", None, {"a": 4}),
+        (5, 0, "VOID", None, None),
+        (6, 0, "STRING", "text", None),
+        (7, 0, "DECIMAL", "1.5", None),
+    ]
+
+
+def test_fields_that_change_type_are_kept_as_text(spark):
+    texts = ['{"a": 1, "b": 1, "d": 1}', '[{"a": "x", "b": 2.5, "c": {"n": 1}}, {"a": {"z": [1]}, "d": null, "e": [1]}]']
+    found = collected(mixed_rows(bodies(spark, *texts), ["position"]))
+    assert [f for *_, f in found] == [
+        {"a": "1", "b": decimal.Decimal("1.0"), "c": None, "d": 1, "e": None},
+        {"a": "x", "b": decimal.Decimal("2.5"), "c": {"n": 1}, "d": None, "e": None},
+        {"a": '{"z":[1]}', "b": None, "c": None, "d": None, "e": [1]},
+    ]
+
+
+def test_odd_names_of_fields(spark):
+    text = '{"a b": 1, "x.y": 2, "it\'s": 3, "[0]": 4, "$": 5, "": 6, "row": 7, "position": 8, "é": 9}'
+    ((*_, fields),) = collected(mixed_rows(bodies(spark, text), ["position"]))
+    assert fields == {"a b": 1, "x.y": 2, "it's": 3, "[0]": 4, "$": 5, "": 6, "row": 7, "position": 8, "é": 9}
+
+
+def test_no_objects(spark):
+    assert collected(mixed_rows(bodies(spark, "[]", "[1]"), ["position"])) == [(1, 0, "BIGINT", "1", None)]
+    assert collected(mixed_rows(bodies(spark, None), ["position"])) == []
+    assert len(fields_of(items_of(bodies(spark, "[1]"), ["position"]))) == 0
+
+
+def test_a_body_that_is_not_json_fails_the_load(spark):
+    with pytest.raises(Exception, match="MALFORMED"):
+        mixed_rows(bodies(spark, "<html>"), ["position"])
+
+
+def test_bodies_are_parsed_once(spark):
+    rows = mixed_rows(bodies(spark, '{"a": 1}'), ["position"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "body" not in plan  # only the written items

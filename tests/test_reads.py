@@ -1,0 +1,169 @@
+"""Database reads whose sizes do not depend on the keys."""
+
+from __future__ import annotations
+
+import dataclasses
+import datetime as dt
+import re
+
+import duckdb
+import pytest
+from test_ingest import SOURCE, Reader
+
+from stratalake.sources import jdbc
+from stratalake.sources.ingest import ingest_tables
+
+# The SQL of one dialect with the row identity and the sample clause of the test database.
+DUCK = dataclasses.replace(
+    jdbc.DIALECTS["postgres"],
+    row_hash="CAST(hash(rowid) % 1000000007 AS bigint)",
+    sample=(" TABLESAMPLE BERNOULLI ({percent} PERCENT)", ""),
+)
+COLUMNS = dataclasses.replace(DUCK, row_hash="CAST(hash(concat_ws('|', {columns})) % 1000000007 AS bigint)")
+
+
+@pytest.fixture(scope="module")
+def con():
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA erp")
+    con.execute(
+        """CREATE TABLE erp.t AS SELECT CASE WHEN i % 2 = 0 THEN 4200 WHEN i % 50 = 1 THEN NULL
+        ELSE i END AS id, i AS n FROM range(200000) r(i)"""
+    )
+    yield con
+    con.close()
+
+
+@pytest.fixture
+def reader(spark, con):
+    return Reader(spark, con)
+
+
+class Counted(Reader):
+    """Counts the rows of each read instead of fetching them."""
+
+    def jdbc(self, url, table, predicates=("1 = 1",), properties=None):
+        if not table.startswith("("):
+            self.reads.append((table, list(predicates)))
+            self.sizes = [
+                self.con.sql(f"SELECT count(*) FROM {table} WHERE {p}").fetchall()[0][0] for p in predicates
+            ]
+            return self.spark.range(1).selectExpr("id", "id AS n")
+        if not self.con.sql(f"SELECT * FROM {table}").fetchall():
+            return self.spark.createDataFrame([], "start_key bigint, start_row bigint")
+        return super().jdbc(url, table, predicates, properties)
+
+
+@pytest.mark.parametrize("dialect", [DUCK, COLUMNS], ids=["row", "columns"])
+@pytest.mark.parametrize("key", ["id", None])
+def test_reads_of_a_hot_key_are_alike(spark, con, dialect, key):
+    """Half of the rows have one key, some have none; no column is named to split them."""
+    source = jdbc.Connection(dialect, **SOURCE)
+    counted = Counted(spark, con)
+    jdbc.read_table(counted, source, "erp", "t", key, rows_per_read=10_000, split_by=jdbc.ROW)
+    predicates = counted.reads[-1][1]
+    sizes = [s for s, p in zip(counted.sizes, predicates) if s]
+    assert sum(sizes) == 200_000  # each row in one read; test_rows_come_once counts them
+    between = [s for s, p in zip(counted.sizes, predicates) if '> 4200' not in p and '< 4200' not in p and s]
+    assert len(between) >= 18 and max(between) < 2 * sorted(between)[1]
+    assert max(sizes) < 2 * 10_000
+
+
+def test_rows_come_once(reader):
+    source = jdbc.Connection(DUCK, **SOURCE)
+    rows = jdbc.read_table(reader, source, "erp", "t", "id", 20_000, split_by=jdbc.ROW)
+    numbers = sorted(r.n for r in rows.select("n").collect())
+    assert numbers == list(range(200_000))
+
+
+def test_only_a_sample_is_sorted(reader):
+    source = jdbc.Connection(DUCK, **SOURCE)
+    jdbc.read_table(reader, source, "erp", "t", "id", 20_000, split_by=jdbc.ROW)
+    starts = next(t for t, _ in reader.reads if "ROW_NUMBER" in t)
+    assert "TABLESAMPLE BERNOULLI (2.000000 PERCENT) WHERE" in starts
+
+
+def test_a_sample_without_rows_is_one_range(spark, con):
+    none = dataclasses.replace(DUCK, sample=("", " AND 1 = 0"))
+    counted = Counted(spark, con)
+    source = jdbc.Connection(none, **SOURCE)
+    jdbc.read_table(counted, source, "erp", "t", "id", 10_000, split_by=jdbc.ROW)
+    assert sum(counted.sizes) == 200_000 and max(counted.sizes) < 20_000
+
+
+@pytest.mark.parametrize("dialect", sorted(jdbc.DIALECTS))
+def test_clauses_of_the_dialects(dialect):
+    d = jdbc.DIALECTS[dialect]
+    part = d.part_of_rows(["a", "b`c"], 3, 1)
+    assert part.startswith("COALESCE(") and part.endswith("= 1") and "{" not in part
+    assert ("`a`, `b``c`" in part) == (dialect == "mysql")
+    starts = jdbc.range_starts_sql(d, "s", "t", "id", 400, 2.5)
+    assert "2.500000" in starts and "{" not in starts
+    assert "2.5" not in jdbc.range_starts_sql(d, "s", "t", "id", 400)
+
+
+AT = dt.datetime(2024, 2, 29, 1, 2, 3)
+
+
+@pytest.mark.parametrize(
+    ("dialect", "table"),
+    [
+        ("oracle", """"s"."t" AS OF TIMESTAMP TIMESTAMP '2024-02-29 01:02:03'"""),
+        ("sqlserver", "[s].[t] FOR SYSTEM_TIME AS OF CAST('2024-02-29T01:02:03' AS datetime2)"),
+        ("sap_hana", """"s"."t" FOR SYSTEM_TIME AS OF TIMESTAMP '2024-02-29 01:02:03'"""),
+    ],
+)
+def test_one_state_by_the_database(dialect, table):
+    d = jdbc.DIALECTS[dialect]
+    assert jdbc.snapshot_of(d, d.table("s", "t"), AT, None) == (table, None)
+    assert jdbc.snapshot_of(d, d.table("s", "t"), None, None) == (d.table("s", "t"), None)
+
+
+@pytest.mark.parametrize("dialect", ["mysql", "postgres"])
+def test_one_state_needs_a_column_elsewhere(dialect):
+    with pytest.raises(ValueError, match="changed_at"):
+        jdbc.snapshot_of(jdbc.DIALECTS[dialect], "t", AT, None)
+
+
+@pytest.mark.parametrize("key, rows_per_read", [("id", 300), ("id", 5000), (None, 300), (None, 5000)])
+def test_one_state_by_a_column(spark, key, rows_per_read):
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA erp")
+    con.execute(
+        """CREATE TABLE erp.t AS SELECT i AS id, CASE WHEN i % 10 = 0 THEN NULL
+        ELSE TIMESTAMP '2024-01-01' + to_hours(i) END AS changed FROM range(3000) r(i)"""
+    )
+    counted = Counted(spark, con)
+    source = jdbc.Connection(DUCK, **SOURCE)
+    jdbc.read_table(
+        counted, source, "erp", "t", key, rows_per_read, split_by=jdbc.ROW, at=AT, changed_at="changed"
+    )
+    expected = con.sql(
+        "SELECT count(*) FROM erp.t WHERE changed <= TIMESTAMP '2024-02-29 01:02:03' OR changed IS NULL"
+    ).fetchall()[0][0]
+    assert sum(counted.sizes) == expected < 3000
+    con.close()
+
+
+def test_entries_name_the_split_and_the_state(spark, tmp_path, monkeypatch):
+    from stratalake.sources import ingest
+
+    calls = []
+
+    def read(session, source, schema, table, key, rows, reads, split_by, at, changed_at):
+        calls.append((table, split_by, at, changed_at))
+        return session.range(1)
+
+    monkeypatch.setattr(ingest, "read_table", read)
+    spark.conf.set("stratalake.connection.main.host", "db")
+    entries = [
+        {"schema": "s", "table": "a"},
+        {"schema": "s", "table": "b", "split_by": ""},
+        {"schema": "s", "table": "c", "split_by": "n", "as_of": "2024-02-29T01:02:03", "changed_at": "u"},
+    ]
+    try:
+        ingest_tables(spark, "postgres", entries, str(tmp_path), "main")
+    finally:
+        spark.conf.unset("stratalake.connection.main.host")
+    assert sorted(calls) == [("a", "*", None, None), ("b", None, None, None), ("c", "n", AT, "u")]
+    assert re.fullmatch(r"\*", jdbc.ROW)
