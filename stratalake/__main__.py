@@ -58,7 +58,9 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--lake", required=True, help="root folder of the layer tables")
             job.add_argument("--format", default="parquet", help="parquet, iceberg or delta")
             job.add_argument("--buckets", type=int, help="bucket bronze tables by their key")
+            job.add_argument("--folders", type=int, help="bronze tables in folders by their key")
             job.add_argument("--full-refresh", action="store_true")
+            job.add_argument("--check-first", action="store_true", help="publish only clean tables")
             job.add_argument("--as-of", type=dt.date.fromisoformat)
             job.add_argument("--dim-date-start", default=contracts.DIM_DATE_START)
             job.add_argument("--dim-date-end", default=contracts.DIM_DATE_END)
@@ -146,11 +148,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         pipeline.run(
             spark,
             _Landed(spark, args.landing, args.schema),
-            Lake(args.lake, args.format, args.buckets),
+            Lake(args.lake, args.format, args.buckets, args.folders),
             params,
             args.layers,
             args.domains,
             args.full_refresh,
+            args.check_first,
         ).show(truncate=False)
     elif args.job == "promote":
         landed = scan(spark, table_path(args.landing, args.schema, args.table))

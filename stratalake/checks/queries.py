@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,13 +14,17 @@ from stratalake.functions.calendar import date_attributes
 from stratalake.operators import quality
 from stratalake.operators.dedup import latest_per_key
 from stratalake.operators.incremental import newer_than, upsert, watermark
+from stratalake.operators.joins import hot_keys, left_join_spread
 from stratalake.operators.numbering import add_surrogate_key
 from stratalake.operators.spine import date_bounds, date_spine
 from stratalake.params import BuildParams
 from stratalake.plans import bronze, gold, pipeline, silver
 from stratalake.scratch import scratch_path, written
-from stratalake.sinks import landing as sink
+from stratalake.sinks import files, landing as sink
+from stratalake.sinks.folders import layer_rows
+from stratalake.sinks.tables import Lake, merge_table, replace_table
 from stratalake.sources import landing as source
+from stratalake.sources.mixed import mixed_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,6 +186,29 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upsert(target, written(source_rows, "merge-source"), "user_id")
 
 
+def merge_into_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge into a table in folders, after a first merge of a few keys."""
+    events = fx.table(spark, d, "events")
+    before = fx.before_split("ts")
+    lake = Lake(scratch_path(spark, "lake"), folders=16)
+    table = f"default.merge_{uuid.uuid4().hex}"
+    stored = written(latest_per_key(events.filter(before), "user_id", "ts"), "merge-target")
+    replace_table(stored.filter("user_id % 3 <> 0"), lake, table, "user_id")
+    merge_table(stored.filter("user_id % 3 = 0"), lake, table, "user_id")
+    merge_table(latest_per_key(events.filter(~before), "user_id", "ts"), lake, table, "user_id")
+    merged = written(layer_rows(spark, table), "merged")
+    spark.sql(f"DROP TABLE {table}")  # the entry only; the files have a given path
+    return merged
+
+
+def join_hot_licenses(spark: SparkSession, d: str) -> DataFrame:
+    """Plants of which half have one license, with the dates of their licenses."""
+    license = F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("license_id"))
+    plants = written(fx.plants(spark, d).select("id", license.alias("license_id")), "hot-plants")
+    theirs = fx.licenses(spark, d).select(F.col("id").alias("license_id"), "expires_at", "investor_id")
+    return left_join_spread(plants, theirs, "license_id", "id", hot_keys(plants, "license_id"))
+
+
 def map_state_label(spark: SparkSession, d: str) -> DataFrame:
     return fx.plants_feed(spark, d).select(
         "id", "updated_at", "state", labels.state_label(F.col("state")).alias("plant_status_ar")
@@ -282,6 +310,15 @@ def json_tabular_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def json_mixed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All items of bodies of all shapes, with a field that is a number here and a text there."""
+    body = F.regexp_replace("body", r'"k": (\d+)', '"k": "n$1"')
+    bodies = _bodies(spark, d).withColumn(
+        "body", F.when(F.col("event_id") % 5 == 0, body).otherwise(F.col("body"))
+    )
+    return mixed_rows(bodies, ["event_id"]).select("event_id", "row", "kind", "value", "fields.k")
+
+
 # landing
 
 
@@ -309,6 +346,34 @@ def documents_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return source.read_documents(spark, path, RECORD_SEPARATOR)
 
 
+def record_arrays_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders through files that are whole JSON arrays, several of them from some size on."""
+    path = scratch_path(spark, "arrays")
+    rows = fx.table(spark, d, "orders")
+    files.write_record_arrays(rows.repartition(4, "o_orderkey"), path, one_file_rows=10_000)
+    return files.read_record_arrays(spark, path, rows.schema)
+
+
+def files_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Event documents in named files of a thousand each, written and read back."""
+    path = scratch_path(spark, "files")
+    events = fx.table(spark, d, "events").select("event_id", "props")
+    line = F.concat_ws("\t", "event_id", "props")
+    whole = events.groupBy(F.expr("event_id div 1000").alias("part")).agg(
+        F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text")
+    )
+    name = F.concat(F.lit("day/events-"), "part", F.lit(".tsv"))
+    files.write_files(whole.select(name.alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    lines = files.read_files(spark, path).select(
+        "name", F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("line")
+    )
+    return lines.select(
+        "name",
+        F.substring_index("line", "\t", 1).cast("bigint").alias("event_id"),
+        F.substring_index("line", "\t", -1).alias("props"),
+    )
+
+
 def promote_integers(spark: SparkSession, d: str) -> DataFrame:
     return casts.promote_integers(fx.table(spark, d, "customer"))
 
@@ -383,11 +448,12 @@ QUERIES: dict[str, Query] = {
         dm_plant, dim_plant_profile, stg_plants, stg_plants_meta, stg_licenses, stg_plants_incremental,
         stg_plants_restart, stg_licenses_promoted, pipeline_end_to_end, dim_date, digits_spine, date_parts_on_orders, fact_by_calendar,
         dedup_latest, surrogate_key, target_watermark, incremental_watermark, incremental_inclusive,
-        merge_upsert,
+        merge_upsert, merge_into_folders, join_hot_licenses,
         map_state_label, map_provider_label, license_cycle, license_status,
         blank_to_null_cast, nullif_cast, cast_columns, typed_null_placeholders,
-        meta_json_extract, json_shape_route, json_tabular_rows, scan_parquet,
-        landing_roundtrip, records_roundtrip, documents_roundtrip, promote_integers, ordered_export, load_row_counts,
+        meta_json_extract, json_shape_route, json_tabular_rows, json_mixed_rows, scan_parquet,
+        landing_roundtrip, records_roundtrip, documents_roundtrip,
+        record_arrays_roundtrip, files_roundtrip, promote_integers, ordered_export, load_row_counts,
         dq_not_null, dq_unique, dq_no_future_dates, dq_no_negative_counts, dq_report,
         dq_suite,
     )

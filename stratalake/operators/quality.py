@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from stratalake.functions.labels import sql_text
 
@@ -111,6 +111,44 @@ def report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFram
     return result
 
 
+def observed_nulls(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, Observation | None]:
+    """``df`` with the rows that its not_null checks count, counted while it is written."""
+    nulls = [c for c in checks if c.test == NOT_NULL]
+    if not nulls:
+        return df, None
+    seen = Observation()
+    counts = [F.count_if(F.col(c.column).isNull()).alias(c.column) for c in nulls]
+    return df.observe(seen, *counts), seen
+
+
+def written_failures(
+    checks: Sequence[Check], seen: Observation | None, stored: DataFrame
+) -> dict[Check, int]:
+    """Failures of a table that has been written: NULLs as observed, and each column that
+    must be unique read from the files by itself."""
+    nulls = [c for c in checks if c.test == NOT_NULL]
+    found = {c: seen.get[c.column] for c in nulls} if seen else {}
+    unique = [c for c in checks if c.test == UNIQUE]
+    if unique:
+        for r in report({c.table: stored for c in unique}, unique).collect():
+            found[Check(r.table_name, r.column_name, UNIQUE)] = r.failures
+    return found
+
+
+def clean_report(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
+    """The report of checks that found nothing."""
+    rows = [(c.table, c.column, c.test, 0) for c in checks]
+    return spark.createDataFrame(
+        rows, "table_name string, column_name string, test_name string, failures bigint"
+    )
+
+
+def require_none(failures: Mapping[Check, int]) -> None:
+    bad = [f"{c.test}({c.table}.{c.column}): {n}" for c, n in failures.items() if n]
+    if bad:
+        raise QualityError("; ".join(bad))
+
+
 def require_clean(result: DataFrame) -> None:
     """Raise if the report has failures. The report has one row per check."""
     bad = result.filter("failures > 0").collect()

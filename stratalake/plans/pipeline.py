@@ -6,10 +6,20 @@ from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalake.operators.quality import NOT_NULL, UNIQUE, Check, report, require_clean
+from stratalake.operators.joins import hot_keys
+from stratalake.operators.quality import (
+    NOT_NULL,
+    UNIQUE,
+    Check,
+    clean_report,
+    report,
+    require_clean,
+)
 from stratalake.parallel import run_all
 from stratalake.params import BuildParams
 from stratalake.plans import bronze, gold, silver
+from stratalake.scratch import written
+from stratalake.sinks.folders import layer_rows
 from stratalake.sinks.tables import Lake, merge_table, replace_table
 
 # Model -> (layer, business domains), in build order.
@@ -65,22 +75,30 @@ def build(
     layers: Collection[str] | None = None,
     domains: Collection[str] | None = None,
     full_refresh: bool = False,
+    check_first: bool = False,
 ) -> list[str]:
     """Build the selected models from landed ``plants`` and ``licenses`` and the
-    stored tables of models that are not selected. Returns the built names."""
+    stored tables of models that are not selected. Returns the built names.
+
+    With ``check_first`` the checks of a Parquet table are part of its write: a table that
+    fails is not published, and no model of a later layer is built from it.
+    """
+
+    def checks_of(model: str) -> list[Check]:
+        return [c for c in CHECKS if c.table == model] if check_first else []
 
     def stored(model: str) -> DataFrame:
-        return spark.table(table_name(model))
+        return layer_rows(spark, table_name(model))
 
     def merge(model: str, source: str, key: str) -> None:
         name = table_name(model)
         first_run = full_refresh or not spark.catalog.tableExists(name)
         stage = getattr(bronze, model)
         if first_run:
-            replace_table(stage(landed[source], params), lake, name, key)
+            replace_table(stage(landed[source], params), lake, name, key, checks_of(model))
         else:
-            rows = stage(landed[source], params, target=spark.table(name))
-            merge_table(rows, lake, name, key)
+            rows = stage(landed[source], params, target=layer_rows(spark, name))
+            merge_table(rows, lake, name, key, checks_of(model))
 
     def make(model: str) -> None:
         name = table_name(model)
@@ -94,13 +112,16 @@ def build(
                 # A repeated license would multiply plants in the join.
                 unique = Check("stg_licenses", "LICENSE_ID", UNIQUE)
                 require_clean(report({"stg_licenses": licenses}, [unique]))
-                profile = silver.dim_plant_profile(stored("stg_plants"), licenses)
-                replace_table(profile, lake, name)
+                plants = stored("stg_plants")
+                hot = hot_keys(plants, "LICENSE_ID")
+                profile = silver.dim_plant_profile(plants, licenses, hot)
+                replace_table(profile, lake, name, checks=checks_of(model))
             case "dw_dim_date":
                 bounds = silver.configured_bounds(spark, params)
-                replace_table(silver.dim_date(bounds), lake, name)
+                replace_table(silver.dim_date(bounds), lake, name, checks=checks_of(model))
             case "dm_plant":
-                replace_table(gold.dm_plant(stored("dw_dim_plant_profile")), lake, name)
+                mart = gold.dm_plant(stored("dw_dim_plant_profile"))
+                replace_table(mart, lake, name, checks=checks_of(model))
 
     names = selected(layers, domains)
     # Models of one layer do not read each other.
@@ -113,13 +134,22 @@ def check(
     spark: SparkSession,
     landed: Mapping[str, DataFrame],
     models: Collection[str] | None = None,
+    built: bool = True,
 ) -> DataFrame:
-    """Report of the suite over the stored models and the landed tables of their domains."""
+    """Report of the suite over the stored models, unless ``built`` is false, and the landed
+    tables of their domains."""
     names = list(MODELS) if models is None else list(models)
-    domains = {d for m in names for d in MODELS[m][1]}
-    tables = {name: landed[name] for name in landed if name in domains}
-    tables |= {m: spark.table(table_name(m)) for m in names}
-    return report(tables, [c for c in CHECKS if c.table in tables])
+    tables = {name: landed[name] for name in _landed_of(landed, names)}
+    if built:
+        tables |= {m: layer_rows(spark, table_name(m)) for m in names}
+    checks = [c for c in CHECKS if c.table in tables]
+    return report(tables, checks) if checks else clean_report(spark, [])
+
+
+def _landed_of(landed: Mapping[str, DataFrame], models: Collection[str]) -> list[str]:
+    """Landed tables of the models' domains."""
+    domains = {d for m in models for d in MODELS[m][1]}
+    return [name for name in landed if name in domains]
 
 
 def promote(landed: DataFrame, lake: Lake, table: str) -> DataFrame:
@@ -135,9 +165,20 @@ def run(
     layers: Collection[str] | None = None,
     domains: Collection[str] | None = None,
     full_refresh: bool = False,
+    check_first: bool = False,
 ) -> DataFrame:
-    """Build, then check; failing checks raise. Returns the report."""
+    """Build, then check; failing checks raise. Returns the report.
+
+    With ``check_first`` the landed tables are checked before the build and the built ones
+    while they are written, so that nothing faulty is published and no table is read again
+    for its NULLs; the report then has the checks that were made, all of them clean.
+    """
+    if check_first and lake.table_format == "parquet":
+        before = check(spark, landed, selected(layers, domains), built=False)
+        require_clean(before)
+        names = build(spark, landed, lake, params, layers, domains, full_refresh, True)
+        return clean_report(spark, [c for c in CHECKS if c.table in {*names, *_landed_of(landed, names)}])
     names = build(spark, landed, lake, params, layers, domains, full_refresh)
-    result = check(spark, landed, names).cache()
+    result = written(check(spark, landed, names), "report")
     require_clean(result)
     return result

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalake.contracts import (
@@ -15,8 +18,11 @@ from stratalake.operators.spine import date_spine
 from stratalake.params import BuildParams
 
 
-def dim_plant_profile(plants: DataFrame, licenses: DataFrame) -> DataFrame:
-    """One row per plant with the columns of its license; NULL without one.
+def dim_plant_profile(
+    plants: DataFrame, licenses: DataFrame, hot_licenses: Sequence[Any] = ()
+) -> DataFrame:
+    """One row per plant with the columns of its license; NULL without one. The plants of
+    ``hot_licenses`` are spread over all reducers.
 
     ``LICENSE_ID`` must be unique in ``licenses`` (checked by the quality suite),
     else plants multiply.
@@ -26,7 +32,7 @@ def dim_plant_profile(plants: DataFrame, licenses: DataFrame) -> DataFrame:
         PROFILE_LICENSE_COLUMNS
     )
     order = [PROFILE_RENAMED.get(c, c) for c in PROFILE_PLANT_COLUMNS]
-    return left_join_spread(ours, theirs, "LICENSE_ID", spread_by="PLANT_ID").select(
+    return left_join_spread(ours, theirs, "LICENSE_ID", "PLANT_ID", hot_licenses).select(
         *order, *PROFILE_LICENSE_COLUMNS.values(), "LOAD_DATE"
     )
 

@@ -103,7 +103,7 @@ def replace_folder(spark: SparkSession, path: str, write: Callable[[str], T]) ->
     return result
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+def with_count(df: DataFrame) -> tuple[DataFrame, Observation]:
     """The frame with its row count observed while it is written."""
     seen = Observation()
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
@@ -114,7 +114,7 @@ def write_snapshot(df: DataFrame, path: str, promote: bool = False) -> int:
     taken in the same pass. An empty frame still leaves a file with the schema."""
 
     def write(folder: str) -> int:
-        counted, seen = _counted(promote_integers(df) if promote else df)
+        counted, seen = with_count(promote_integers(df) if promote else df)
         counted.write.parquet(folder)
         return seen.get["rows"]
 
@@ -134,7 +134,7 @@ def write_records(df: DataFrame, path: str) -> int:
     NULL fields are kept."""
 
     def write(folder: str) -> int:
-        counted, seen = _counted(df)
+        counted, seen = with_count(df)
         (
             counted.write.option("timestampFormat", ISO_TIMESTAMP + "XXX")
             .option("timestampNTZFormat", ISO_TIMESTAMP)
@@ -152,7 +152,7 @@ def write_documents(bodies: DataFrame, column: str, path: str, separator: str =
     none of them holds; a single document does not."""
 
     def write(folder: str) -> int:
-        counted, seen = _counted(bodies.select(F.col(column).cast("string")))
+        counted, seen = with_count(bodies.select(F.col(column).cast("string")))
         counted.write.option("lineSep", separator).text(folder)
         return seen.get["rows"]
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratalake.params import BuildParams
 from stratalake.scratch import written
+from stratalake.sinks.folders import layer_rows
 from stratalake.sinks.tables import Lake, merge_table
 
 
@@ -37,7 +38,7 @@ def follow_landing(
         if not session.catalog.tableExists(table):
             merge_table(model(batch, params), lake, table, key)
             return
-        stored = session.table(table)
+        stored = layer_rows(session, table)
         rows = written(model(batch, params, target=stored, all_rows=True), f"batch-{table}")
         landed = session.read.schema(schema).parquet(landing_path)
         merge_table(_not_older(rows, stored, landed, model, params, key), lake, table, key)

@@ -1,0 +1,170 @@
+"""Tables in folders by a hash of the key."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratalake.sinks import folders
+from stratalake.sinks.folders import FOLDER, layer_rows, layout, settle, vacuum
+from stratalake.sinks.tables import Lake, merge_table, replace_table
+
+
+@pytest.fixture
+def lake(spark, tmp_path):
+    yield Lake(str(tmp_path / "lake"), folders=16)
+    spark.sql("DROP DATABASE IF EXISTS bronze CASCADE")
+
+
+def rows(spark, lo, hi, v="a"):
+    return spark.range(lo, hi).selectExpr("id", f"'{v}' as v", "uuid() as filler")
+
+
+def values(df):
+    return {r.v: r["count"] for r in df.groupBy("v").count().collect()}
+
+
+def versions(lake, table="bronze.t"):
+    """Bytes of data by version, oldest first."""
+    found = sorted(Path(lake.folder(table)).iterdir(), key=lambda p: p.stat().st_mtime_ns)
+    return [sum(f.stat().st_size for f in v.rglob("*.parquet")) for v in found]
+
+
+def ids_of_folders(spark, numbers, count=16):
+    hashed = F.pmod(F.hash("id"), F.lit(count))
+    return spark.range(20_000).filter(hashed.isin(numbers)).selectExpr("id", "'b' as v", "uuid() as filler")
+
+
+def test_bytes_written_follow_the_touched_folders(spark, lake):
+    merge_table(rows(spark, 0, 20_000), lake, "bronze.t", "id")
+    whole = versions(lake)[0]
+    merge_table(ids_of_folders(spark, [3]).limit(5), lake, "bronze.t", "id")
+    one = versions(lake)[-1]
+    merge_table(ids_of_folders(spark, [3, 5, 7, 9]).limit(400), lake, "bronze.t", "id")
+    some = versions(lake)[-1]
+    merge_table(rows(spark, 0, 20_000, "c"), lake, "bronze.t", "id")
+    assert one < whole / 10 < some < whole / 2
+    assert versions(lake)[-1] > 0.9 * whole
+    assert values(layer_rows(spark, "bronze.t")) == {"c": 20_000}
+
+
+def test_only_touched_folders_are_read(spark, lake, monkeypatch):
+    merge_table(rows(spark, 0, 20_000), lake, "bronze.t", "id")
+    seen = []
+    joined = folders.upsert
+    monkeypatch.setattr(
+        folders, "upsert", lambda target, source, key: seen.append(target) or joined(target, source, key)
+    )
+    merge_table(ids_of_folders(spark, [3, 7]).limit(50), lake, "bronze.t", "id")
+    (target,) = seen
+    plan = target._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[.*{FOLDER}.*IN \(3,7\)", plan)
+    read = {re.search(rf"{FOLDER}=(\d+)", f)[1] for f in target.inputFiles()}
+    assert read == {"3", "7"}
+    merged = joined(target, ids_of_folders(spark, [3, 7]).limit(50).withColumn(FOLDER, F.lit(3)), "id")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # the folders' rows are not shuffled
+    kept = plan[plan.index("BroadcastHashJoin") : plan.index("FileScan parquet spark_catalog.bronze.t")]
+    assert "Exchange hashpartitioning" not in kept
+
+
+def test_merge_updates_adds_and_keeps(spark, lake):
+    merge_table(rows(spark, 0, 1000), lake, "bronze.t", "id")
+    for step in range(3):
+        merge_table(rows(spark, 900 + step, 1100 + step, f"b{step}"), lake, "bronze.t", "id")
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 900, "b0": 1, "b1": 1, "b2": 200}
+    assert layer_rows(spark, "bronze.t").columns == ["id", "v", "filler"]
+    one_file = [f for f in spark.table("bronze.t").inputFiles() if f"{FOLDER}=3/" in f]
+    assert len(one_file) <= 2  # files do not pile up
+
+
+def test_rows_without_key_and_new_folders(spark, lake):
+    frame = lambda *r: spark.createDataFrame(r, "id bigint, v string")
+    merge_table(frame((1, "a")), lake, "bronze.t", "id")
+    merge_table(frame((None, "n"), (2, "b"), (1, "A")), lake, "bronze.t", "id")
+    merge_table(frame((None, "m"),), lake, "bronze.t", "id")  # no key matches a NULL
+    merge_table(frame().limit(0), lake, "bronze.t", "id")
+    found = sorted((r.id is None, r.id or 0, r.v) for r in layer_rows(spark, "bronze.t").collect())
+    assert found == [(False, 1, "A"), (False, 2, "b"), (True, 0, "m"), (True, 0, "n")]
+
+
+def test_a_key_of_another_type_finds_its_folder(spark, lake):
+    merge_table(spark.range(100).selectExpr("id", "'a' as v"), lake, "bronze.t", "id")
+    merge_table(spark.range(50).selectExpr("cast(id as int) as id", "'b' as v"), lake, "bronze.t", "id")
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 50, "b": 50}
+
+
+def test_a_commit_that_was_cut_off_is_finished(spark, lake, monkeypatch):
+    merge_table(rows(spark, 0, 1000), lake, "bronze.t", "id")
+    real = spark.sql
+    done = []
+
+    def stops(text, *more, **named):
+        if "SET LOCATION" in text:
+            if len(done) == 2:
+                raise RuntimeError("the driver is lost")
+            done.append(text)
+        return real(text, *more, **named)
+
+    monkeypatch.setattr(type(spark), "sql", lambda self, *a, **k: stops(*a, **k))
+    with pytest.raises(RuntimeError):
+        merge_table(rows(spark, 0, 1000, "b"), lake, "bronze.t", "id")
+    monkeypatch.undo()
+    torn = values(spark.table("bronze.t"))
+    assert set(torn) == {"a", "b"}  # some folders are pointed at the new version
+    assert values(layer_rows(spark, "bronze.t")) == {"b": 1000}
+    settle(spark, "bronze.t")
+    assert values(spark.table("bronze.t")) == {"b": 1000}
+
+
+def test_a_failed_merge_leaves_the_table(spark, lake):
+    merge_table(rows(spark, 0, 100), lake, "bronze.t", "id")
+    broken = spark.createDataFrame([("x",)], "s string").selectExpr(
+        "cast(s as bigint) as id", "s as v", "s as filler"
+    )
+    with pytest.raises(Exception):
+        merge_table(broken, lake, "bronze.t", "id")
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 100}
+
+
+def test_readers_in_flight_keep_their_version(spark, lake):
+    merge_table(rows(spark, 0, 100), lake, "bronze.t", "id")
+    reader = spark.table("bronze.t")
+    reader.inputFiles()
+    merge_table(rows(spark, 0, 100, "b"), lake, "bronze.t", "id")
+    assert values(layer_rows(spark, "bronze.t")) == {"b": 100}
+
+
+def test_other_layouts_become_folders_and_back(spark, lake):
+    plain = Lake(lake.root)
+    merge_table(rows(spark, 0, 100), plain, "bronze.t", "id")
+    assert layout(spark, "bronze.t") is None
+    merge_table(rows(spark, 50, 150, "b"), lake, "bronze.t", "id")
+    assert layout(spark, "bronze.t") == "16:id"
+    merge_table(rows(spark, 140, 160, "c"), Lake(lake.root, folders=4), "bronze.t", "id")
+    assert layout(spark, "bronze.t") == "4:id"
+    merge_table(rows(spark, 0, 10, "d"), plain, "bronze.t", "id")
+    assert layout(spark, "bronze.t") is None
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 40, "b": 90, "c": 20, "d": 10}
+    replace_table(rows(spark, 0, 7), lake, "bronze.t", "id")
+    replace_table(rows(spark, 0, 9), lake, "bronze.t", "id")
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 9}
+    assert [t.name for t in spark.catalog.listTables("bronze")] == ["t"]
+
+
+def test_vacuum_keeps_what_the_table_points_at(spark, lake):
+    merge_table(rows(spark, 0, 1000), lake, "bronze.t", "id")
+    merge_table(rows(spark, 0, 5, "b"), lake, "bronze.t", "id")
+    before = sum(versions(lake))
+    assert vacuum(spark, "bronze.t", lake.folder("bronze.t")) == []
+    gone = vacuum(spark, "bronze.t", lake.folder("bronze.t"), keep_hours=0)
+    assert 1 <= len(gone) <= 5 and sum(versions(lake)) < before
+    assert values(layer_rows(spark, "bronze.t")) == {"a": 995, "b": 5}
+
+
+def test_buckets_or_folders():
+    with pytest.raises(ValueError):
+        Lake("x", buckets=2, folders=2)
