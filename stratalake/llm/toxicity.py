@@ -1,25 +1,30 @@
-"""Toxicity: class-conditional Kneser-Ney models compared per stretch of text.
+"""Toxicity: class-conditional Kneser-Ney models compared word by word.
 
 Words and word pairs of all labelled training texts are counted per class (toxic and
 ordinary). Both models share what lies below the counts: a word's backoff probability is
 its number of distinct left neighbours over both classes, and the mass given to backoff is
 the same for both. So an expression that neither class has seen says nothing, and a rare
-one says little. With counts n, discounts D and backoff mass b,
+one says little. With counts n, a discount D and backoff masses b,
 
-    P_c(w)     = (1 - b1) max(n_c(w) - D1, 0) / Z_c + b1 N(.w) / N(..)
-    P_c(w | u) = (1 - b2) max(n_c(u w) - D2, 0) / n_c(u) + b2 P_c(w)
+    P_c(w)     = (1 - b1) max(n_c(w) - D, 0) / Z_c + b1 N(.w) / N(..)
+    P_c(w | u) = (1 - b2) max(n_c(u w) - D, 0) / n_c(u) + b2 P_c(w)
 
-n counts the texts that have an expression, not its repetitions within one. It is kept
-if a likelihood-ratio test finds it uneven between the classes (G2 of at least ``MIN_G2``)
-and its log ratio is at least ``MIN_RATIO``; for all others the ratio is taken as one. The kept ones grow
-with the corpus and are broadcast in parts of at most ``PART_ROWS`` rows; each part reads
-the texts once and adds to the word scores of the parts before.
+n counts the texts that have an expression, not its repetitions within one. No expression is
+left out: one that both classes have D times at most has the ratio of its backoff, which is 1
+for a word and the word's own for a pair, so the table of ratios needs only the others. Words
+are known by 48 bits of their XXH64; among ten million fewer than one pair is equal.
 
-A text's evidence is the mean log-likelihood ratio per word, over the whole text and over
-its most toxic stretch of ``STRETCH`` words, so a short insult in a long text still counts.
-A logistic curve over both turns them into a score. It is fitted on ``FIT_ROWS`` labelled
-training rows of fold ``FIT_FOLD`` at most, whose evidence comes from counts without them;
-the counts behind the scores themselves are those of all labelled training rows.
+A text's evidence is the log-likelihood ratio of its words, each given the word before:
+the mean over the text, the highest mean of ``STRETCHES`` words, the highest word and the mean
+of the three highest, and the length's order of magnitude; a word that comes again within the longest stretch is
+no new evidence. A logistic curve turns this into a score. The curve and the discount, one of
+``DISCOUNTS``, are fitted on about ``FIT_ROWS`` labelled training rows of fold ``FIT_FOLD``
+at most, whose evidence comes from counts without them; the counts behind the scores are those
+of all labelled training rows. Both come from one shuffle, whose rows say how many texts of
+the fit they count.
+
+The table of ratios grows with the corpus. It is broadcast as sorted arrays of at most
+``PART_ROWS`` rows; a task holds one of them at a time and passes each of its batches by all.
 
 Defined results: null, empty and wordless texts have no evidence and get the score of none;
 contradicting labels go by majority, ties to toxic; without labels of both classes every
@@ -30,12 +35,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.llm.common import fold, free_name, one_label
@@ -45,310 +52,405 @@ WORD = re.compile(r"\w+")
 FOLDS = 5
 FIT_FOLD = 1
 FIT_ROWS = 20_000
-STRETCH = 24
-MIN_G2 = 20.0
-MIN_RATIO = 1.0
-PART_ROWS = 250_000
+DISCOUNTS = (2.0, 3.0, 4.0)
+STRETCHES = (24, 6)
+TOP = 3
+FEATURES = 4 + len(STRETCHES)
+RIDGE = 1.0
+PART_ROWS = 4_000_000
 LABEL_ROWS = 8_000_000  # labels are broadcast up to here, else joined by shuffle
-PAIRS = 500_000  # word pairs a counting task holds before it hands them on
-SALTS = 16
-HASH = (1 << 48) - 1  # of left neighbours; among 10 million words fewer than one pair is equal
-EVIDENCE = "struct<at:array<int>,ratio:array<float>,words:int>"
-_EVIDENCE = pa.struct(
-    [("at", pa.list_(pa.int32())), ("ratio", pa.list_(pa.float32())), ("words", pa.int32())]
-)
+CHUNK_TEXTS = 8_000  # texts and words that a counting task holds before it hands counts on
+CHUNK_WORDS = 1_000_000
+SALTS = 64
+MEMO = 500_000  # hashes of words that a task keeps
+HASH = (1 << 48) - 1
+ALONE = -1  # the left neighbour of a word on its own
+CLASSES = ("t", "o")  # toxic, ordinary
+COUNTS = ("t", "o", "ft", "fo")  # texts of the classes, and those of them that are in the fit
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold) of the training rows; fold 0 is never among them."""
-    marks = written(one_label(labels.where(fold("doc_id", FOLDS) != 0), "toxic"), "labels")
-    if marks.count() <= LABEL_ROWS:
-        marks = F.broadcast(marks)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(marks, "doc_id").select("text", "toxic", fold("doc_id", FOLDS).alias("fold"))
-
-
 def short_hash(word: str) -> int:
-    """48 bits of XXH64; equal to ``_short_hash`` of the same word."""
+    """48 bits of XXH64."""
     return xxhash.xxh64_intdigest(word, seed=42) & HASH
 
 
-def _short_hash(word: str) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(HASH))
+EMPTY = short_hash("")  # the left neighbour of a text's first word
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(w, u, n): in how many texts of (text, toxic) a pair u w occurs; toxic ones count
-    above zero, ordinary ones below.
+def pair_key(u, w):
+    """One number for a pair of words; numbers below 2**48 are words on their own."""
+    return (u << 16) ^ w
 
-    Counted per text, since a word that one text repeats is no evidence about others. The
-    first word of a text has the left neighbour ""; u is null for the word on its own. So
-    that the shuffle stays small, the left neighbour is sent as ``short_hash`` of it, and a
-    task hands its counts on in the order of the words, which compress well that way.
-    """
 
-    def emit(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-        for sign, own in counts.items():
-            hashes = {u: None if u is None else short_hash(u) for u in {k[0] for k in own}}
-            table = pa.table(
-                {
-                    "w": pa.array([k[1] for k in own], pa.string()),
-                    "u": pa.array([hashes[k[0]] for k in own], pa.int64()),
-                    "n": pa.array([sign * n for n in own.values()], pa.int64()),
-                }
-            )
-            own.clear()
-            yield from table.sort_by([("w", "ascending"), ("u", "ascending")]).to_batches(10_000)
+def pair_key_column(u: str, w: str) -> Column:
+    return F.shiftleft(u, 16).bitwiseXOR(F.col(w))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {1: Counter(), -1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(text.as_py())
-                own = counts[1 if toxic else -1]
-                own.update(set(zip(["", *words], words)))
-                own.update((None, w) for w in set(words))
-                if len(own) > PAIRS:
-                    yield from emit(counts)
-        yield from emit(counts)
-
-    return rows.select("text", "toxic").mapInArrow(count, "w string, u bigint, n bigint")
-
-
-def _g2(t, o, all_t, all_o):
-    """Likelihood-ratio statistic of counts t and o against the classes' sizes."""
-    both = (t + o).cast("double")
-    term = lambda n, share: F.when(n > 0, n * F.log(n / (both * share))).otherwise(0.0)
-    whole = float(all_t + all_o)
-    return 2 * (term(t, all_t / whole) + term(o, all_o / whole))
-
-
-def expressions(rows: DataFrame) -> DataFrame | None:
-    """(u, w, ratio): kept words (u null) and pairs with their log-likelihood ratio."""
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return None
-    # One shuffle for pairs and words: by word, hot words split by their left neighbour.
-    salt = F.coalesce(F.pmod("u", F.lit(SALTS)), F.lit(0)).cast("byte")
-    dealt = pair_counts(rows).withColumn("salt", salt)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (
-        dealt.repartition(tasks, "w", "salt")
-        .groupBy("w", "salt", "u")
-        .agg(
-            F.sum(F.greatest("n", F.lit(0))).alias("t"), F.sum(-F.least("n", F.lit(0))).alias("o")
-        )
-    )
-    pair, n = F.col("u").isNotNull(), F.col("t") + F.col("o")
-    uneven = pair & (_g2(F.col("t"), F.col("o"), sizes[1], sizes[0]) >= MIN_G2)
-    table = written(
-        pairs.groupBy("w", F.when(uneven, F.col("u")).alias("u")).agg(
-            F.count_if(pair).alias("types"),
-            F.sum(F.when(~pair | uneven, F.col("t")).otherwise(0)).alias("t"),
-            F.sum(F.when(~pair | uneven, F.col("o")).otherwise(0)).alias("o"),
-            F.count_if(pair & (n == 1)).alias("once"),
-            F.count_if(pair & (n == 2)).alias("twice"),
-        ),
-        "expressions",
-    )
-    alone = F.col("u").isNull()
-    words = written(
-        table.groupBy("w").agg(
-            F.sum("types").alias("types"),
-            F.sum(F.when(alone, F.col("t")).otherwise(0)).alias("t"),
-            F.sum(F.when(alone, F.col("o")).otherwise(0)).alias("o"),
-            F.sum("once").alias("once"),
-            F.sum("twice").alias("twice"),
-        ),
-        "words",
-    )
-    n = F.col("t") + F.col("o")
-    s = words.agg(
-        F.sum("types").alias("types"),
-        F.sum("t").alias("t"),
-        F.sum("o").alias("o"),
-        F.sum("once").alias("once2"),
-        F.sum("twice").alias("twice2"),
-        F.count_if(n == 1).alias("once1"),
-        F.count_if(n == 2).alias("twice1"),
-        F.count_if(F.col("t") > 0).alias("types_t"),
-        F.count_if(F.col("o") > 0).alias("types_o"),
-    ).first()
-    if not s["t"] or not s["o"]:
-        return None
-    d1, d2 = _discount(s["once1"], s["twice1"]), _discount(s["once2"], s["twice2"])
-    b1 = min(0.5, max(d1 * s["types_t"] / s["t"], d1 * s["types_o"] / s["o"]))
-    b2 = min(0.9, d2 * s["types"] / (s["t"] + s["o"]))  # pairs per word of a text
-    z = {"t": s["t"] - d1 * s["types_t"], "o": s["o"] - d1 * s["types_o"]}
-
-    def p1(c):
-        own = F.greatest(F.col(c) - F.lit(d1), F.lit(0.0)) / F.lit(max(z[c], 1e-9))
-        return (1 - b1) * own + b1 * F.col("types") / F.lit(float(s["types"]))
-
-    words = words.select("w", "t", "o", p1("t").alias("pt"), p1("o").alias("po"))
-    single = words.where(_g2(F.col("t"), F.col("o"), s["t"], s["o"]) >= MIN_G2).select(
-        F.lit(None).cast("string").alias("u"), "w", F.log(F.col("pt") / F.col("po")).alias("ratio")
-    )
-    kept = table.where("u IS NOT NULL").select("u", "w", F.col("t").alias("tt"), F.col("o").alias("oo"))
-    left = words.select(
-        F.col("w").alias("left"), _short_hash("w").alias("u"),
-        F.col("t").alias("ut"), F.col("o").alias("uo"),
-    )
-
-    def p2(n, base, p):
-        own = F.greatest(F.col(n) - F.lit(d2), F.lit(0.0)) / F.greatest(F.col(base), F.lit(1))
-        return (1 - b2) * own + b2 * F.col(p)
-
-    double = (
-        kept.join(words.select("w", "pt", "po"), "w")
-        .join(left, "u")  # and without the pairs at the start of a text
-        .select(F.col("left").alias("u"), "w", F.log(p2("tt", "ut", "pt") / p2("oo", "uo", "po")).alias("ratio"))
-    )
-    ratios = single.unionByName(double).where(F.abs("ratio") >= MIN_RATIO)
-    return written(ratios, "ratios")
 
+class Hasher:
+    """Texts as hashes of their words."""
 
-def _discount(once: int, twice: int) -> float:
-    return once / (once + 2 * twice) if once else 0.5
+    def __init__(self) -> None:
+        self.memo: dict[str, int] = {}
 
+    def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, left neighbour) of all texts one after another, and the texts' lengths."""
+        words = [words_of(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = set(chain.from_iterable(words)) - self.memo.keys()
+        self.memo.update((w, short_hash(w)) for w in new)
+        sizes = np.array(list(map(len, words)), np.int64)
+        flat = chain.from_iterable(words)
+        w = np.fromiter(map(self.memo.__getitem__, flat), np.int64, int(sizes.sum()))
+        u = np.empty_like(w)
+        u[1:] = w[:-1]
+        u[(np.cumsum(sizes) - sizes)[sizes > 0]] = EMPTY
+        return w, u, sizes
 
-def _scorer(shared):
-    held: list = []
 
-    @F.arrow_udf(EVIDENCE)
-    def scored(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        if not held:
-            rows = shared.value
-            held.append({w: r for u, w, r in rows if u is None})
-            held.append({(u, w): r for u, w, r in rows if u is not None})
-        single, double = held
-        heads = {u for u, _ in double}
-        for texts, before in parts:
-            old = before.to_pylist() if before.null_count < len(before) else [None] * len(texts)
-            yield pa.array(
-                [_ratios(t.as_py(), b, single, double, heads) for t, b in zip(texts, old)],
-                _EVIDENCE,
-            )
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, fit) of the training rows; fold 0 is never among them. ``fit`` marks the
+    rows of the curve."""
+    marks = written(one_label(labels.where(fold("doc_id", FOLDS) != 0), "toxic"), "labels")
+    in_fold = fold("doc_id", FOLDS) == FIT_FOLD
+    sizes = marks.agg(F.count("*").alias("all"), F.count_if(in_fold).alias("fold")).first()
+    share = min(1.0, FIT_ROWS / max(1, sizes["fold"]))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+    marks = marks.withColumn("fit", in_fold & place)
+    if sizes["all"] <= LABEL_ROWS:
+        marks = F.broadcast(marks)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.join(marks, "doc_id").select("text", "toxic", "fit")
+
+
+def _counted(words: tuple[np.ndarray, ...], toxic: np.ndarray, fit: np.ndarray) -> pa.RecordBatch:
+    """(w, u, n) of some texts: n has the four counts of a pair, or a word alone, 16 bits each."""
+    w, u, sizes = words
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    w, u, text = np.tile(w, 2), np.concatenate([u, np.full_like(u, ALONE)]), np.tile(text, 2)
+    key = pair_key(w, u)
+    order = np.argsort(key, kind="stable")  # texts stay in order within a key
+    w, u, text, key = w[order], u[order], text[order], key[order]
+    new_key = np.diff(key, prepend=~key[:1]) != 0
+    once = new_key | (np.diff(text, prepend=-1) != 0)
+    w, u, text, new_key = w[once], u[once], text[once], new_key[once]
+    one = np.where(toxic, 1, 1 << 16).astype(np.int64)
+    one += np.where(fit, one << 32, 0)
+    first = np.flatnonzero(new_key)
+    n = np.add.reduceat(one[text], first) if len(first) else np.array([], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(u[first]), pa.array(n)], ["w", "u", "n"])
 
-    return scored
 
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(w, u, t, o, ft, fo): in how many texts of each class a pair u w occurs, and in how many
+    of those that are in the fit; partial counts of (text, toxic, fit).
 
-def _ratios(text, before, single, double, heads) -> dict:
-    """Positions and ratios of the words that tell the classes apart.
+    Counted per text, since a word that one text repeats is no evidence about others. The
+    first word of a text has the left neighbour ""; u is ``ALONE`` for the word on its own.
+    """
 
-    An expression that comes again within a stretch is not counted again: a repeated word
-    is no new evidence. A pair's ratio takes the place of its second word's; over several
-    parts both may be found, so a pair is marked by a negative position until the end.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            toxic = np.array(batch["toxic"].to_pylist(), bool)
+            fit = np.array(batch["fit"].to_pylist(), bool)
+            texts, start, held = batch["text"], 0, 0
+            sizes = (pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6).tolist()
+            for end in range(1, len(texts) + 1):  # about six bytes a word
+                held += sizes[end - 1]
+                if end == len(texts) or held > CHUNK_WORDS or end - start >= CHUNK_TEXTS:
+                    words = hasher(texts[start:end].to_pylist())
+                    yield _counted(words, toxic[start:end], fit[start:end])
+                    start, held = end, 0
+
+    packed = rows.select("text", "toxic", "fit").mapInArrow(count, "w bigint, u bigint, n bigint")
+    counts = {
+        c: F.shiftrightunsigned("n", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i, c in enumerate(COUNTS)
+    }
+    return packed.select("w", "u", *[counts[c].alias(c) for c in COUNTS])
+
+
+class Model:
+    """Counts of all training rows, and with them those without the rows of the fit.
+
+    ``pairs`` (w, u, counts) has the pairs that one class has more than ``least`` times,
+    ``words`` (w, counts, types) all words; ``sums`` are over both.
     """
-    words = words_of(text)
-    found: dict[int, float] = {}
-    if before:
-        found = dict(zip(before["at"], before["ratio"]))
-    last: dict = {}
-    if not single.keys().isdisjoint(words):
-        for i, w in enumerate(words):
-            if w in single and i - last.get(w, -STRETCH) >= STRETCH:
-                found[i], last[w] = single[w], i
-    if not heads.isdisjoint(words):
-        for i in range(1, len(words)):
-            if words[i - 1] in heads:
-                pair = (words[i - 1], words[i])
-                if pair in double and i - last.get(pair, -STRETCH) >= STRETCH:
-                    found[-i], last[pair] = double[pair], i
-    return {"at": list(found), "ratio": list(found.values()), "words": len(words)}
-
-
-def summary(at: list[int], ratio: list[float], words: int) -> tuple[float, float]:
-    """Mean ratio per word of the whole text and of its most toxic stretch."""
-    if not words or not at:
-        return 0.0, 0.0
-    by_word = dict(zip(at, ratio))
-    by_word |= {-i: r for i, r in by_word.items() if i < 0}
-    line = np.zeros(words + 1)
-    here = [i for i in by_word if i >= 0]
-    line[np.array(here) + 1] = [by_word[i] for i in here]
-    total = np.cumsum(line)
-    n = min(STRETCH, words)
-    return float(total[-1] / words), float((total[n:] - total[:-n]).max() / n)
-
-
-def _summaries():
-    kind = pa.struct([("mean", pa.float64()), ("peak", pa.float64())])
-
-    @F.arrow_udf("struct<mean:double,peak:double>")
-    def summed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in parts:
-            pairs = [summary(r["at"], r["ratio"], r["words"]) for r in batch.to_pylist()]
-            yield pa.array([{"mean": a, "peak": b} for a, b in pairs], kind)
-
-    return summed
-
-
-def evidence(docs: DataFrame, kept: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a struct (mean, peak) of log-likelihood ratios per word."""
-    spark = docs.sparkSession
-    parts = max(1, math.ceil(kept.count() / PART_ROWS))
-    part_of = F.pmod(F.xxhash64("u", "w"), F.lit(parts))
-    before = free_name(docs, "ratios_before")
-    found = docs.withColumn(name, F.lit(None).cast(EVIDENCE))
+
+    def __init__(self, rows: DataFrame, discounts: Sequence[float] = DISCOUNTS):
+        self.discounts = tuple(discounts)
+        # One shuffle for pairs and words: by word, hot words split by their left neighbour.
+        salt = F.pmod("u", F.lit(SALTS)).cast("byte")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = (
+            pair_counts(rows)
+            .withColumn("salt", salt)
+            .repartition(tasks, "w", "salt")
+            .groupBy("w", "salt", "u")
+            .agg(*[F.sum(c).alias(c) for c in COUNTS])
+        )
+        pair = F.col("u") != ALONE
+        entry = pair & (F.greatest("t", "o") > min(self.discounts))
+        rest = F.col("t") + F.col("o") > F.col("ft") + F.col("fo")
+        table = written(
+            pairs.groupBy("w", F.when(entry, F.col("u")).alias("u")).agg(
+                F.count_if(pair).alias("types"),
+                F.count_if(pair & rest).alias("ftypes"),
+                *[F.sum(F.when(~pair, F.col(c)).otherwise(0)).alias(c) for c in COUNTS],
+                *[F.sum(F.when(pair, F.col(c)).otherwise(0)).alias(f"p{c}") for c in COUNTS],
+            ),
+            "expressions",
+        )
+        counts = [f"p{c}" for c in COUNTS]
+        self.pairs = table.where("u IS NOT NULL").select("w", "u", *counts)
+        self.words = written(
+            table.groupBy("w").agg(
+                *[F.sum(c).alias(c) for c in ("types", "ftypes", *COUNTS, *counts)]
+            ),
+            "words",
+        )
+        self.sums = self.words.agg(
+            *[F.sum(c).alias(c) for c in ("types", "ftypes", *COUNTS, *counts)], *self._above("")
+        ).first().asDict() | self.pairs.agg(*self._above("p")).first().asDict()
+
+    def _above(self, prefix: str) -> list[Column]:
+        """Sums of what is above each discount, for each class, of all and of the rest."""
+        return [
+            F.sum(F.greatest(self._n(f"{prefix}{c}", whole) - d, F.lit(0.0))).alias(f"{prefix}{c}{d}{whole}")
+            for c in CLASSES
+            for d in self.discounts
+            for whole in (True, False)
+        ]
+
+    @staticmethod
+    def _n(name: str, whole: bool) -> Column:
+        """A count of all rows, or of those that are not in the fit."""
+        if whole:
+            return F.col(name)
+        return F.col(name) - F.col(f"{name[:-1]}f{name[-1]}")
+
+    def _total(self, name: str, whole: bool) -> float:
+        s = self.sums
+        return float((s[name] or 0) - (0 if whole else s[f"{name[:-1]}f{name[-1]}"] or 0))
+
+    def has_both(self, whole: bool) -> bool:
+        return all(self._total(c, whole) > 0 for c in CLASSES)
+
+    def masses(self, discount: float, whole: bool) -> tuple[float, float]:
+        """(b1, b2): the larger share that the discount takes from either class."""
+
+        def taken(prefix: str) -> float:
+            shares = [
+                1 - (self.sums[f"{prefix}{c}{discount}{whole}"] or 0.0) / max(self._total(prefix + c, whole), 1.0)
+                for c in CLASSES
+            ]
+            return min(0.95, max(shares))
+
+        return taken(""), taken("p")
+
+    def ratios(self, discounts: Sequence[float], whole: bool) -> DataFrame:
+        """(key, r0, r1, ...): log ratios by each discount of the expressions that have one;
+        of words under their hash, of pairs under ``pair_key``."""
+        types = F.col("types") if whole else F.col("ftypes")
+        all_types = max(1.0, float((self.sums["types" if whole else "ftypes"]) or 0))
+        own = {c: self._n(c, whole) for c in CLASSES}
+        low = min(discounts)
+
+        def above(n: Column, d: float) -> Column:
+            return F.greatest(n - F.lit(d), F.lit(0.0))
+
+        def p1(c: str, d: float) -> Column:
+            b1, _ = self.masses(d, whole)
+            z = max(self.sums[f"{c}{d}{whole}"] or 0.0, 1e-9)
+            return (1 - b1) * above(own[c], d) / z + b1 * types / all_types
+
+        known = self.words.select(
+            "w", *[own[c].alias(c) for c in CLASSES],
+            *[p1(c, d).alias(f"{c}{i}") for c in CLASSES for i, d in enumerate(discounts)],
+        )
+        of_word = [
+            F.when(F.greatest("t", "o") > d, F.log(F.col(f"t{i}") / F.col(f"o{i}"))).otherwise(0.0)
+            for i, d in enumerate(discounts)
+        ]
+        names = [f"r{i}" for i in range(len(discounts))]
+        single = known.where(F.greatest("t", "o") > low).select(
+            F.col("w").alias("key"), *[r.alias(n) for r, n in zip(of_word, names)]
+        )
+        entries = self.pairs.select("w", "u", *[self._n(f"p{c}", whole).alias(f"p{c}") for c in CLASSES])
+        entries = entries.where(F.greatest("pt", "po") > low)
+        left = known.select(F.col("w").alias("u"), F.col("t").alias("ut"), F.col("o").alias("uo"))
+
+        def p2(c: str, i: int, d: float) -> Column:
+            _, b2 = self.masses(d, whole)
+            own = above(F.col(f"p{c}"), d) / F.greatest(F.col(f"u{c}"), F.lit(1))
+            return (1 - b2) * own + b2 * F.col(f"{c}{i}")
+
+        of_pair = [
+            F.when(F.greatest("pt", "po") > d, F.log(p2("t", i, d) / p2("o", i, d))).otherwise(of_word[i])
+            for i, d in enumerate(discounts)
+        ]
+        double = (
+            entries.join(known, "w")
+            .join(left, "u")  # and without the pairs at the start of a text
+            .select(pair_key_column("u", "w").alias("key"), *[r.alias(n) for r, n in zip(of_pair, names)])
+        )
+        return written(single.unionByName(double), "ratios")
+
+
+def _parts(table: DataFrame) -> list[Broadcast]:
+    """The table of ratios as sorted arrays of at most about ``PART_ROWS`` rows."""
+    spark = table.sparkSession
+    parts = max(1, math.ceil(table.count() / PART_ROWS))
+    shared = []
     for part in range(parts):
-        rows = [tuple(r) for r in kept.where(part_of == part).select("u", "w", "ratio").collect()]
-        shared = spark.sparkContext.broadcast(rows)  # PART_ROWS of them, about
-        found = found.withColumnRenamed(name, before)
-        text = F.col("text").cast("string")
-        found = found.withColumn(name, _scorer(shared)(text, F.col(before))).drop(before)
-        if parts > 1:
-            found = written(found, f"ratios-{part}")
-    return found.withColumn(name, _summaries()(F.col(name)))
-
-
-def fit_curve(points: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> list[float]:
-    """Weights (bias, mean, peak) of a logistic curve, by Newton's method."""
-    x = np.column_stack([np.ones(len(points)), points])
-    w = np.zeros(x.shape[1])
+        rows = table.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()
+        key = rows["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        ratios = [rows[n].to_numpy().astype(np.float32)[order] for n in rows.column_names[1:]]
+        shared.append(spark.sparkContext.broadcast((key[order], np.array(ratios))))
+    return shared
+
+
+def looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` that the table has, and their ratios by each discount."""
+    known, ratios = table
+    if not len(known) or not len(keys):
+        return np.array([], np.int64), np.empty((len(ratios), 0), np.float32)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = np.flatnonzero(known[at] == keys)
+    return found, ratios[:, at[found]]
+
+
+def word_ratios(w: np.ndarray, u: np.ndarray, tables: Iterator, discounts: int) -> np.ndarray:
+    """Log ratio of every word given its left neighbour, by each discount."""
+    distinct, place = np.unique(w, return_inverse=True)
+    single = np.zeros((discounts, len(distinct)), np.float32)
+    line, has_pair = np.zeros((discounts, len(w)), np.float32), np.zeros(len(w), bool)
+    keys = pair_key(u, w)
+    for table in tables:
+        found, ratios = looked_up(distinct, table)
+        single[:, found] = ratios
+        found, ratios = looked_up(keys, table)
+        line[:, found], has_pair[found] = ratios, True
+    return np.where(has_pair, line, single[:, place])
+
+
+def repeated(w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words that the same text has among the ``STRETCHES[0]`` words before."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(w, kind="stable")
+    near = np.diff(order, prepend=-STRETCHES[0]) < STRETCHES[0]
+    near &= (np.diff(w[order], prepend=-2) == 0) & (np.diff(text[order], prepend=-1) == 0)
+    again = np.zeros(len(w), bool)
+    again[order] = near
+    return again
+
+
+def features(line: np.ndarray) -> list[float]:
+    """Evidence of one text from its words' ratios."""
+    n = len(line)
+    if not n:
+        return [0.0] * FEATURES
+    total = np.concatenate([[0.0], np.cumsum(line, dtype=np.float64)])
+    peaks = [float((total[k:] - total[:-k]).max() / k) for k in (min(s, n) for s in STRETCHES)]
+    top = np.sort(np.partition(line, n - TOP)[-TOP:] if n > TOP else line)[::-1]
+    return [float(total[-1] / n), *peaks, float(top[0]), float(top.mean()), float(int(math.log10(n)))]
+
+
+def evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """``docs`` with an array of the features by each discount that the table has."""
+    parts, discounts = _parts(table), len(table.columns) - 1
+
+    def tables() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in parts:
+            yield part.value
+            if len(parts) > 1:
+                part.__dict__.pop("_value", None)  # one at a time
+
+    @F.arrow_udf("array<double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher = Hasher()
+        for texts in batches:
+            w, u, sizes = hasher(texts.to_pylist())
+            lines = word_ratios(w, u, tables(), discounts)
+            lines[:, repeated(w, sizes)] = 0
+            ends = np.cumsum(sizes).tolist()
+            rows = [
+                list(chain.from_iterable(features(line[end - size : end]) for line in lines))
+                for end, size in zip(ends, sizes.tolist())
+            ]
+            yield pa.array(rows, pa.list_(pa.float64()))
+
+    return docs.withColumn(name, found(F.col("text").cast("string")))
+
+
+def fit_curve(points: np.ndarray, labels: np.ndarray, ridge: float = RIDGE) -> list[float]:
+    """Weights (bias, one per feature) of a logistic curve, by Newton's method; the ridge is
+    on features of unit spread."""
+    middle, spread = points.mean(axis=0), np.maximum(points.std(axis=0), 1e-9)
+    x = np.column_stack([np.ones(len(points)), (points - middle) / spread])
+    w, pull = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * points.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - labels) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - labels) + pull @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return w.tolist()
-
-
-def _curve(rows: DataFrame) -> list[float]:
-    """Weights fitted on rows that the counts behind their own evidence leave out."""
-    pick = F.xxhash64("text")
-    own = rows.where(F.col("fold") == FIT_FOLD).select("text", "toxic", pick.alias("pick"))
-    own = written(own.orderBy("pick").limit(FIT_ROWS), "fit")
-    cut = own.agg(F.max("pick")).first()[0]
-    others = rows if cut is None else rows.where((F.col("fold") != FIT_FOLD) | (pick > cut))
-    kept = expressions(others)
-    points = np.empty((0, 3))
-    if cut is not None and kept is not None:
-        fit = evidence(own, kept, "evidence").select("evidence.*", "toxic")
-        points = np.array([(r[0], r[1], r[2]) for r in fit.collect()])
-    if len(set(points[:, 2])) < 2:
-        return [-2.0, 0.0, 4.0]
-    return fit_curve(points[:, :2], points[:, 2])
+    weights = w[1:] / spread
+    return [float(w[0] - weights @ middle), *weights.tolist()]
+
+
+def log_loss(weights: Sequence[float], points: np.ndarray, labels: np.ndarray) -> float:
+    z = np.clip(weights[0] + points @ np.array(weights[1:]), -30, 30)
+    return float(np.mean(np.log1p(np.exp(np.where(labels == 1, -z, z)))))
+
+
+def choose(points: np.ndarray, labels: np.ndarray, discounts: int, halves: int = 4) -> int:
+    """The discount whose curve does best on rows it was not fitted on."""
+    part = np.arange(len(labels)) % halves
+    losses = []
+    for i in range(discounts):
+        x = points[:, i * FEATURES : (i + 1) * FEATURES]
+        losses.append(
+            sum(log_loss(fit_curve(x[part != h], labels[part != h]), x[part == h], labels[part == h]) for h in range(halves))
+        )
+    return int(np.argmin(losses))
+
+
+def _curve(rows: DataFrame, model: Model) -> tuple[float, list[float]]:
+    """(discount, weights), fitted on rows that the counts behind their own evidence leave out."""
+    middle = model.discounts[len(model.discounts) // 2]
+    default = middle, [-3.0, 1.0, 1.0, 0.5, 0.0, 0.0, 0.0]
+    if not model.has_both(whole=False):
+        return default
+    table = model.ratios(model.discounts, whole=False)
+    fit = evidence(rows.where("fit"), table, "evidence").select("evidence", "toxic")
+    found = sorted((r.evidence, r.toxic) for r in fit.collect())  # FIT_ROWS of them, about
+    labels = np.array([t for _, t in found])
+    if len(set(labels.tolist())) < 2 or len(labels) < 2 * FEATURES:
+        return default
+    order = np.random.default_rng(5).permutation(len(found))
+    points, labels = np.array([e for e, _ in found])[order], labels[order]
+    best = choose(points, labels, len(model.discounts))
+    return model.discounts[best], fit_curve(points[:, best * FEATURES : (best + 1) * FEATURES], labels)
 
 
 def score(docs: DataFrame, training: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, learned from the labelled rows of ``training``."""
     rows = labelled(training, labels)
-    kept = expressions(rows)
-    if kept is None:
+    model = Model(rows)
+    if not model.has_both(whole=True):
         return docs.withColumn(name, F.lit(0.0))
+    discount, (bias, *weights) = _curve(rows, model)
     part = free_name(docs, "evidence")
-    weights = _curve(rows)
-    bias, mean, peak = (F.lit(w) for w in weights)
-    scored = evidence(docs, kept, part)
-    z = bias + mean * F.col(part)["mean"] + peak * F.col(part)["peak"]
+    scored = evidence(docs, model.ratios([discount], whole=True), part)
+    z = F.lit(bias)
+    for i, weight in enumerate(weights):
+        z = z + F.lit(weight) * F.col(part)[i]
     return scored.withColumn(name, 1 / (1 + F.exp(-z))).drop(part)
 
 
