@@ -1,12 +1,18 @@
 """Line dedup: blocks of lines that an earlier document has are deleted from the later one.
 
-A *run* is the shortest sequence of consecutive lines, starting or ending at a given line,
-that holds at least ``min_words`` words. Its hash stands for a rare line: that many
-words do not recur by chance, so no run has to be left out for being frequent. Every common
-block of ``min_words`` words or more is a union of common runs.
+A *run* is a sequence of consecutive lines that starts and ends with words. Two kinds stand
+for rare lines:
+
+* the shortest runs, starting or ending at a given line, of ``MIN_WORDS`` words or more: so many
+  words do not recur by chance, so none of them is left out for being frequent;
+* runs of ``RARE_WORDS`` words or more, but fewer than that, mostly single lines, if at most
+  ``RARE_DOCS`` documents have them, counted over all documents.
+
+Every common block of ``MIN_WORDS`` words or more is a union of common runs; a shorter one
+is deleted if it has a rare line, with the common lines beside it that belong to a rare run.
 
 1. Each run hash is given its first holder, the earliest document with that run. Runs that
-   only one document has go no further.
+   only one document has go no further, nor do short ones that are frequent.
 2. A later document is paired with the first holders of its runs, not with all holders:
    as many pairs at most as it has lines, however many copies there are.
 3. Each pair is aligned by patience: runs that occur once on both sides, the longest
@@ -36,18 +42,24 @@ from pyspark.sql import DataFrame, functions as F
 from stratalake.llm.common import free_name
 
 MIN_WORDS = 20
+RARE_WORDS = 5
+RARE_DOCS = 16
 ROUNDS = 6
 LAST = (1 << 63) - 1  # order of rows without doc_id
 
 
-def runs_of(text: bytes | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first line, lines) of the shortest runs that start or end at each line."""
+def runs_of(
+    text: bytes | None, min_words: int = MIN_WORDS, rare_words: int = RARE_WORDS
+) -> list[tuple[int, int, int, int]]:
+    """(hash, first line, lines, kind) of the shortest runs that start or end at each line, and
+    of shorter ones. The kind is 0 for long runs, 1 for short ones and 2 if a text has a short
+    one again."""
     if not text:
         return []
     lines = [line.strip() for line in text.split(b"\n")]
     words = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
     total = np.concatenate([[0], np.cumsum(words)])
-    if total[-1] < min_words:
+    if total[-1] < min(min_words, rare_words):
         return []
     n = len(lines)
     # end of the run from i: first j with total[j] - total[i] >= min_words
@@ -58,9 +70,29 @@ def runs_of(text: bytes | None, min_words: int = MIN_WORDS) -> list[tuple[int, i
     spans |= {(int(i), j + 1) for j, i in enumerate(starts) if i >= 0 and words[j]}
     digest = xxhash.xxh3_64_intdigest
     whole = b"".join(digest(line).to_bytes(8, "little") for line in lines)
-    return [
-        (digest(whole[8 * i : 8 * j]) - (1 << 63), i, j - i) for i, j in sorted(spans)
-    ]
+    hashed = lambda i, j: digest(whole[8 * i : 8 * j]) - (1 << 63)
+    found = [(hashed(i, j), i, j - i, 0) for i, j in sorted(spans)]
+    seen: set[int] = set()
+    for i, j in _short_spans(words, total, min_words, rare_words):
+        h = hashed(i, j)
+        found.append((h, i, j - i, 2 if h in seen else 1))
+        seen.add(h)
+    return found
+
+
+def _short_spans(
+    words: np.ndarray, total: np.ndarray, min_words: int, rare_words: int
+) -> Iterator[tuple[int, int]]:
+    """Runs with at least ``rare_words`` but fewer than ``min_words`` words."""
+    spoken = np.flatnonzero(words).tolist()
+    sums = total.tolist()
+    for k, i in enumerate(spoken):
+        for j in spoken[k:]:
+            size = sums[j + 1] - sums[i]
+            if size >= min_words:
+                break
+            if size >= rare_words:
+                yield i, j + 1
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,23 +184,20 @@ def without(text: str, lines: set[int]) -> str:
     return "\n".join(s for i, s in enumerate(text.split("\n")) if i not in lines)
 
 
-def common_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def common_runs(
+    docs: DataFrame, min_words: int = MIN_WORDS, rare_words: int = RARE_WORDS,
+    rare_docs: int = RARE_DOCS,
+) -> DataFrame:
     """(doc, text_hash, shared): per later document its runs that an earlier one has."""
 
-    @F.arrow_udf("array<struct<h:bigint,line:int,lines:int>>")
+    @F.arrow_udf("array<struct<h:bigint,line:int,lines:int,kind:tinyint>>")
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("h", pa.int64()), ("line", pa.int32()), ("lines", pa.int32())])
+        names, kinds = ("h", "line", "lines", "kind"), (np.int64, np.int32, np.int32, np.int8)
         for texts in parts:
-            found = [runs_of(t.as_py(), min_words) for t in texts.cast(pa.binary())]
-            flat = np.array([r for runs in found for r in runs], np.int64).reshape(-1, 3)
-            values = pa.StructArray.from_arrays(
-                [
-                    pa.array(flat[:, 0]),
-                    pa.array(flat[:, 1].astype(np.int32)),
-                    pa.array(flat[:, 2].astype(np.int32)),
-                ],
-                fields=list(kind),
-            )
+            found = [runs_of(t.as_py(), min_words, rare_words) for t in texts.cast(pa.binary())]
+            flat = np.array([r for runs in found for r in runs], np.int64).reshape(-1, 4)
+            columns = [pa.array(flat[:, i].astype(k)) for i, k in enumerate(kinds)]
+            values = pa.StructArray.from_arrays(columns, names)
             offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
             yield pa.ListArray.from_arrays(offsets, values)
 
@@ -180,8 +209,13 @@ def common_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).select("doc", "text_hash", "run.*")
     first = (
         runs.groupBy("h")
-        .agg(F.min(F.struct("doc", "line")).alias("first"), F.max("doc").alias("last"))
-        .where("last > first.doc")
+        .agg(
+            F.min(F.struct("doc", "line")).alias("first"),
+            F.max("doc").alias("last"),
+            F.max("kind").alias("kind"),
+            F.count_if(F.col("kind") == 1).alias("docs"),
+        )
+        .where((F.col("last") > F.col("first.doc")) & ((F.col("kind") == 0) | (F.col("docs") <= rare_docs)))
         .select("h", F.col("first.doc").alias("holder"), F.col("first.line").alias("there"))
     )
     return (
@@ -193,11 +227,14 @@ def common_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, moved: bool = True,
-                deleted: str | None = None) -> DataFrame:
+                deleted: str | None = None, rare_words: int = RARE_WORDS,
+                rare_docs: int = RARE_DOCS, least_left: float = 0.0) -> DataFrame:
     """``docs`` without the blocks that earlier documents have.
 
     ``deleted`` names an extra column with the numbers of the deleted lines. Without
-    ``moved``, blocks that stand in another order than in the earlier document stay.
+    ``moved``, blocks that stand in another order than in the earlier document stay. A document
+    that keeps less than ``least_left`` of its characters is dropped: what is left of a copy
+    with a few edits is no document.
     """
     doc, text_hash, shared, edit = (
         free_name(docs, n) for n in ("order_id", "text_hash", "shared", "edit")
@@ -219,7 +256,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, moved: bool = True,
                 rows.append({"text": without(old, lines), "lines": sorted(lines)})
             yield pa.array(rows, kind)
 
-    found = common_runs(docs, min_words).select(
+    found = common_runs(docs, min_words, rare_words, rare_docs).select(
         F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("shared").alias(shared)
     )
     text = F.col("text").cast("string")
@@ -238,4 +275,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, moved: bool = True,
         ).otherwise(F.col("n_chars"))
     if deleted:
         new[deleted] = F.coalesce(F.col(edit)["lines"], F.array().cast("array<int>"))
+    if least_left:
+        left = F.char_length(F.col(edit)["text"]) >= least_left * F.char_length(text)
+        rows = rows.where(F.col(edit)["text"].isNull() | left)
     return rows.withColumns(new).select(*docs.columns, *([deleted] if deleted else []))

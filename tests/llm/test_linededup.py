@@ -12,32 +12,29 @@ from stratalake.llm import linededup
 DOCS = "doc_id bigint, text string"
 
 
-def plain(rows, min_words):
-    """Texts without the maximal blocks of min_words words or more that an earlier one has."""
+def plain(rows, min_words=20, rare_words=5, rare_docs=16):
+    """Texts without the lines of any run that an earlier text has: of min_words words or more,
+    or of rare_words or more if at most rare_docs texts have it."""
     lines = {d: [s.strip() for s in t.encode().split(b"\n")] for d, t in rows}
+    spans, holders = {}, {}
+    for d, mine in lines.items():
+        words = [len(s.split()) for s in mine]
+        spoken = [i for i, n in enumerate(words) if n]
+        for k, i in enumerate(spoken):
+            for j in spoken[k:]:
+                size = sum(words[i : j + 1])
+                if size >= rare_words:
+                    run = tuple(mine[i : j + 1])
+                    spans.setdefault(d, []).append((i, j + 1, run, size))
+                    holders.setdefault(run, set()).add(d)
+                if size - words[j] >= min_words:
+                    break  # longer ones are unions of these
     out = {}
     for d, text in rows:
-        gone, mine = set(), lines[d]
-        for e, theirs in lines.items():
-            if e >= d:
-                continue
-            at = {}
-            for j, line in enumerate(theirs):
-                at.setdefault(line, []).append(j)
-            for i, line in enumerate(mine):
-                for j in at.get(line, []):
-                    n = 0
-                    while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
-                        n += 1
-                    words = [len(s.split()) for s in mine[i : i + n]]
-                    if sum(words) >= min_words:
-                        # lines without words at the ends are not part of a block
-                        a, b = 0, n
-                        while not words[a]:
-                            a += 1
-                        while not words[b - 1]:
-                            b -= 1
-                        gone.update(range(i + a, i + b))
+        gone = set()
+        for i, j, run, size in spans.get(d, []):
+            if min(holders[run]) < d and (size >= min_words or len(holders[run]) <= rare_docs):
+                gone.update(range(i, j))
         out[d] = "\n".join(s for i, s in enumerate(text.split("\n")) if i not in gone)
     return out
 
@@ -65,15 +62,50 @@ def test_random_blocks_against_brute_force(spark, vocabulary, seed):
                 lines.append("")
             lines.append(" ".join(rng.choices(vocabulary, k=rng.randint(1, 15))))
         rows.append((d, "\n".join(lines)))
-    got = result(spark.createDataFrame(rows, DOCS), min_words=12)
-    assert got == plain(rows, 12)
+    for options in ({"min_words": 12}, {"min_words": 12, "rare_docs": 2}, {"min_words": 9, "rare_words": 1}):
+        got = result(spark.createDataFrame(rows, DOCS), **options)
+        assert got == plain(rows, **options)
     assert any(got[d] != t for d, t in rows)
 
 
-def test_whole_table_against_brute_force(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_whole_table_against_brute_force(spark, sf):
+    docs = table(spark, f"/root/testdata/sf{sf}", "documents").select("doc_id", "text")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    assert result(docs) == plain(rows, linededup.MIN_WORDS)
+    got, want = result(docs), plain(rows)
+    assert {d: t for d, t in got.items() if want[d] != t} == {}
+    assert linededup.dedup_lines(docs, rare_docs=0).where("text = ''").count() <= sum(t == "" for t in got.values())
+
+
+LINE = "twelve words that no more than two of all these documents share"
+
+
+def test_a_rare_line_goes_and_a_frequent_one_stays(spark):
+    often = "a line of eight words in many documents"
+    rows = [(i, f"own start {i}\n{often}\nown end {i}") for i in range(40)]
+    rows[7] = (7, f"{LINE}\nmore of seven\n{often}")
+    rows[30] = (30, f"thirty\n{often}\nthen\n  {LINE} \nmore of seven\nthirty ends")
+    got = result(spark.createDataFrame(rows, DOCS))
+    assert got.pop(30) == f"thirty\n{often}\nthen\nthirty ends"  # with the short line beside it
+    assert got == {d: t for d, t in rows if d != 30}
+
+
+def test_rarity_is_counted_in_documents(spark):
+    """A line that one text repeats, or that only its copies have, is as rare as its documents."""
+    rows = [(0, "\n".join([LINE] * 50)), (1, f"{LINE}\nmine")]
+    assert result(spark.createDataFrame(rows, DOCS))[1] == "mine"
+    many = [(i, f"{LINE}\nmine {i}") for i in range(linededup.RARE_DOCS + 1)]
+    assert result(spark.createDataFrame(many, DOCS)) == dict(many)
+    few = many[:-1]
+    assert result(spark.createDataFrame(few, DOCS)) == {d: f"mine {d}" if d else t for d, t in few}
+
+
+def test_what_is_left_of_a_copy_can_be_dropped(spark):
+    a = "\n".join(f"{LONG} {i} {LONG}" for i in range(10))
+    rows = [(1, a), (2, f"{a}\nedited"), (3, a), (4, f"{LONG} 3 {LONG}\n" + "x" * 300), (5, "short"), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert result(docs, least_left=0.2) == {1: a, 4: "x" * 300, 5: "short", 6: None, 7: ""}
+    assert set(result(docs)) == {1, 2, 3, 4, 5, 6, 7}
 
 
 LONG = "one two three four five six seven eight nine ten"
