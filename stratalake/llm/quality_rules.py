@@ -1,15 +1,19 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Word, symbol, line and repetition counts of a text are array and string functions; no row
-leaves the JVM. For each (lang, source) a KLL quantile sketch of each measure is kept; the
-sketches of a language are merged into one for the language, those into one for all.
-A group with fewer than ``MIN_GROUP`` documents uses the sketch of its language, a small
-language that of all documents. A text is rejected if a measure lies beyond
-
-    upper quartile + FENCE x interquartile range + margin   (lower side alike)
-
-of its group. The margin keeps a measure that is constant in a group (no symbols at all)
-from rejecting its first exception. The thresholds are a small table joined with the
+leaves the JVM. For each (lang, source) two KLL quantile sketches of each measure are kept,
+of all values and of those above zero; the sketches of a language are merged into one for the
+language, those into one for all. A quantile of a language with n values is
+n / (n + PRIOR) parts its own and for the rest that of all, and a quantile of a group is mixed
+with its language's in the same way, so small groups lean on larger ones without a switch.
+A text is rejected if a measure lies beyond
+
+    word length:    the quartiles, by more than FENCE interquartile ranges
+    other shares:   q90 + FENCE x interquartile range + RARE x median of the values above zero
+
+of its group. Where most texts lack a trait, the quantiles are zero, and the last term says
+how strong the trait is in the texts that have it: it lets ordinary exceptions pass.
+The thresholds are a small table joined with the
 counts, by broadcast up to ``BROADCAST_GROUPS`` groups, else by shuffle.
 
 Two windows are taken as equal if their 64-bit hashes are.
@@ -31,17 +35,15 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 FENCE = 4.0
-MIN_GROUP = 200
+PRIOR = 50
 SKETCH_K = 400
 BROADCAST_GROUPS = 100_000
 
-# measure -> (margin below the lower fence or None, margin above the upper fence)
-MEASURES: dict[str, tuple[float | None, float]] = {
-    "word_length": (1.0, 1.0),
-    "symbol_share": (None, 0.05),
-    "dup_line_share": (None, 0.4),
-    "repeat_share": (None, 0.3),
-}
+WORD_LENGTH = "word_length"
+# share -> RARE, how many medians of the values above zero an exception may have
+SHARES = {"symbol_share": 0.1, "dup_line_share": 4.0, "repeat_share": 4.5}
+MEASURES = (WORD_LENGTH, *SHARES)
+QUANTILES = {"q25": 0.25, "q75": 0.75, "q90": 0.9}
 REPORT = [
     "doc_id",
     "n_words",
@@ -127,46 +129,69 @@ def measures(rows: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, n and one mergeable sketch per measure."""
+    """lang, source, n, and per measure a mergeable sketch of all values, of those above zero
+    (``_some``), and their number."""
+    own = {m: F.col(m).cast("double") for m in MEASURES}
     return rows.groupBy("lang", "source").agg(
         F.count("*").alias("n"),
-        *(F.kll_sketch_agg_double(F.col(m).cast("double"), SKETCH_K).alias(m) for m in MEASURES),
+        *(F.kll_sketch_agg_double(v, SKETCH_K).alias(m) for m, v in own.items()),
+        *(F.kll_sketch_agg_double(F.when(v > 0, v), SKETCH_K).alias(f"{m}_some") for m, v in own.items()),
+        *(F.count_if(v > 0).alias(f"{m}_n") for m, v in own.items()),
     )
 
 
 def _merged(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).agg(
-        F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES)
+        F.sum("n").alias("n"),
+        *(F.kll_merge_agg_double(f"{m}{s}", SKETCH_K).alias(f"{m}{s}") for m in MEASURES for s in ("", "_some")),
+        *(F.sum(f"{m}_n").alias(f"{m}_n") for m in MEASURES),
     )
 
 
-def _fences(table: DataFrame, suffix: str) -> DataFrame:
-    out = [c for c in ("lang", "source") if c in table.columns] + [F.col("n").alias(f"n{suffix}")]
-    for m, (below, above) in MEASURES.items():
-        q = lambda r: F.kll_sketch_get_quantile_double(m, F.lit(r))  # noqa: B023, E731
-        spread = q(0.75) - q(0.25)
-        low = F.lit(None) if below is None else q(0.25) - FENCE * spread - below
-        out += [
-            low.cast("double").alias(f"{m}_low{suffix}"),
-            (q(0.75) + FENCE * spread + above).alias(f"{m}_high{suffix}"),
-        ]
-    return table.select(*out)
+def _quantiles(table: DataFrame) -> DataFrame:
+    """The table's quantiles in place of its sketches, ``mid`` being that of the values above
+    zero, and the number of values behind each."""
+
+    def of(m: str, name: str) -> Column:
+        if name == "mid":
+            found = F.kll_sketch_get_quantile_double(f"{m}_some", F.lit(0.5))
+            return F.when(F.col(f"{m}_n") > 0, found).otherwise(0.0).cast("double")
+        return F.kll_sketch_get_quantile_double(m, F.lit(QUANTILES[name])).cast("double")
+
+    keys = [c for c in ("lang", "source") if c in table.columns]
+    values = [of(m, q).alias(f"{m}_{q}") for m in MEASURES for q in (*QUANTILES, "mid")]
+    return table.select(*keys, "n", *[f"{m}_n" for m in MEASURES], *values)
+
+
+def _mixed(rows: DataFrame, above: dict[str, Column]) -> DataFrame:
+    """Quantiles drawn towards those of the larger group they belong to."""
+    new = {}
+    for m in MEASURES:
+        for q in (*QUANTILES, "mid"):
+            name = f"{m}_{q}"
+            n = F.col(f"{m}_n") if q == "mid" else F.col("n")
+            share = n / (n + F.lit(float(PRIOR)))
+            new[name] = share * F.col(name) + (1 - share) * above[name]
+    return rows.withColumns(new)
 
 
 def thresholds(own: DataFrame) -> DataFrame:
     """lang, source and the fences that hold there, from the group's sketches ``own``."""
     by_lang = _merged(own, "lang")
-    of_all = _fences(_merged(by_lang), "_all").first().asDict()  # one row of numbers
-    of_lang = _fences(by_lang, "_lang").withColumnRenamed("lang", "of_lang")
-    rows = _fences(own, "").join(of_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    pick = lambda name: (
-        F.when(F.col("n") >= MIN_GROUP, F.col(name))
-        .when(F.col("n_lang") >= MIN_GROUP, F.col(f"{name}_lang"))
-        .otherwise(F.lit(of_all[f"{name}_all"]).cast("double"))
-        .alias(name)
-    )
+    of_all = _quantiles(_merged(by_lang)).first().asDict()  # one row of numbers
+    of_lang = _mixed(_quantiles(by_lang), {k: F.lit(v).cast("double") for k, v in of_all.items()})
+    names = [c for c in of_lang.columns if c != "lang"]
+    of_lang = of_lang.select(F.col("lang").alias("of_lang"), *[F.col(c).alias(f"{c}_above") for c in names])
+    rows = _quantiles(own).join(of_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    rows = _mixed(rows, {c: F.col(f"{c}_above") for c in names})
+    q = lambda m, name: F.col(f"{m}_{name}")
+    spread = {m: FENCE * (q(m, "q75") - q(m, "q25")) for m in MEASURES}
     return rows.select(
-        "lang", "source", *(pick(f"{m}_{side}") for m in MEASURES for side in ("low", "high"))
+        "lang",
+        "source",
+        (q(WORD_LENGTH, "q25") - spread[WORD_LENGTH]).alias(f"{WORD_LENGTH}_low"),
+        (q(WORD_LENGTH, "q75") + spread[WORD_LENGTH]).alias(f"{WORD_LENGTH}_high"),
+        *((q(m, "q90") + spread[m] + rare * q(m, "mid")).alias(f"{m}_high") for m, rare in SHARES.items()),
     )
 
 
@@ -183,9 +208,8 @@ def judge(docs: DataFrame) -> DataFrame:
     here = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(
         F.col("of_source")
     )
-    outside = F.lit(False)
+    outside = F.coalesce(F.col(WORD_LENGTH) < F.col(f"{WORD_LENGTH}_low"), F.lit(False))
     for m in MEASURES:
-        outside = outside | F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False))
         outside = outside | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
     return rows.join(fences, here, "left").select(
         *REPORT, (~F.col("base_failed") & ~outside).alias("kept")
