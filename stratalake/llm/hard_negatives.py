@@ -244,6 +244,7 @@ class Index:
     blocks: DataFrame
     label_tiles: DataFrame
     all_tiles: DataFrame
+    tiles: int
     anchors: DataFrame
     shape: Shape
     positives: int
@@ -271,22 +272,21 @@ def build_index(rows: DataFrame, is_anchor: Column, positives: int = 5) -> Index
         "blocks",
     )
     anchors = written(_anchors(blocks, shape), "anchors")
-    return Index(blocks, _tiles(blocks, ["label"]), _tiles(blocks, []), anchors, shape, positives)
+    per_label = blocks.groupBy("label").agg(F.ceil(F.count("*") / ZONES_PER_TILE).alias("tiles"))
+    tiles = 1 + blocks.count() // ZONES_PER_TILE
+    return Index(
+        blocks,
+        _tiles(blocks.join(per_label, "label"), ["label", "tiles"], F.col("tiles")),
+        _tiles(blocks, [], F.lit(tiles)),
+        tiles, anchors, shape, positives,
+    )
 
 
-def _tiles(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """(by, tile, tiles, zones): about ``ZONES_PER_TILE`` zone maps a row."""
-    tiles = F.ceil(F.count("*") / ZONES_PER_TILE)
-    if by:
-        zones = blocks.join(blocks.groupBy(*by).agg(tiles.alias("tiles")), by)
-    else:
-        zones = blocks.withColumn("tiles", F.lit(max(1, blocks.agg(tiles).first()[0])))
-    return written(
-        zones.groupBy(*by, "tiles", F.pmod(F.xxhash64("block_id"), "tiles").alias("tile")).agg(
-            F.collect_list(F.struct("block_id", "label", "least", "most")).alias("zones")
-        ),
-        "tiles",
-    )
+def _tiles(blocks: DataFrame, by: list[str], tiles: Column) -> DataFrame:
+    """(by, tile, zones): about ``ZONES_PER_TILE`` zone maps a row."""
+    zones = F.collect_list(F.struct("block_id", "label", "least", "most")).alias("zones")
+    tile = F.pmod(F.xxhash64("block_id"), tiles).alias("tile")
+    return written(blocks.groupBy(*by, tile).agg(zones), "tiles")
 
 
 def _anchors(blocks: DataFrame, shape: Shape) -> DataFrame:
@@ -429,9 +429,9 @@ def first_in_windows(index: Index, anchors: DataFrame, same_label: bool, first:
     if same_label:
         tiles, on = index.label_tiles, ["label", "tile"]
         spread = groups.join(tiles.select("label", "tiles").distinct(), "label")
-    else:  # the number of tiles is the same in all rows
+    else:
         tiles, on = index.all_tiles, ["tile"]
-        spread = groups.crossJoin(tiles.agg(F.max("tiles").alias("tiles")))
+        spread = groups.withColumn("tiles", F.lit(index.tiles).cast("long"))
     spread = spread.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     picked = (
         spread.drop("tiles")

@@ -192,7 +192,7 @@ def _partitions(words: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if hot.isEmpty():
             return _union([*whole, rest]).select("prefix", "word", "n"), split
         whole.append(rest.join(hot, "prefix", "left_anti"))
-        rest = rest.join(hot, "prefix", "left_semi").select("word", "n")
+        rest = written(rest.join(hot, "prefix", "left_semi").select("word", "n"), "hot_words")
         split.append(rest.withColumn("depth", F.lit(depth)))
         depth += 1
 
