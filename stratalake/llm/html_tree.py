@@ -1,21 +1,26 @@
 """HTML extraction with site style trees.
 
 The DOMs of a host are merged: elements with the same path of (tag, class, id, role) from
-the root are one node, siblings of one kind included. Over the pages that have a node,
+the root are one node, siblings of one kind included. Copies count once: pages of a host whose
+``article`` or ``main`` has the same text, or that have the same text in all where they have
+none, are one page to its tree. Over the m pages that have a node,
 
 * its presentation importance is the entropy of the sequences of its children's kinds;
 * its content importance is one minus the mean entropy of its text pieces, each piece's
   entropy being that of its spread over the pages;
 
-both relative to the logarithm of the number of pages, so they lie between 0 and 1. Nodes
-with text have the content importance, others that of presentation. A branch in which no node
-reaches ``IMPORTANT`` is boilerplate and is removed from every page that has it. A host
-with fewer than ``MIN_PAGES`` pages uses the tree of all pages with its layout (the set of
-structural elements it uses); a rare layout has no tree.
+both relative to the logarithm of m, so they lie between 0 and 1. Nodes
+with text have the content importance, others that of presentation. Every host has a tree. As
+few pages say little, m pages of the host are mixed with ``PRIOR`` pages of the importance that
+the path has over all hosts; a path below ``article`` or ``main`` is mixed with as many pages
+of importance 1. A branch in which no node reaches ``IMPORTANT`` is boilerplate and is
+removed from every page of the host that has it; below ``article`` and ``main``, which are
+never removed themselves, the limit is ``REPEATED``: only what nearly all articles share goes.
 
 Besides, elements that are never article text by their kind (``HIDDEN``, ``BOILERPLATE``
-tags, and class, id or role words such as ``sidebar``) are removed: a tree cannot see an
-advert that differs on every page. ``article`` and ``main`` are never removed by the tree.
+tags) are removed, and those whose class, id or role has a word such as ``sidebar``: a tree
+cannot see an advert that differs on every page. Below ``article`` and ``main`` such a word is
+only further evidence: there it moves the limit to ``IMPORTANT``.
 
 Trees are aggregates by host and node, so a large host is counted before the shuffle. A
 page meets its tree by a join on the host, broadcast up to ``BROADCAST_NODES`` nodes.
@@ -42,8 +47,8 @@ from stratalake.llm.common import free_name
 from stratalake.scratch import written
 
 IMPORTANT = 0.6
-MIN_PAGES = 1_000
-MIN_LAYOUT = 100
+REPEATED = 0.2
+PRIOR = 4
 BROADCAST_NODES = 500_000
 MAX_DEPTH = 512  # deeper elements become siblings there, as in browsers
 
@@ -63,6 +68,7 @@ HIDDEN = frozenset(
 )
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
+KEPT = MAIN | VOID | {"html", "body"}  # by the trees
 # A start tag ends an open element of these kinds, not looking beyond the second set.
 ENDS = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -83,8 +89,6 @@ NOISE = frozenset(
     tagcloud toolbar topbar widget""".split()
 )
 
-STRUCTURE = r"(?i)<(header|nav|main|article|section|aside|footer|form|table|iframe)\b"
-
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)",
@@ -100,12 +104,6 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(found), F.lit(""))
 
 
-def layout_of(html: Column) -> Column:
-    """The structural elements that a page uses."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(STRUCTURE), F.lit(1))
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(tags, F.lower))), " ")
-
-
 @dataclass
 class Element:
     tag: str
@@ -205,34 +203,46 @@ def clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def nodes(page: str) -> dict[int, tuple[list[int], int, set[int]]]:
-    """path -> (ancestors, hash of the children's kinds, hashes of text pieces)."""
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def nodes(page: str) -> tuple[int, dict[int, tuple[list[int], int, set[int], bool]]]:
+    """What the page is known by, and path -> (ancestors, hash of the children's kinds, hashes
+    of text pieces, whether it lies below article or main)."""
     above: dict[int, list[int]] = {}
     children: dict[int, list[list[str]]] = {}
     pieces: dict[int, set[int]] = {}
+    inside: dict[int, bool] = {}
+    article: list[str] = []
+    visible: list[str] = []
     for event, value, stack in walk(page):
         if event == "open":
             if value.path not in above:
                 above[value.path] = [e.path for e in stack[:-1]]
                 pieces[value.path], children[value.path] = set(), []
+                inside[value.path] = any(e.tag in MAIN for e in stack[:-1])
         elif event == "close":
             children[value.path].append(value.children)
         else:
             text = " ".join(value.split())
             if text and len(stack) > 1:
-                pieces[stack[-1].path].add(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-    return {
-        path: (
-            ancestors,
-            xxhash.xxh3_64_intdigest(str(children[path])) - (1 << 63),
-            pieces[path],
-        )
+                pieces[stack[-1].path].add(digest(text))
+                if stack[-1].tag not in RAW:
+                    visible.append(text)
+                    if inside[stack[-1].path] or stack[-1].tag in MAIN:
+                        article.append(text)
+    return digest("\n".join(article or visible)), {
+        path: (ancestors, digest(str(children[path])), pieces[path], inside[path])
         for path, ancestors in above.items()
     }
 
 
-def main_text(page: str | None, low: frozenset[int]) -> tuple[str, int]:
-    """(text, number of elements removed for low importance)."""
+def main_text(
+    page: str | None, low: frozenset[int], repeated: frozenset[int] = frozenset()
+) -> tuple[str, int]:
+    """(text, number of elements removed for low importance); ``repeated`` are the paths that
+    go even below article and main."""
     blocks: list[str] = []
     current: list[str] = []
     removed = 0
@@ -258,16 +268,18 @@ def main_text(page: str | None, low: frozenset[int]) -> tuple[str, int]:
         if event == "open":
             if skip_from:
                 continue
+            below_main = bool(main_depth)
             if value.tag in MAIN and not main_depth:
                 main_depth = depth
-            if value.path in low and value.tag not in MAIN | VOID:
+            limit = repeated if below_main and not value.noise else low
+            if value.path in limit and value.tag not in KEPT:
                 removed += 1
                 skip_from = depth
             elif value.tag in HIDDEN or value.tag in BOILERPLATE:
                 skip_from = depth
-            elif value.tag == "header" and not main_depth:
-                skip_from = depth
-            elif value.noise and value.tag not in MAIN and value.tag not in ("html", "body"):
+            elif below_main or value.tag in MAIN:
+                continue
+            elif value.tag == "header" or (value.noise and value.tag not in ("html", "body")):
                 skip_from = depth
         else:
             if skip_from == depth:
@@ -278,48 +290,58 @@ def main_text(page: str | None, low: frozenset[int]) -> tuple[str, int]:
     return "\n".join(blocks), removed
 
 
-_NODE = "struct<path:bigint,style:bigint,piece:bigint,above:bigint>"
+_NODE = "struct<path:bigint,style:bigint,piece:bigint,inside:boolean>"
+_LINK = "struct<path:bigint,above:bigint>"
+PARSED = f"struct<ident:bigint,nodes:array<{_NODE}>,links:array<{_LINK}>>"
+
+
+def _lists(rows: list[list[tuple]], names: list[str], kinds: list[pa.DataType]) -> pa.ListArray:
+    flat = [r for own in rows for r in own]
+    columns = [pa.array(c, k) for c, k in zip(zip(*flat), kinds)] or [pa.array([], k) for k in kinds]
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names))
 
 
 def _page_nodes():
-    names = ("path", "style", "piece", "above")
-    node = pa.struct([(n, pa.int64()) for n in names])
-
-    def of(page: str | None, told: set[int]) -> list[tuple]:
-        """A style row per node, a row per text piece, and the nodes above a new path."""
-        rows = []
-        for path, (above, style, pieces) in nodes(page or "").items():
-            rows.append((path, style, None, None))
-            rows += [(path, None, p, None) for p in pieces]
-            if path not in told:
-                told.add(path)
-                rows += [(path, None, None, a) for a in above]
-        return rows
-
-    @F.arrow_udf(f"array<{_NODE}>")
+    """A style row per node, a row per text piece, and the nodes above a path, which a task
+    tells once in a batch."""
+
+    @F.arrow_udf(PARSED)
     def parsed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in parts:
             told: set[int] = set()
-            found = [of(p.as_py(), told) for p in pages]
-            flat = [r for rows in found for r in rows]
-            columns = [pa.array(c, pa.int64()) for c in zip(*flat)] or [
-                pa.array([], pa.int64()) for _ in names
-            ]
-            values = pa.StructArray.from_arrays(columns, fields=list(node))
-            offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            yield pa.ListArray.from_arrays(offsets, values)
+            idents, found, links = [], [], []
+            for page in pages:
+                ident, of = nodes(page.as_py() or "")
+                rows, new = [], []
+                for path, (above, style, pieces, inside) in of.items():
+                    rows.append((path, style, None, inside))
+                    rows += [(path, None, p, inside) for p in pieces]
+                    if path not in told:
+                        told.add(path)
+                        new += [(path, a) for a in above]
+                idents.append(ident)
+                found.append(rows)
+                links.append(new)
+            number = pa.int64()
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array(idents, number),
+                    _lists(found, ["path", "style", "piece", "inside"], [number] * 3 + [pa.bool_()]),
+                    _lists(links, ["path", "above"], [number] * 2),
+                ],
+                ["ident", "nodes", "links"],
+            )
 
     return parsed
 
 
-def _importance(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """(key, low): the boilerplate paths of every host or layout with enough pages."""
+def _tree(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, path, inside, m, importance) of (keys, path, inside, style, piece, k)."""
     k = F.col("k").cast("double")
-    above = rows.where("above IS NOT NULL").select("path", "above").distinct()
-    counted = rows.where("above IS NULL").groupBy(key, "path", "style", "piece")
-    counted = counted.agg(F.sum("k").alias("k"))
     styled, pieced = F.col("style").isNotNull(), F.col("piece").isNotNull()
-    tree = counted.groupBy(key, "path").agg(
+    tree = counted.groupBy(*keys, "path").agg(
+        F.first("inside").alias("inside"),  # the path says so
         F.sum(F.when(styled, k)).alias("m"),
         F.sum(F.when(styled, k * F.log(k))).alias("style_sum"),
         F.count_if(pieced).alias("n_pieces"),
@@ -329,57 +351,61 @@ def _importance(rows: DataFrame, key: str, least: int) -> DataFrame:
     presentation = 1 - F.col("style_sum") / F.col("m") / pages
     content = 1 - F.col("piece_sum") / F.col("n_pieces") / pages
     importance = F.when(F.col("m") < 2, 1.0).when(F.col("n_pieces") > 0, content)
-    tree = tree.select(key, "path", importance.otherwise(presentation).alias("importance"), "m")
-    upwards = tree.join(above, "path").select(key, F.col("above").alias("path"), "importance", "m")
-    branches = (
-        tree.unionByName(upwards)
-        .groupBy(key, "path")
-        .agg(F.max("importance").alias("importance"), F.max("m").alias("m"))
-    )
-    # the page itself, path 0, says how many pages there are
-    return (
-        branches.groupBy(key)
-        .agg(
-            F.max(F.when(F.col("path") == 0, F.col("m"))).alias("pages"),
-            F.collect_set(
-                F.when((F.col("importance") < IMPORTANT) & (F.col("m") >= least), F.col("path"))
-            ).alias("low"),
-        )
-        .where(F.col("pages") >= least)
-        .select(key, "low")
+    return tree.select(
+        *keys, "path", "inside", "m", importance.otherwise(presentation).alias("importance")
     )
 
 
-def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> tuple[DataFrame, DataFrame]:
-    """Boilerplate paths by host and by layout."""
+def style_trees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(site, low, repeated): the paths below each limit, by host (``site_of``)."""
     html = F.col(page).cast("string")
-    keyed = pages.select(
-        host_of(F.col(url).cast("string")).alias("host"),
-        layout_of(html).alias("layout"),
-        _page_nodes()(html).alias("nodes"),
+    parsed = written(
+        pages.select(
+            site_of(F.col(url).cast("string")).alias("site"),
+            F.xxhash64(html).alias("page"),
+            _page_nodes()(html).alias("p"),
+        ).select("site", "page", "p.*"),
+        "parsed-pages",
     )
-    # inline_outer: the filter that inline brings would parse every page a second time
-    counted = (
-        keyed.select("host", "layout", F.inline_outer("nodes"))
-        .where("path IS NOT NULL")
-        .groupBy("host", "layout", "path", "style", "piece", "above")
-        .agg(F.count("*").alias("k"))
+    above = written(parsed.select(F.inline("links")).distinct(), "paths")
+    # Of copies the one with the least hash of its html stands for all.
+    one = parsed.groupBy("site", "ident").agg(F.min_by("nodes", "page").alias("nodes"))
+    counted = written(
+        one.select("site", F.inline("nodes"))
+        .groupBy("site", "path", "inside", "style", "piece")
+        .agg(F.count("*").alias("k")),
+        "page-nodes",
     )
-    counted = written(counted, "page-nodes")
-    return (
-        written(_importance(counted, "host", MIN_PAGES), "host-trees"),
-        written(_importance(counted, "layout", MIN_LAYOUT), "layout-trees"),
+    over_all = counted.groupBy("path", "inside", "style", "piece").agg(F.sum("k").alias("k"))
+    prior = _tree(over_all).select("path", F.col("importance").alias("prior"))
+    tree = _tree(counted, "site").join(prior, "path")
+    from_prior = F.when(F.col("inside"), 1.0).otherwise(F.col("prior"))
+    mixed = (F.col("m") * F.col("importance") + PRIOR * from_prior) / (F.col("m") + PRIOR)
+    tree = written(tree.select("site", "path", mixed.alias("importance")), "trees")
+    upwards = tree.join(above, "path").select("site", F.col("above").alias("path"), "importance")
+    branches = (
+        tree.unionByName(upwards).groupBy("site", "path").agg(F.max("importance").alias("importance"))
     )
+    under = lambda limit: F.collect_set(F.when(F.col("importance") < limit, F.col("path")))
+    sites = branches.where(F.col("importance") < max(IMPORTANT, REPEATED)).groupBy("site")
+    return written(
+        sites.agg(under(IMPORTANT).alias("low"), under(REPEATED).alias("repeated")), "low-paths"
+    )
+
+
+def site_of(url: Column) -> Column:
+    return F.xxhash64(host_of(url))
 
 
 def _extractor():
     kind = pa.struct([("text", pa.string()), ("removed", pa.int32())])
 
     @F.arrow_udf("struct<text:string,removed:int>")
-    def extracted(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, low in parts:
+    def extracted(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in parts:
             rows = [
-                main_text(p.as_py(), frozenset(x.as_py() or ())) for p, x in zip(pages, low)
+                main_text(page.as_py(), *(frozenset(x.as_py() or ()) for x in paths))
+                for page, *paths in zip(*columns)
             ]
             yield pa.array([{"text": t, "removed": n} for t, n in rows], kind)
 
@@ -397,20 +423,14 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", text: str =
 
     ``removed`` names an extra column with the number of branches the trees took out.
     """
-    by_host, by_layout = style_trees(pages, url, page)
-    host, layout, low_host, low_layout, result = (
-        free_name(pages, n) for n in ("host", "layout", "low_host", "low_layout", "result")
+    site, low, repeated, result = (
+        free_name(pages, n) for n in ("site", "low", "repeated", "result")
     )
+    trees = style_trees(pages, url, page).toDF(site, low, repeated)
     html = F.col(page).cast("string")
-    rows = pages.withColumns(
-        {host: host_of(F.col(url).cast("string")), layout: layout_of(html)}
-    )
-    by_host = by_host.select(F.col("host").alias(host), F.col("low").alias(low_host))
-    by_layout = by_layout.select(F.col("layout").alias(layout), F.col("low").alias(low_layout))
-    rows = rows.join(_small(by_host, low_host), host, "left")
-    rows = rows.join(_small(by_layout, low_layout), layout, "left")
-    low = F.coalesce(low_host, low_layout, F.array().cast("array<bigint>"))
-    rows = rows.withColumn(result, _extractor()(html, low))
+    rows = pages.withColumn(site, site_of(F.col(url).cast("string")))
+    rows = rows.join(_small(trees, low), site, "left")
+    rows = rows.withColumn(result, _extractor()(html, F.col(low), F.col(repeated)))
     new = {text: F.col(result)["text"]}
     if removed:
         new[removed] = F.col(result)["removed"]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -33,37 +36,142 @@ def page(i, body):
     return f"<html><body>{body}<p>Own words number {i} here.</p></body></html>"
 
 
-@pytest.fixture
-def few_pages_suffice(monkeypatch):
-    monkeypatch.setattr(html_tree, "MIN_PAGES", 20)
-    monkeypatch.setattr(html_tree, "MIN_LAYOUT", 20)
+PAGES = "page_id bigint, url string, html string"
+MENU = "<div class=x1><a href=/a>Start</a><a href=/b>About</a></div><div class=x2>All rights</div>"
 
 
-def test_the_tree_finds_boilerplate_without_names(spark, few_pages_suffice):
+@pytest.mark.parametrize("size", [5, 50, 500])
+@pytest.mark.parametrize("others", [False, True])
+def test_the_tree_finds_boilerplate_without_names(spark, size, others):
     """Divisions without telling names are removed because they say the same on every page."""
-    menu = "<div class=x1><a href=/a>Start</a><a href=/b>About</a></div><div class=x2>All rights</div>"
-    rows = [(i, f"http://site.example/{i}", page(i, menu)) for i in range(60)]
-    rows += [(100 + i, f"http://h{i}.example/", page(i, menu)) for i in range(60)]  # by layout
-    rows += [(500, "http://lone.example/", "<table><tr><td>a cell</td></tr></table>")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r.page_id: r for r in html_tree.report(pages).collect()}
-    for i in range(60):
-        assert got[i].text == got[100 + i].text == f"Own words number {i} here."
+    rows = [(i, f"http://site.example/{i}", page(i, MENU)) for i in range(size)]
+    if others:  # hosts with the same template, other menus
+        for h in range(20):
+            menu = MENU.replace("Start", f"Go {h}").replace("About", f"On {h}").replace("All", f"Some {h}")
+            rows += [(9000 + 10 * h + i, f"http://h{h}.example/{i}", page(f"{h}x{i}", menu)) for i in range(5)]
+    rows += [(8000, "http://lone.example/", "<table><tr><td>a cell</td></tr></table>")]
+    got = {r.page_id: r for r in html_tree.report(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(size):
+        assert got[i].text == f"Own words number {i} here."
         assert got[i].removed_branches == 2
-    assert got[500].text == "a cell"
-
-
-def test_importance(spark, few_pages_suffice):
-    menu = "<div class=x1><a href=/a>Start</a></div>"
-    rows = [(i, "http://site.example/", page(i, menu)) for i in range(50)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    by_host, _ = html_tree.style_trees(pages)
-    low = set(by_host.first().low)
-    paths = {}
-    for event, element, stack in html_tree.walk(rows[0][2]):
-        if event == "open":
-            paths[element.kind] = element.path
-    assert low == {paths["div class=x1"], paths["a"]}
+    assert got[8000].text == "a cell"
+
+
+def article(text, *, beside="", inside=""):
+    return f"<html><body>{beside}<article><h1>T {text}</h1><p>{text} one.</p><p>{text} two.</p>{inside}</article></body></html>"
+
+
+def words_of(text):
+    return f"T {text}\n{text} one.\n{text} two."
+
+
+@pytest.mark.parametrize("beside", ["", "<div>way {copy}</div>"])
+def test_a_mirror_keeps_its_articles(spark, beside):
+    """50 articles with 20 copies each, exact ones or with a line of their own beside them."""
+    rows = []
+    for a in range(50):
+        for c in range(20):
+            markup = article(f"story {a}", beside=MENU + beside.format(copy=f"{a}-{c}"))
+            rows.append((20 * a + c, f"http://mirror.example/{a}/{c}", markup))
+    got = {r.page_id: r.text for r in html_tree.report(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, text in got.items():
+        own = "\n" if not beside else f"way {i // 20}-{i % 20}\n"
+        assert text == (own + words_of(f"story {i // 20}")).lstrip()
+
+
+def test_two_pages_with_nearly_the_same_article(spark):
+    long = "".join(f"<p>paragraph {i}</p>" for i in range(12))
+    rows = [(i, f"http://two.example/{i}", article("same", inside=f"{long}<p>edit {i}</p>")) for i in range(2)]
+    got = {r.page_id: r.text for r in html_tree.report(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(2):
+        assert got[i] == "\n".join([words_of("same"), *(f"paragraph {k}" for k in range(12)), f"edit {i}"])
+
+
+@pytest.mark.parametrize(
+    "part", ['<p class="share-price">Up {i}.</p>', '<div class="search-results">Found {i}.</div>',
+             '<section id="related-work">Work {i}.</section>', '<blockquote class="notice">Note {i}.</blockquote>'],
+)
+@pytest.mark.parametrize("size", [1, 4, 60])
+def test_names_alone_remove_nothing_from_an_article(spark, part, size):
+    rows = [(i, f"http://a.example/{i}", article(f"text {i}", inside=part.format(i=i))) for i in range(size)]
+    got = {r.page_id: r.text for r in html_tree.report(spark.createDataFrame(rows, PAGES)).collect()}
+    inside = re.sub("<[^>]*>", "", part)
+    assert got == {i: f"{words_of(f'text {i}')}\n{inside.format(i=i)}" for i in range(size)}
+
+
+def test_what_all_articles_share_goes(spark):
+    """Many pages without a name for it, fewer with one."""
+    for part, size in (("<div class=x9>Read on.</div>", 60), ('<div class="promo">Read on.</div>', 8)):
+        rows = [(i, f"http://a.example/{i}", article(f"text {i}", inside=part)) for i in range(size)]
+        got = {r.page_id: r.text for r in html_tree.report(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got == {i: words_of(f"text {i}") for i in range(size)}
+
+
+def test_trees_decide(spark, monkeypatch):
+    """Without them the unnamed parts stay."""
+    rows = [(i, f"http://site.example/{i}", page(i, MENU)) for i in range(6)]
+    pages = spark.createDataFrame(rows, PAGES)
+    with_trees = {r.page_id: r.text for r in html_tree.report(pages).collect()}
+    monkeypatch.setattr(html_tree, "IMPORTANT", -1.0)
+    monkeypatch.setattr(html_tree, "REPEATED", -1.0)
+    without = {r.page_id: r.text for r in html_tree.report(pages).collect()}
+    assert all("All rights" in without[i] and "All rights" not in with_trees[i] for i in range(6))
+
+
+def plain_tree(rows):
+    """Importance of each (host, path), by its definition."""
+    sites = {}
+    for _, url, markup in sorted(rows, key=lambda r: r[2]):
+        ident, found = html_tree.nodes(markup)
+        sites.setdefault(re.search("//([^/]*)", url)[1], {}).setdefault(ident, found)
+    everything = [of for site in sites.values() for of in site.values()]
+
+    def importance(pages, path):
+        have = [p[path] for p in pages if path in p]
+        m = len(have)
+        if m < 2:
+            return m, 1.0
+        pieces = {x: sum(x in h[2] for h in have) for h in have for x in h[2]}
+        if pieces:
+            return m, 1 - sum(math.log(k) for k in pieces.values()) / len(pieces) / math.log(m)
+        styles = Counter(h[1] for h in have)
+        return m, -sum(k / m * math.log(k / m) for k in styles.values()) / math.log(m)
+
+    out = {}
+    for site, of in sites.items():
+        for path in {p for found in of.values() for p in found}:
+            inside = next(f[path][3] for f in of.values() if path in f)
+            m, own = importance(of.values(), path)
+            prior = 1.0 if inside else importance(everything, path)[1]
+            out[site, path] = (m * own + html_tree.PRIOR * prior) / (m + html_tree.PRIOR)
+    best = {}
+    for (site, path), value in out.items():
+        for found in sites[site].values():
+            if path in found:
+                for up in [path, *found[path][0]]:
+                    best[site, up] = max(best.get((site, up), 0), value)
+    return best
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        parts = [f"<div class=c{k}><p>{rng.choice(['all', f'h{i % 4}', f'own {i}'])} {k}</p></div>" for k in range(rng.randint(1, 5))]
+        inner = "".join(f"<p>{rng.choice(['same', f'body {i % 7}', f'body {i}'])}</p>" for _ in range(3))
+        rows.append((i, f"http://h{i % 4}.example/", f"<body>{''.join(parts)}<main>{inner}<ul><li>{i % 2}</ul></main></body>"))
+    rows += rows[:10]
+    got = {}
+    for r in html_tree.style_trees(spark.createDataFrame(rows, PAGES)).collect():
+        got[r.site] = (set(r.low), set(r.repeated))
+    best = plain_tree(rows)
+    hosts = spark.createDataFrame([(h,) for h in {h for h, _ in best}], "h string")
+    site = {r.h: r.s for r in hosts.selectExpr("h", "xxhash64(h) AS s").collect()}
+    for h, s in site.items():
+        for limit, found in zip((html_tree.IMPORTANT, html_tree.REPEATED), got.get(s, (set(), set()))):
+            sure = {p for (x, p), v in best.items() if x == h and v < limit - 1e-9}
+            assert sure <= found <= {p for (x, p), v in best.items() if x == h and v < limit + 1e-9}
+    assert any(low for low, _ in got.values())
 
 
 CASES = [
@@ -95,7 +203,7 @@ def test_long_broken_markup_ends():
         html_tree.main_text(markup, frozenset())
     deep = "<div>" * 20_000 + "in" + "</div>" * 20_000 + "<p>after"
     assert html_tree.main_text(deep, frozenset()) == ("in\nafter", 0)
-    assert len(html_tree.nodes(deep)) <= html_tree.MAX_DEPTH + 1
+    assert len(html_tree.nodes(deep)[1]) <= html_tree.MAX_DEPTH + 1
 
 
 def test_odd_rows(spark):
@@ -113,18 +221,10 @@ def test_empty_table(spark):
     assert html_tree.report(pages).collect() == []
 
 
-def test_trees_too_large_to_broadcast_are_joined(spark, few_pages_suffice, monkeypatch):
+def test_trees_too_large_to_broadcast_are_joined(spark, monkeypatch):
     menu = "<div class=x1><a href=/a>Start</a></div>"
     rows = [(i, f"http://site.example/{i}", page(i, menu)) for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     small = sorted(map(tuple, html_tree.report(pages).collect()))
     monkeypatch.setattr(html_tree, "BROADCAST_NODES", -1)
     assert sorted(map(tuple, html_tree.report(pages).collect())) == small
-
-
-def test_a_page_is_parsed_once_per_pass(spark):
-    pages = spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id bigint, url string, html string")
-    keyed = pages.select(html_tree._page_nodes()("html").alias("nodes"))
-    rows = keyed.selectExpr("inline_outer(nodes)").where("path IS NOT NULL")
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
