@@ -20,8 +20,8 @@ of the three highest, and the length's order of magnitude; a word that comes aga
 no new evidence. A logistic curve turns this into a score. The curve and the discount, one of
 ``DISCOUNTS``, are fitted on about ``FIT_ROWS`` labelled training rows of fold ``FIT_FOLD``
 at most, whose evidence comes from counts without them; the counts behind the scores are those
-of all labelled training rows. Both come from one shuffle, whose rows say how many texts of
-the fit they count.
+of all labelled training rows. Both come from one shuffle, which says of each count how much
+of it is the fit's; as a pair of hashes is most of it, the counts travel as packed blocks.
 
 The table of ratios grows with the corpus. It is broadcast as sorted arrays of at most
 ``PART_ROWS`` rows; a task holds one of them at a time and passes each of its batches by all.
@@ -59,10 +59,12 @@ FEATURES = 4 + len(STRETCHES)
 RIDGE = 1.0
 PART_ROWS = 4_000_000
 LABEL_ROWS = 8_000_000  # labels are broadcast up to here, else joined by shuffle
-CHUNK_TEXTS = 8_000  # texts and words that a counting task holds before it hands counts on
-CHUNK_WORDS = 1_000_000
-SALTS = 64
-MEMO = 500_000  # hashes of words that a task keeps
+CHUNK_TEXTS = 8_000  # texts and words that a task counts or scores at once
+CHUNK_WORDS = 400_000
+COMPACT_ROWS = 2_000_000  # rows that a gathering task adds before it sums them
+PARTS_PER_TASK = 4
+SALTS = 8
+MEMO = 200_000  # hashes of words that a task keeps
 HASH = (1 << 48) - 1
 ALONE = -1  # the left neighbour of a word on its own
 CLASSES = ("t", "o")  # toxic, ordinary
@@ -127,7 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(marks, "doc_id").select("text", "toxic", "fit")
 
 
-def _counted(words: tuple[np.ndarray, ...], toxic: np.ndarray, fit: np.ndarray) -> pa.RecordBatch:
+def _counted(words: tuple[np.ndarray, ...], toxic: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, ...]:
     """(w, u, n) of some texts: n has the four counts of a pair, or a word alone, 16 bits each."""
     w, u, sizes = words
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -142,36 +144,140 @@ def _counted(words: tuple[np.ndarray, ...], toxic: np.ndarray, fit: np.ndarray)
     one += np.where(fit, one << 32, 0)
     first = np.flatnonzero(new_key)
     n = np.add.reduceat(one[text], first) if len(first) else np.array([], np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(u[first]), pa.array(n)], ["w", "u", "n"])
+    return w[first], u[first], n
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(w, u, t, o, ft, fo): in how many texts of each class a pair u w occurs, and in how many
-    of those that are in the fit; partial counts of (text, toxic, fit).
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what hardly varies compresses to nothing."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def packed(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows in the order of the words, about seven bytes each."""
+    raw = _planes(np.diff(w, prepend=0)) + _planes(u) + _planes(n)
+    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(block[-8:], "little")
+    raw = np.frombuffer(pa.decompress(block[:-8], size, codec="zstd"), np.uint8)
+    planes = np.ascontiguousarray(raw.reshape(3, 8, -1).transpose(0, 2, 1)).view("<i8")[..., 0]
+    return np.cumsum(planes[0]), planes[1], planes[2]
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(part, block): partial counts of (text, toxic, fit), split by word; the pairs of a word
+    are split by their left neighbour, so that hot words come in ``SALTS`` parts.
 
     Counted per text, since a word that one text repeats is no evidence about others. The
     first word of a text has the left neighbour ""; u is ``ALONE`` for the word on its own.
     """
+    parts = PARTS_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             toxic = np.array(batch["toxic"].to_pylist(), bool)
             fit = np.array(batch["fit"].to_pylist(), bool)
-            texts, start, held = batch["text"], 0, 0
-            sizes = (pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6).tolist()
-            for end in range(1, len(texts) + 1):  # about six bytes a word
-                held += sizes[end - 1]
-                if end == len(texts) or held > CHUNK_WORDS or end - start >= CHUNK_TEXTS:
-                    words = hasher(texts[start:end].to_pylist())
-                    yield _counted(words, toxic[start:end], fit[start:end])
-                    start, held = end, 0
-
-    packed = rows.select("text", "toxic", "fit").mapInArrow(count, "w bigint, u bigint, n bigint")
-    counts = {
-        c: F.shiftrightunsigned("n", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i, c in enumerate(COUNTS)
-    }
-    return packed.select("w", "u", *[counts[c].alias(c) for c in COUNTS])
+            for start, end in _chunks(batch["text"]):
+                words = hasher(batch["text"][start:end].to_pylist())
+                w, u, n = _counted(words, toxic[start:end], fit[start:end])
+                part = (w * SALTS + u % SALTS) % parts
+                order = np.lexsort((u, w, part))
+                w, u, n, part = w[order], u[order], n[order], part[order]
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[edges[:-1]].astype(np.int32)),
+                        pa.array([packed(w[i:j], u[i:j], n[i:j]) for i, j in spans], pa.binary()),
+                    ],
+                    ["part", "block"],
+                )
+
+    return rows.select("text", "toxic", "fit").mapInArrow(count, "part int, block binary")
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Texts of a batch in stretches of ``CHUNK_WORDS`` words or so."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6
+    start, held = 0, 0
+    for end, size in enumerate(sizes.tolist(), 1):
+        held += size
+        if end == len(texts) or held > CHUNK_WORDS or end - start >= CHUNK_TEXTS:
+            yield start, end
+            start, held = end, 0
+
+
+def _summed(w: np.ndarray, u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows in the order of (w, u), equal ones added up."""
+    order = np.lexsort((u, w))
+    w, u, counts = w[order], u[order], counts[order]
+    first = np.flatnonzero((np.diff(w, prepend=~w[:1]) != 0) | (np.diff(u, prepend=~u[:1]) != 0))
+    return w[first], u[first], np.add.reduceat(counts, first, axis=0)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """(w, u, counts) of all blocks of a task; held compact, as in any aggregation."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        for block in batch["block"]:
+            w, u, n = unpacked(block.as_py())
+            counts = np.stack([n >> 16 * i & 0xFFFF for i in range(len(COUNTS))], axis=1)
+            held.append((w, u, counts))
+            size += len(w)
+            if size > COMPACT_ROWS:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = 0
+    return _summed(*map(np.concatenate, zip(*held))) if held else None
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(w, u, t, o, ft, fo): in how many texts of each class a pair u w occurs, and in how many
+    of those that are in the fit."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := _gathered(batches)) is not None:
+            w, u, counts = found
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, *counts.T)], ["w", "u", *COUNTS])
+
+    return _dealt(rows).mapInArrow(merged, "w bigint, u bigint, t bigint, o bigint, ft bigint, fo bigint")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks(rows).repartition(tasks, "part")
+
+
+TABLE = ["types", "ftypes", *COUNTS, *(f"p{c}" for c in COUNTS)]
+
+
+def _table(rows: DataFrame, least: float) -> DataFrame:
+    """Rows (w, u null) of words, partly summed: distinct left neighbours, the counts of the
+    word alone, and the sums over its pairs; and a row (w, u) for each pair that one class has
+    more than ``least`` times, with its counts as those sums."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := _gathered(batches)) is None:
+            return
+        w, u, counts = found
+        pair = u != ALONE
+        rest = counts[:, 0] + counts[:, 1] > counts[:, 2] + counts[:, 3]
+        columns = [pair, pair & rest, *(counts * ~pair[:, None]).T, *(counts * pair[:, None]).T]
+        first = np.flatnonzero(np.diff(w, prepend=~w[:1]) != 0)
+        sums = [np.add.reduceat(c.astype(np.int64), first) for c in columns]
+        entry = np.flatnonzero(pair & (counts[:, :2].max(axis=1) > least))
+        none = np.zeros(len(entry), np.int64)
+        own = [none] * (2 + len(COUNTS)) + list(counts[entry].T)
+        names = ["w", "u", *TABLE]
+        number = pa.int64()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(w[first]), pa.nulls(len(first), number), *map(pa.array, sums)], names
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(w[entry]), pa.array(u[entry]), *map(pa.array, own)], names)
+
+    return _dealt(rows).mapInArrow(merged, ", ".join(f"{c} bigint" for c in ("w", "u", *TABLE)))
 
 
 class Model:
@@ -183,38 +289,14 @@ class Model:
 
     def __init__(self, rows: DataFrame, discounts: Sequence[float] = DISCOUNTS):
         self.discounts = tuple(discounts)
-        # One shuffle for pairs and words: by word, hot words split by their left neighbour.
-        salt = F.pmod("u", F.lit(SALTS)).cast("byte")
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = (
-            pair_counts(rows)
-            .withColumn("salt", salt)
-            .repartition(tasks, "w", "salt")
-            .groupBy("w", "salt", "u")
-            .agg(*[F.sum(c).alias(c) for c in COUNTS])
-        )
-        pair = F.col("u") != ALONE
-        entry = pair & (F.greatest("t", "o") > min(self.discounts))
-        rest = F.col("t") + F.col("o") > F.col("ft") + F.col("fo")
-        table = written(
-            pairs.groupBy("w", F.when(entry, F.col("u")).alias("u")).agg(
-                F.count_if(pair).alias("types"),
-                F.count_if(pair & rest).alias("ftypes"),
-                *[F.sum(F.when(~pair, F.col(c)).otherwise(0)).alias(c) for c in COUNTS],
-                *[F.sum(F.when(pair, F.col(c)).otherwise(0)).alias(f"p{c}") for c in COUNTS],
-            ),
-            "expressions",
-        )
+        table = written(_table(rows, min(self.discounts)), "expressions")
         counts = [f"p{c}" for c in COUNTS]
         self.pairs = table.where("u IS NOT NULL").select("w", "u", *counts)
         self.words = written(
-            table.groupBy("w").agg(
-                *[F.sum(c).alias(c) for c in ("types", "ftypes", *COUNTS, *counts)]
-            ),
-            "words",
+            table.where("u IS NULL").groupBy("w").agg(*[F.sum(c).alias(c) for c in TABLE]), "words"
         )
         self.sums = self.words.agg(
-            *[F.sum(c).alias(c) for c in ("types", "ftypes", *COUNTS, *counts)], *self._above("")
+            *[F.sum(c).alias(c) for c in TABLE], *self._above("")
         ).first().asDict() | self.pairs.agg(*self._above("p")).first().asDict()
 
     def _above(self, prefix: str) -> list[Column]:
@@ -375,14 +457,15 @@ def evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher()
         for texts in batches:
-            w, u, sizes = hasher(texts.to_pylist())
-            lines = word_ratios(w, u, tables(), discounts)
-            lines[:, repeated(w, sizes)] = 0
-            ends = np.cumsum(sizes).tolist()
-            rows = [
-                list(chain.from_iterable(features(line[end - size : end]) for line in lines))
-                for end, size in zip(ends, sizes.tolist())
-            ]
+            rows = []
+            for start, end in _chunks(texts):
+                w, u, sizes = hasher(texts[start:end].to_pylist())
+                lines = word_ratios(w, u, tables(), discounts)
+                lines[:, repeated(w, sizes)] = 0
+                rows += [
+                    list(chain.from_iterable(features(line[stop - size : stop]) for line in lines))
+                    for stop, size in zip(np.cumsum(sizes).tolist(), sizes.tolist())
+                ]
             yield pa.array(rows, pa.list_(pa.float64()))
 
     return docs.withColumn(name, found(F.col("text").cast("string")))
