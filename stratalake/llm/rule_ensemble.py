@@ -6,7 +6,7 @@ regression over all rules keeps few of them. The kept rules with their weights a
 into one column expression, so texts are scored without leaving the JVM.
 
 Forest and weights are fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of
-their text; statistics and scores cover all documents. Labels, language, source and id
+their id; statistics and scores cover all documents. Labels, language, source and id
 are no inputs.
 
 Defined results: null and empty texts have all statistics zero; contradicting labels go by

@@ -79,6 +79,23 @@ def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_clashing_columns_play_no_part(spark):
+    pages = spark.createDataFrame(ROWS, PAGES)
+    names = ("payload", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to",
+             "target_uri", "fault", "archive", "content", "first_id")
+    extra = pages.selectExpr("*", *[f"'x' AS {n}" for n in names])
+    plain = sorted(map(str, warc.round_trip(pages).collect()))
+    assert sorted(map(str, warc.round_trip(extra).collect())) == plain
+
+
+def test_a_very_long_page(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(3_000_000))
+    pages = spark.createDataFrame([(1, "u", text), (2, "v", text)], PAGES)
+    rows = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert rows[1].payload_bytes == rows[2].payload_bytes == 3_000_000
+    assert (rows[1].payload_digest, rows[2].refers_to) == (digest(text), 1)
+
+
 def one(page_id, text):
     payload = text.encode()
     return warc.record_bytes({
