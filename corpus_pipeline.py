@@ -6,9 +6,10 @@ the last return the columns of documents; the last adds the piece ids and whethe
 decode to the text.
 
 * toxicity: documents predicted toxic go; the models learn from the labels in ``sf_dir``.
-* line_dedup: blocks of lines that an earlier document has are cut from later ones.
-* near_duplicates: of each group of texts linked by a Jaccard similarity of 0.8 or more over
-  their five-word shingles the first document stays.
+* line_dedup: blocks of lines that an earlier document has are cut from later ones; a document
+  that keeps less than ``LEAST_LEFT`` of its characters goes with them.
+* near_duplicates: of each group of texts linked by SimHash fingerprints that differ in few bits
+  the first document stays.
 * decontamination: documents with a window of a benchmark item go.
 * encoding: the texts as SentencePiece ids.
 """
@@ -20,10 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.fixtures import table
-from stratalake.llm import decontaminate, jaccard, linededup, pieces, toxicity
+from stratalake.llm import decontaminate, linededup, pieces, simhash, toxicity
 from stratalake.llm.common import ship_package
 from stratalake.scratch import written
 
+LEAST_LEFT = 0.2
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,12 +36,12 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return linededup.dedup_lines(docs)
+    return linededup.dedup_lines(docs, least_left=LEAST_LEFT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return jaccard.one_per_group(docs)
+    return simhash.one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
