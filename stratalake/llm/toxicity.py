@@ -59,12 +59,13 @@ FEATURES = 4 + len(STRETCHES)
 RIDGE = 1.0
 PART_ROWS = 4_000_000
 LABEL_ROWS = 8_000_000  # labels are broadcast up to here, else joined by shuffle
-CHUNK_TEXTS = 8_000  # texts and words that a task counts or scores at once
-CHUNK_WORDS = 400_000
+CHUNK_TEXTS = 8_000  # texts and words that a task counts at once
+CHUNK_WORDS = 300_000
+SCORED_WORDS = 80_000  # words that a task scores at once
 COMPACT_ROWS = 2_000_000  # rows that a gathering task adds before it sums them
 PARTS_PER_TASK = 4
 SALTS = 8
-MEMO = 200_000  # hashes of words that a task keeps
+MEMO = 60_000  # hashes of words that a task keeps
 HASH = (1 << 48) - 1
 ALONE = -1  # the left neighbour of a word on its own
 CLASSES = ("t", "o")  # toxic, ordinary
@@ -179,7 +180,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = np.array(batch["toxic"].to_pylist(), bool)
             fit = np.array(batch["fit"].to_pylist(), bool)
-            for start, end in _chunks(batch["text"]):
+            for start, end in _chunks(batch["text"], CHUNK_WORDS):
                 words = hasher(batch["text"][start:end].to_pylist())
                 w, u, n = _counted(words, toxic[start:end], fit[start:end])
                 part = (w * SALTS + u % SALTS) % parts
@@ -198,13 +199,13 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic", "fit").mapInArrow(count, "part int, block binary")
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Texts of a batch in stretches of ``CHUNK_WORDS`` words or so."""
+def _chunks(texts: pa.Array, words: int) -> Iterator[tuple[int, int]]:
+    """Texts of a batch in stretches of so many words, about."""
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6
     start, held = 0, 0
     for end, size in enumerate(sizes.tolist(), 1):
         held += size
-        if end == len(texts) or held > CHUNK_WORDS or end - start >= CHUNK_TEXTS:
+        if end == len(texts) or held > words or end - start >= CHUNK_TEXTS:
             yield start, end
             start, held = end, 0
 
@@ -458,15 +459,16 @@ def evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
         hasher = Hasher()
         for texts in batches:
             rows = []
-            for start, end in _chunks(texts):
+            for start, end in _chunks(texts, SCORED_WORDS):
                 w, u, sizes = hasher(texts[start:end].to_pylist())
                 lines = word_ratios(w, u, tables(), discounts)
                 lines[:, repeated(w, sizes)] = 0
-                rows += [
+                own = [
                     list(chain.from_iterable(features(line[stop - size : stop]) for line in lines))
                     for stop, size in zip(np.cumsum(sizes).tolist(), sizes.tolist())
                 ]
-            yield pa.array(rows, pa.list_(pa.float64()))
+                rows.append(pa.array(own, pa.list_(pa.float64())))
+            yield pa.concat_arrays(rows) if rows else pa.array([], pa.list_(pa.float64()))
 
     return docs.withColumn(name, found(F.col("text").cast("string")))
 
