@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from stratalake.llm.common import free_name
+from stratalake.llm.common import free_name, kept
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN
@@ -162,17 +162,15 @@ class Codec:
         return character[first].astype(np.int32) if len(first) else np.array([], np.int32)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(built) -> Codec:
     """The codec of a broadcast tokenizer; a worker keeps its last one between tasks."""
-    key, built = built.value
-    if key not in _codecs:
-        _codecs.clear()
+    key, text = built.value
+
+    def build() -> Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _codecs[key] = Codec(built)
-    return _codecs[key]
+        return Codec(text)
+
+    return kept(key, build)
 
 
 def _rows(lists: pa.ListArray) -> Iterator[np.ndarray]:

@@ -8,10 +8,22 @@ import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+T = TypeVar("T")
 _shipped: set[str] = set()
+_kept: dict = {}
+
+
+def kept(key: str, build: Callable[[], T]) -> T:
+    """What ``build`` makes, kept by a worker between its tasks until another key is asked for:
+    one operator's tables at a time, whatever ran in the worker before."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
 
 def ship_package(spark: SparkSession) -> None:

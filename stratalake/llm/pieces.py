@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalake.llm.common import free_name
+from stratalake.llm.common import free_name, kept
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -210,15 +210,9 @@ class Encoder:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(vocabulary, key: str) -> Encoder:
     """The encoder of a broadcast vocabulary; a worker keeps its last one between tasks."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary.value)
-    return _encoders[key]
+    return kept(key, lambda: Encoder(vocabulary.value))
 
 
 def _encoder(vocabulary):

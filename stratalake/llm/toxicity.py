@@ -45,7 +45,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalake.llm.common import fold, free_name, one_label
+from stratalake.llm.common import fold, free_name, kept, one_label
 from stratalake.scratch import written
 
 WORD = re.compile(r"\w+")
@@ -62,7 +62,7 @@ LABEL_ROWS = 8_000_000  # labels are broadcast up to here, else joined by shuffl
 CHUNK_TEXTS = 8_000  # texts and words that a task counts at once
 CHUNK_WORDS = 300_000
 SCORED_WORDS = 80_000  # words that a task scores at once
-COMPACT_ROWS = 2_000_000  # rows that a gathering task adds before it sums them
+COMPACT_ROWS = 1_000_000  # rows that a gathering task adds before it sums them
 PARTS_PER_TASK = 4
 SALTS = 8
 MEMO = 60_000  # hashes of words that a task keeps
@@ -176,7 +176,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     parts = PARTS_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = kept("toxicity", Hasher)
         for batch in batches:
             toxic = np.array(batch["toxic"].to_pylist(), bool)
             fit = np.array(batch["fit"].to_pylist(), bool)
@@ -225,7 +225,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | Non
     for batch in batches:
         for block in batch["block"]:
             w, u, n = unpacked(block.as_py())
-            counts = np.stack([n >> 16 * i & 0xFFFF for i in range(len(COUNTS))], axis=1)
+            counts = np.stack([n >> 16 * i & 0xFFFF for i in range(len(COUNTS))], axis=1).astype(np.int32)
             held.append((w, u, counts))
             size += len(w)
             if size > COMPACT_ROWS:
@@ -241,7 +241,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := _gathered(batches)) is not None:
             w, u, counts = found
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, u, *counts.T)], ["w", "u", *COUNTS])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (w, u, *counts.T)], ["w", "u", *COUNTS])
 
     return _dealt(rows).mapInArrow(merged, "w bigint, u bigint, t bigint, o bigint, ft bigint, fo bigint")
 
@@ -270,7 +270,7 @@ def _table(rows: DataFrame, least: float) -> DataFrame:
         sums = [np.add.reduceat(c.astype(np.int64), first) for c in columns]
         entry = np.flatnonzero(pair & (counts[:, :2].max(axis=1) > least))
         none = np.zeros(len(entry), np.int64)
-        own = [none] * (2 + len(COUNTS)) + list(counts[entry].T)
+        own = [none] * (2 + len(COUNTS)) + list(counts[entry].astype(np.int64).T)
         names = ["w", "u", *TABLE]
         number = pa.int64()
         yield pa.RecordBatch.from_arrays(
@@ -456,7 +456,7 @@ def evidence(docs: DataFrame, table: DataFrame, name: str) -> DataFrame:
 
     @F.arrow_udf("array<double>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher = Hasher()
+        hasher = kept("toxicity", Hasher)
         for texts in batches:
             rows = []
             for start, end in _chunks(texts, SCORED_WORDS):
