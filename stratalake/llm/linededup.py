@@ -267,7 +267,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, moved: bool = True,
     )
     # the text of a document without common runs does not go through Python
     given = F.when(F.col(shared).isNotNull(), text)
-    rows = rows.withColumn(edit, edited(given, F.col(shared)))
+    # not called deterministic, else the filter below gets an evaluation of its own: texts edited
+    # twice, by two workers per task
+    rows = rows.withColumn(edit, edited.asNondeterministic()(given, F.col(shared)))
     new = {"text": F.coalesce(F.col(edit)["text"], text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(

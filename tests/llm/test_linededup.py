@@ -111,6 +111,13 @@ def test_what_is_left_of_a_copy_can_be_dropped(spark):
 LONG = "one two three four five six seven eight nine ten"
 
 
+def test_a_text_is_edited_once(spark, capsys):
+    """The filter on what is left uses the edit that the text comes from, in one worker per task."""
+    docs = spark.createDataFrame([(1, "a b c d e")], DOCS)
+    linededup.dedup_lines(docs, least_left=0.2).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [edited(") == 1
+
+
 def test_copies_moved_and_repeated_passages(spark):
     a, b = f"{LONG} A {LONG}", f"{LONG} B {LONG}"
     rows = [
