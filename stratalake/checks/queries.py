@@ -350,7 +350,8 @@ def record_arrays_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Orders through files that are whole JSON arrays, several of them from some size on."""
     path = scratch_path(spark, "arrays")
     rows = fx.table(spark, d, "orders")
-    files.write_record_arrays(rows.repartition(4, "o_orderkey"), path, one_file_rows=10_000)
+    parts = max(4, rows.count() // 1_000_000)
+    files.write_record_arrays(rows.repartition(parts, "o_orderkey"), path, one_file_rows=10_000)
     return files.read_record_arrays(spark, path, rows.schema)
 
 

@@ -8,6 +8,7 @@ tasks are done, moves the files to their names. A failed job leaves nothing.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -25,8 +26,10 @@ from stratalake.scratch import written
 from stratalake.shipping import ship_package
 from stratalake.sinks.landing import ISO_TIMESTAMP, replace_folder, with_count
 
-# Records of up to so many rows are one file; more are one file per partition.
+# Records of up to so many rows are one file; more are one file per partition, or, beyond so many
+# bytes in all, files of about as many bytes each.
 ONE_FILE_ROWS = 1_000_000
+FILE_BYTES = 128 << 20
 NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.=-]*(/[A-Za-z0-9_][A-Za-z0-9_.=-]*)*")
 FORMAT = "stratalake_files"
 
@@ -48,11 +51,15 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield line(["]" if opened else "[]"])
 
 
-def write_record_arrays(df: DataFrame, path: str, one_file_rows: int = ONE_FILE_ROWS) -> int:
+def write_record_arrays(
+    df: DataFrame, path: str, one_file_rows: int = ONE_FILE_ROWS, file_bytes: int = FILE_BYTES
+) -> int:
     """Replace the dataset at ``path`` by JSON arrays of records and return the row count.
 
     Every file is one whole array; up to ``one_file_rows`` rows are one file, in the order of
-    the frame, as they pass through one task. Dates are ISO text, NULL fields are kept, an empty frame is ``[]``.
+    the frame, as they pass through one task. More rows are files of about ``file_bytes`` at most,
+    however few the partitions are, as a file is also read by one task. Dates are ISO text, NULL
+    fields are kept, an empty frame is ``[]``.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -63,10 +70,18 @@ def write_record_arrays(df: DataFrame, path: str, one_file_rows: int = ONE_FILE_
     }
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options)
     place = F.monotonically_increasing_id().alias("place")
-    watched, seen = with_count(df.select(record.alias("record"), place))
-    records = written(watched, "records")  # the count decides on the files
-    rows = seen.get["rows"]
-    whole = records.coalesce(1) if rows <= one_file_rows else records
+    seen = Observation()
+    size = F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).alias("bytes")
+    placed = df.select(record.alias("record"), place)
+    records = written(placed.observe(seen, F.count(F.lit(1)).alias("rows"), size), "records")
+    rows, total = seen.get["rows"], seen.get["bytes"] + 2 * seen.get["rows"]  # with comma and line end
+    if rows <= one_file_rows:
+        whole = records.coalesce(1)
+    elif total <= file_bytes:
+        whole = records
+    else:
+        files = max(math.ceil(total / file_bytes), records.rdd.getNumPartitions())
+        whole = records.repartitionByRange(files, "place")
     whole = whole.sortWithinPartitions("place").select("record")
 
     def write(folder: str) -> int:

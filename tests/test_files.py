@@ -47,6 +47,17 @@ def test_many_records_are_arrays_of_their_own(spark, tmp_path):
     assert len(arrays) == 4 and sorted(r["id"] for a in arrays for r in a) == list(range(5000))
 
 
+def test_no_array_is_larger_than_a_read_should_be(spark, tmp_path):
+    """However few partitions there are; the arrays follow the order of the frame."""
+    df = spark.range(0, 20_000, 1, 2).selectExpr("id", "repeat('x', 80) AS v")
+    write_record_arrays(df, str(tmp_path / "a"), one_file_rows=100, file_bytes=200_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "a").glob("part-*")]
+    assert 10 <= len(sizes) <= 12 and max(sizes) < 1.3 * 200_000
+    assert [r["id"] for a in documents(tmp_path / "a") for r in a] == list(range(20_000))
+    back = read_record_arrays(spark, str(tmp_path / "a"), df.schema)
+    assert sorted(r.id for r in back.collect()) == list(range(20_000))
+
+
 def test_an_empty_frame_is_an_empty_array(spark, tmp_path):
     df = spark.createDataFrame([], "id bigint")
     assert write_record_arrays(df, str(tmp_path / "a")) == 0
